@@ -1,0 +1 @@
+"""Deliberately empty: the engine is batch only, one input table per call, with no stream state to keep."""
