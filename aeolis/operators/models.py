@@ -12,6 +12,8 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aeolis.functions.scalar import known, with_curve
+from aeolis.operators import farm
 from aeolis.settings import NOT_FEATURES
 
 MAX_NODES = 100_000
@@ -187,6 +189,43 @@ def spark_param_grid(regressor: GBTRegressor, depths: Sequence[int], rates: Sequ
     return ParamGridBuilder().addGrid(regressor.maxDepth, depths).addGrid(regressor.stepSize, rates).build()
 
 
+def farm_repair_inputs(df: DataFrame, curve: DataFrame, wdir: DataFrame) -> DataFrame:
+    """Rows of the short-horizon leg (mask, clock, ``raw_patv``) with the farm statistics the repair model reads."""
+    rows = with_curve(df, curve).withColumn("mask2", known(F.col("raw_patv") > F.col("max_patv")))
+    medians = farm.farm_medians(rows, ["etmp", "itmp"])
+    rows = farm.join_time(rows, medians)
+    means = farm.normal_row_means(
+        rows, {"patv_mean": "patv", "wspd_mean": "wspd", "_etmp": "etmp_median", "_itmp": "itmp_median"}
+    ).drop("_etmp", "_itmp")
+    rows = farm.join_time(farm.join_time(rows, means), farm.mask_share(rows))
+    return rows.join(wdir, ["turb_id", "slot"], "left")
+
+
+# Inputs drawn from a sequence sample (fixed list).
+SAMPLE_INPUTS = ("last_patv", "mean_patv", "mean_wspd", "known_share", "hour_sin", "hour_cos")
+
+
+def sample_inputs(samples: DataFrame) -> DataFrame:
+    """Few summary inputs of each sample, next to its target array; ``complete`` where all are known."""
+    some = lambda c: F.filter(F.col(c), lambda v: v.isNotNull())
+    mean = lambda c: F.try_divide(F.aggregate(some(c), F.lit(0.0), lambda a, v: a + v), F.size(some(c)))
+    turn = 2 * F.pi() * F.col("dec_hour")[0] / 24
+    out = samples.withColumns(
+        {
+            "last_patv": F.get(some("enc_patv"), F.size(some("enc_patv")) - 1),
+            "mean_patv": mean("enc_patv"),
+            "mean_wspd": mean("enc_wspd"),
+            "known_share": F.size(some("enc_patv")) / F.size("enc_patv"),
+            "hour_sin": F.sin(turn),
+            "hour_cos": F.cos(turn),
+        }
+    ).drop("enc_patv", "enc_wspd", "dec_hour")
+    present = F.lit(True)
+    for c in SAMPLE_INPUTS:
+        present = present & F.col(c).isNotNull()
+    return out.withColumn("complete", present)
+
+
 def train_segment_models(
     samples: DataFrame,
     segments: Sequence[tuple[int, int]],

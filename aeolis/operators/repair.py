@@ -103,18 +103,16 @@ def resample_noisy(df: DataFrame, pool: DataFrame, seed: int | None = 0, draw=No
     )
 
 
-def repair_with_model(df: DataFrame, model, prediction: str = "prediction") -> DataFrame:
-    """Overwrite abnormal power with a fitted model's prediction; other rows stay as they are."""
-    scored = model.transform(df)
-    extra = [c for c in scored.columns if c not in df.columns]
-    return scored.withColumn("patv", F.when(abnormal_patv(), F.col(prediction)).otherwise(F.col("patv"))).drop(*extra)
+def overwrite_abnormal(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Abnormal power becomes the model's prediction; other rows stay as they are."""
+    return scored.withColumn(
+        "patv", F.when(abnormal_patv(), F.col(prediction)).otherwise(F.col("patv"))
+    ).drop(prediction)
 
 
-def repair_with_farm_model(df: DataFrame, model, prediction: str = "prediction") -> DataFrame:
-    """As :func:`repair_with_model` for rows with mask 0, result kept between 0 and the power curve."""
-    scored = model.transform(df)
-    extra = [c for c in scored.columns if c not in df.columns]
+def overwrite_unknown(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Power of unusable rows becomes the prediction; all power is kept between 0 and the power curve."""
     filled = F.when(F.col("mask") == 0, F.col(prediction)).otherwise(F.col("patv"))
     lower = F.when(filled < 0, F.lit(0.0)).otherwise(filled)
     capped = F.when(lower > F.col("max_patv"), F.col("max_patv")).otherwise(lower)
-    return scored.withColumn("patv", capped).drop(*extra)
+    return scored.withColumn("patv", capped).drop(prediction)

@@ -69,7 +69,7 @@ def _names(sql: str) -> str:
     return " ".join(w.strip(",") for w in sql.split() if w.startswith("patv__"))
 
 
-query("ts_change_quantiles", _change_sql(), _names(_change_sql()), 4)(_windowed(se.change_quantiles))
+query("ts_change_quantiles", _change_sql(), _names(_change_sql()), 5)(_windowed(se.change_quantiles))
 
 COEFFS = [c for c in se.FFT_COEFFICIENTS if c <= W // 2]
 FFT_SQL = "SELECT turb_id, time, " + ", ".join(
