@@ -16,40 +16,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows per block of a windowed operator, and of one that only carries a summary row from block to block.
 BLOCK = 4096
+CARRY_BLOCK = 65536
 ENTITY = ("turb_id",)
 
 
 def step_index(
     df: DataFrame,
     entity: Sequence[str] = ENTITY,
-    chunk: str = "day",
-    order: Sequence[str] = ("slot",),
+    slot: str = "slot",
     out: str = "time",
+    size: int = CARRY_BLOCK,
 ) -> DataFrame:
-    """Position 0..n-1 of each row inside its entity, ordered by (chunk, order).
+    """Position 0..n-1 of each row inside its entity, in slot order (slots may have gaps).
 
-    Rows are numbered inside (entity, chunk); the chunk sizes, one row per chunk, give the offset.
+    Rows are numbered inside (entity, block of slots); the block sizes, one row per block, give the offset.
     """
-    keys = [*entity, chunk]
+    keys = [*entity, "_blk"]
+    placed = df.withColumn("_blk", block_id(slot, size))
+    earlier = Window.partitionBy(*entity).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys)
+        placed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *keys,
-            F.coalesce(
-                F.sum("_n").over(
-                    Window.partitionBy(*entity).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ).alias("_off"),
-        )
+        .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     )
-    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    numbered = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(slot)))
     return (
         numbered.join(offsets, keys)
         .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-        .drop("_off", "_rn")
+        .drop("_off", "_rn", "_blk")
     )
 
 
@@ -128,7 +124,7 @@ def neighbours(
     cols: Sequence[str],
     entity: Sequence[str] = ENTITY,
     pos: str = "time",
-    size: int = BLOCK,
+    size: int = CARRY_BLOCK,
     want: Sequence[str] = ("prev", "next"),
 ) -> DataFrame:
     """For each column add ``_prev_<col>`` / ``_next_<col>``: struct(pos, value) of the nearest known value,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolis.functions.scalar import with_clock
-from aeolis.operators.blocks import BLOCK, ENTITY, block_id, neighbours
+from aeolis.operators.blocks import BLOCK, CARRY_BLOCK, ENTITY, block_id, neighbours
 
 
 def _with_slots(df: DataFrame, first, last, size: int = BLOCK) -> DataFrame:
@@ -64,7 +64,7 @@ def interpolate(
     col: str,
     entity: Sequence[str] = ENTITY,
     pos: str = "time",
-    size: int = BLOCK,
+    size: int = CARRY_BLOCK,
     edges: bool = True,
 ) -> DataFrame:
     """Linear by row position between known neighbours. With ``edges``, leading gaps take the next value and
@@ -82,7 +82,7 @@ def interpolate(
 
 
 def fill_time_order(
-    df: DataFrame, cols: Sequence[str], entity: Sequence[str] = ENTITY, pos: str = "slot", size: int = BLOCK
+    df: DataFrame, cols: Sequence[str], entity: Sequence[str] = ENTITY, pos: str = "slot", size: int = CARRY_BLOCK
 ) -> DataFrame:
     """Backward then forward fill along time, per entity."""
     out = neighbours(df, cols, entity, pos, size)
@@ -90,7 +90,9 @@ def fill_time_order(
     return out.withColumns(filled).drop(*[f"_{s}_{c}" for s in ("prev", "next") for c in cols])
 
 
-def fill_row_order(df: DataFrame, cols: Sequence[str], farm: Sequence[str] = ("farm_id",), size: int = BLOCK) -> DataFrame:
+def fill_row_order(
+    df: DataFrame, cols: Sequence[str], farm: Sequence[str] = ("farm_id",), size: int = CARRY_BLOCK
+) -> DataFrame:
     """Backward then forward fill over rows ordered by (slot, turb_id) within a farm.
 
     A gap takes the next turbine of the same time, else the first known turbine of a later time. The same-time

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolis.functions.scalar import abnormal_patv, known, wind_bucket
+from aeolis.operators.blocks import CARRY_BLOCK, block_id
 from aeolis.operators.farm import TIME, group_percentiles, join_time
 
 
@@ -52,35 +53,36 @@ def repair_temperature(df: DataFrame, ub: float = 0.85, lb: float = 0.15, keys:
     return out.withColumns(fixed).drop(*[f"{c}_{b}" for c in ("etmp", "itmp") for b in ("ub", "lb")])
 
 
-def normal_pool(df: DataFrame, shards: int = 64) -> DataFrame:
+def normal_pool(df: DataFrame, size: int = CARRY_BLOCK) -> DataFrame:
     """Usable power values per wind bucket, numbered 0..n-1 in (turb_id, slot) order.
 
-    One bucket may hold a third of all rows, so rows are numbered inside (bucket, turbine, day) and the group
-    sizes, one row per group, supply the offsets.
+    One bucket may hold a third of all rows, so rows are numbered inside (bucket, turbine, block of slots) and the
+    group sizes, one row per group, supply the offsets.
     """
-    keys = ["ws_bucket", "turb_id", "day"]
-    rows = df.filter("mask = 1").select(wind_bucket(F.col("wspd")).alias("ws_bucket"), "turb_id", "day", "slot", "patv")
+    keys = ["ws_bucket", "turb_id", "_blk"]
+    rows = df.filter("mask = 1").select(
+        wind_bucket(F.col("wspd")).alias("ws_bucket"), "turb_id", block_id("slot", size).alias("_blk"), "slot", "patv"
+    )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = _offsets(sizes)
     numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("slot")))
-    return numbered.join(before, keys).select(
+    return numbered.join(_offsets(sizes), keys).select(
         "ws_bucket", (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias("rn"), "patv"
     )
 
 
 def _offsets(sizes: DataFrame) -> DataFrame:
-    """Offset of each (bucket, turbine, day): bucket's turbines before it, then the turbine's days before it."""
-    turb = sizes.groupBy("ws_bucket", "turb_id").agg(F.sum("_n").alias("_tn"))
+    """Offset of each (bucket, turbine, block): the bucket's turbines before it, then the turbine's blocks before it."""
     earlier = (Window.unboundedPreceding, -1)
+    turb = sizes.groupBy("ws_bucket", "turb_id").agg(F.sum("_n").alias("_tn"))
     turb = turb.withColumn(
         "_t_off", F.sum("_tn").over(Window.partitionBy("ws_bucket").orderBy("turb_id").rowsBetween(*earlier))
     )
-    days = sizes.withColumn(
-        "_d_off", F.sum("_n").over(Window.partitionBy("ws_bucket", "turb_id").orderBy("day").rowsBetween(*earlier))
+    blocks = sizes.withColumn(
+        "_b_off", F.sum("_n").over(Window.partitionBy("ws_bucket", "turb_id").orderBy("_blk").rowsBetween(*earlier))
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return days.join(turb, ["ws_bucket", "turb_id"]).select(
-        "ws_bucket", "turb_id", "day", (zero("_t_off") + zero("_d_off")).alias("_off")
+    return blocks.join(turb, ["ws_bucket", "turb_id"]).select(
+        "ws_bucket", "turb_id", "_blk", (zero("_t_off") + zero("_b_off")).alias("_off")
     )
 
 
@@ -94,7 +96,9 @@ def resample_noisy(df: DataFrame, pool: DataFrame, seed: int | None = 0, draw=No
     pick = F.xxhash64("turb_id", "slot", F.lit(seed)) if draw is None else draw
     sizes = pool.groupBy("ws_bucket").agg(F.count(F.lit(1)).alias("_size"))
     out = df.withColumn("ws_bucket", wind_bucket(F.col("wspd"))).join(sizes, "ws_bucket", "left")
-    out = out.withColumn("_rn", F.when(F.col("mask") == 0, F.pmod(pick, F.col("_size"))))
+    # rows that draw nothing get a number of their own below zero: one shared NULL would be a hot join key
+    number = F.when(F.col("mask") == 0, F.pmod(pick, F.col("_size"))).otherwise(-1 - F.col("slot"))
+    out = out.withColumn("_rn", number)
     donors = pool.select("ws_bucket", F.col("rn").alias("_rn"), F.col("patv").alias("_donor"))
     return (
         out.join(donors, ["ws_bucket", "_rn"], "left")

@@ -41,12 +41,12 @@ NEEDS = {
 }
 
 
-def _merged(stat: str, col: str, width: int) -> Column:
+def _merged(stat: str, col: str, width: int, counted: str) -> Column:
     """Statistic of tail piece (``_t_``) and head piece (``_h_``) together."""
     t = lambda p: F.col(f"_t_{p}_{col}")
     h = lambda p: F.col(f"_h_{p}_{col}")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    na, nb = F.coalesce(t("n"), F.lit(0)), F.coalesce(h("n"), F.lit(0))
+    na, nb = F.coalesce(F.col(f"_t_n_{counted}"), F.lit(0)), F.coalesce(F.col(f"_h_n_{counted}"), F.lit(0))
     n = na + nb
     if stat == "count":
         return n
@@ -93,13 +93,14 @@ def trailing(
     entity: Sequence[str] = ENTITY,
     pos: str = "time",
     derive: Callable[[DataFrame, Window], DataFrame] | None = None,
-    drop: Sequence[str] = (),
+    complete: bool = False,
 ) -> DataFrame:
     """Add ``{out: (stat, col)}`` over the last ``width`` rows; NULL until the window is full and has no NULL.
 
     Stats: count, sum, mean, share, max, min, var (n-1), var_pop, skew, kurt, and ("lag", col, k): the value k
     rows back. ``derive(df, window)`` may add helper columns once a row has met its halo; ``window`` is ordered.
-    ``pos`` must be a gap-free row position.
+    ``pos`` must be a gap-free row position. ``complete`` promises columns without NULL: rows are then counted
+    once instead of once per column.
     """
     group = [*entity, "_blk"]
     asc = Window.partitionBy(*group).orderBy(pos)
@@ -111,22 +112,21 @@ def trailing(
         out = derive(out, asc)
     pieces = sorted({(p, s[1]) for s in specs.values() if s[0] != "lag" for p in NEEDS[s[0]]})
     cols = sorted({s[1] for s in specs.values() if s[0] != "lag"})
+    counted = cols[:1] if complete else cols
     foreign = lambda c: F.when(~F.col("_own"), F.col(c))
     mine = lambda c: F.when(F.col("_own"), F.col(c))
-    tails = {f"_s_n_{c}": F.count(foreign(c)).over(down) for c in cols}
+    tails = {f"_s_n_{c}": F.count(foreign(c)).over(down) for c in counted}
     tails |= {f"_s_{p}_{c}": PIECES[p](foreign(c)).over(down) for p, c in pieces}
-    heads = {f"_h_n_{c}": F.count(mine(c)).over(up) for c in cols}
+    heads = {f"_h_n_{c}": F.count(mine(c)).over(up) for c in counted}
     heads |= {f"_h_{p}_{c}": PIECES[p](mine(c)).over(up) for p, c in pieces}
     heads |= {name.replace("_s_", "_t_", 1): F.lag(name, width - 1).over(asc) for name in tails}
     lags = {o: F.lag(s[1], s[2]).over(asc) for o, s in specs.items() if s[0] == "lag"}
     out = keep_own(out.withColumns(tails).withColumns(heads | lags).drop(*tails))
-    full = lambda c: (F.coalesce(F.col(f"_t_n_{c}"), F.lit(0)) + F.col(f"_h_n_{c}")) == width
-    results = {
-        o: F.when(full(s[1]), _merged(s[0], s[1], width)) if s[0] != "count" else _merged("count", s[1], width)
-        for o, s in specs.items()
-        if s[0] != "lag"
-    }
-    return out.withColumns(results).drop(*heads, *drop)
+    rows = lambda c: c if c in counted else counted[0]
+    full = lambda c: (F.coalesce(F.col(f"_t_n_{rows(c)}"), F.lit(0)) + F.col(f"_h_n_{rows(c)}")) == width
+    merged = {o: _merged(s[0], s[1], width, rows(s[1])) for o, s in specs.items() if s[0] != "lag"}
+    results = {o: m if specs[o][0] == "count" else F.when(full(specs[o][1]), m) for o, m in merged.items()}
+    return out.withColumns(results).drop(*heads)
 
 
 def trailing_arrow(

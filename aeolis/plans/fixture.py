@@ -91,16 +91,16 @@ FROM stepped LEFT JOIN curve USING (turb_id) LEFT JOIN angle USING (turb_id)""",
     "hier": """SELECT 'total' AS group_id, turb_id FROM turbines
 UNION ALL SELECT 'mod' || CAST(turb_id % 3 AS VARCHAR), turb_id FROM turbines
 UNION ALL SELECT 'odd', turb_id FROM turbines WHERE turb_id % 2 = 1""",
-    "models": """SELECT m AS model_id, CASE (m - 1) // 3 WHEN 0 THEN 12 WHEN 1 THEN 36 WHEN 2 THEN 72 WHEN 3 THEN 144
-  ELSE 288 END AS output_len FROM (SELECT unnest(range(1, 16)) AS m) r""",
+    "models": """SELECT m AS model_id, CAST(CASE (m - 1) // 3 WHEN 0 THEN 12 WHEN 1 THEN 36 WHEN 2 THEN 72 WHEN 3 THEN 144
+  ELSE 288 END AS BIGINT) AS output_len FROM (SELECT unnest(range(1, 16)) AS m) r""",
     "preds": """SELECT m.model_id, p.turb_id, s.step,
   greatest(p.patv + CAST((s.step * 37 + p.turb_id * 53 + m.model_id * 101) % 401 - 200 AS DOUBLE), 0e0) AS yhat
 FROM (SELECT turb_id, max_by(patv, slot) AS patv FROM panel GROUP BY turb_id) p, models m,
   (SELECT unnest(range(0, 288)) AS step) s""",
     "scored": f"""SELECT model_id, turb_id, step, yhat, patv AS y, CASE WHEN {UNKNOWN} THEN 0 ELSE 1 END AS mask
 FROM preds JOIN stepped USING (turb_id) WHERE step = time""",
-    "segments": """SELECT model_id, CASE output_len WHEN 12 THEN 0 WHEN 36 THEN 12 WHEN 72 THEN 36 WHEN 144 THEN 72
-  ELSE 144 END AS seg_start, output_len AS seg_end FROM models""",
+    "segments": """SELECT model_id, CAST(CASE output_len WHEN 12 THEN 0 WHEN 36 THEN 12 WHEN 72 THEN 36 WHEN 144 THEN 72
+  ELSE 144 END AS BIGINT) AS seg_start, output_len AS seg_end FROM models""",
     "pool": f"""SELECT {BUCKET} AS ws_bucket,
   row_number() OVER (PARTITION BY {BUCKET} ORDER BY turb_id, slot) - 1 AS rn, patv FROM masked WHERE mask = 1""",
     "series": f"""SELECT e.turb_id, e.slot AS time, s.slot - e.slot + {W - 1} AS i, coalesce(s.patv, 0) AS x

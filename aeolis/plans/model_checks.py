@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
@@ -233,7 +235,8 @@ def _(d):
     return models.mean_ensemble(d.preds)
 
 
-@query("train_grid", """SELECT grid, days, hidden1, hidden2, output_len, partial_days, attention, days * 24 AS input_len,
+@query("train_grid", """SELECT grid, CAST(days AS BIGINT) AS days, CAST(hidden1 AS BIGINT) AS hidden1, CAST(hidden2 AS BIGINT) AS hidden2,
+CAST(output_len AS BIGINT) AS output_len, CAST(partial_days AS BIGINT) AS partial_days, attention, CAST(days * 24 AS BIGINT) AS input_len,
 greatest((SELECT count(DISTINCT slot) FROM panel WHERE partial_days IS NULL OR day <= partial_days) - days * 24 - output_len + 1, 0) AS samples
 FROM (SELECT 'main' AS grid, unnest([64, 128]) AS hidden1, [12, 36, 72, 144, 288] AS outs
       UNION ALL SELECT 'temperature', 64, [108, 216]) g,
@@ -276,9 +279,6 @@ def _fitted(d, rows):
 
 @query("feature_vector")
 def _(d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
     rows = models.complete(d.panel, TRAIN_COLS)
     stages = models.feature_stages(TRAIN_COLS)
     vectors = Pipeline(stages=stages).fit(rows).transform(rows)

@@ -33,6 +33,14 @@ def _windowed(feature):
     return lambda d: se.window_features(_rows(d), W, [feature])
 
 
+def _autocorr(prefix):
+    def build(d):
+        out = se.window_features(_rows(d), W, [se.autocorrelation])
+        return out.select(*KEY, *[c for c in out.columns if c.startswith(prefix)])
+
+    return build
+
+
 query(
     "series_windows",
     "SELECT turb_id, time, count(*) AS n, sum(x) AS total, sum(x * i) AS weighted FROM series GROUP BY turb_id, time",
@@ -126,14 +134,14 @@ ACF = ", ".join(
 LEADS = ", ".join(f"lead(x, {k}) OVER o AS x{k}" for k in se.AUTOCORR_LAGS)
 ACF_SQL = f"""SELECT turb_id, time, {ACF} FROM (SELECT *, {LEADS}, avg(x) OVER a AS mu, var_pop(x) OVER a AS v FROM series
 WINDOW a AS (PARTITION BY turb_id, time), o AS (PARTITION BY turb_id, time ORDER BY i)) s GROUP BY turb_id, time"""
-query("ts_autocorrelation", ACF_SQL, _names(ACF_SQL))(_summed(*[f"autocorrelation__lag_{k}" for k in se.AUTOCORR_LAGS]))
+query("ts_autocorrelation", ACF_SQL, _names(ACF_SQL))(_autocorr("patv__autocorrelation"))
 query(
     "ts_partial_autocorr",
     f"""SELECT turb_id, time, patv__autocorrelation__lag_1 AS patv__partial_autocorrelation__lag_1,
 (patv__autocorrelation__lag_2 - pow(patv__autocorrelation__lag_1, 2)) / (1 - pow(patv__autocorrelation__lag_1, 2))
 AS patv__partial_autocorrelation__lag_2 FROM ({ACF_SQL}) r""",
     "patv__partial_autocorrelation__lag_1 patv__partial_autocorrelation__lag_2",
-)(_summed("partial_autocorrelation__lag_1", "partial_autocorrelation__lag_2"))
+)(_autocorr("patv__partial"))
 
 PREV = "(SELECT *, lag(x) OVER (PARTITION BY turb_id, time ORDER BY i) AS px FROM series) s"
 query(
@@ -174,7 +182,7 @@ greatest(1 - abs(t) / sqrt({DOF} + t * t) * {P_SUM}, 0) AS patv__linear_trend__a
 FROM (SELECT turb_id, time, t, {DOF} / ({DOF} + t * t) AS c2 FROM (SELECT turb_id, time,
   corr(x, i) * sqrt({DOF}) / sqrt(1 - pow(corr(x, i), 2)) AS t FROM series GROUP BY turb_id, time) a) b""",
     "patv__linear_trend__statistic patv__linear_trend__attr_pvalue",
-)(_summed("linear_trend__statistic", "linear_trend__attr_pvalue"))
+)(_windowed(se.linear_trend))
 query(
     "ts_index_mass_quantile",
     f"""SELECT turb_id, time, min(i + 1) FILTER (WHERE run >= {se.MASS_SHARE} * tot) / {W}e0 AS patv__index_mass_quantile__q_04
