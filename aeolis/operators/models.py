@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -46,15 +46,15 @@ def feature_columns(df: DataFrame, deny: Sequence[str] = NOT_FEATURES) -> list[s
     return [c for c, t in df.dtypes if c not in deny and t in numeric]
 
 
-def feature_stages(cols: Sequence[str], categorical: str | None = "turb_id", max_categories: int = 256) -> list:
-    """Assemble the inputs; integer-coded columns with few values (the turbine) are treated as categories."""
-    assembled = VectorAssembler(inputCols=list(cols), outputCol="raw_features", handleInvalid="keep")
+def feature_stages(cols: Sequence[str], categorical: str | None = "turb_id") -> list:
+    """Assemble the inputs; the turbine may be coded as a category (as many bins as turbines are needed then)."""
     if categorical not in cols:
-        return [assembled.setOutputCol("features")]
-    indexer = VectorIndexer(
-        inputCol="raw_features", outputCol="features", maxCategories=max_categories, handleInvalid="keep"
+        return [VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")]
+    code = StringIndexer(
+        inputCol=categorical, outputCol="_code", handleInvalid="keep", stringOrderType="alphabetAsc"
     )
-    return [assembled, indexer]
+    coded = ["_code" if c == categorical else c for c in cols]
+    return [code, VectorAssembler(inputCols=coded, outputCol="features", handleInvalid="keep")]
 
 
 def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -74,6 +74,7 @@ def train_boosted_trees(
     seed: int = 50,
     min_gain: float = 0.01,
     categorical: str | None = None,
+    max_bins: int = 32,
 ) -> PipelineModel:
     """Squared-error boosting, distributed by Spark ML. ``validation`` names a boolean column whose true rows only
     decide when to stop. (Spark ML has no L1/L2 terms.)"""
@@ -83,7 +84,7 @@ def train_boosted_trees(
         maxIter=rounds,
         stepSize=rate,
         maxDepth=depth,
-        maxBins=max(32, 256 if categorical else 32),
+        maxBins=max_bins,
         subsamplingRate=share,
         featureSubsetStrategy=str(share),
         validationTol=min_gain,
@@ -205,11 +206,14 @@ def farm_repair_inputs(df: DataFrame, curve: DataFrame, wdir: DataFrame) -> Data
 SAMPLE_INPUTS = ("last_patv", "mean_patv", "mean_wspd", "known_share", "hour_sin", "hour_cos")
 
 
-def sample_inputs(samples: DataFrame) -> DataFrame:
-    """Few summary inputs of each sample, next to its target array; ``complete`` where all are known."""
+def sample_inputs(samples: DataFrame, steps_per_day: int) -> DataFrame:
+    """Few summary inputs of each sample, next to its target array; ``complete`` where all are known.
+
+    The clock is that of the first step to forecast, known in advance.
+    """
     some = lambda c: F.filter(F.col(c), lambda v: v.isNotNull())
     mean = lambda c: F.try_divide(F.aggregate(some(c), F.lit(0.0), lambda a, v: a + v), F.size(some(c)))
-    turn = 2 * F.pi() * F.col("dec_hour")[0] / 24
+    turn = 2 * F.pi() * ((F.col("anchor") + 1) % steps_per_day) / steps_per_day
     out = samples.withColumns(
         {
             "last_patv": F.get(some("enc_patv"), F.size(some("enc_patv")) - 1),
@@ -219,7 +223,7 @@ def sample_inputs(samples: DataFrame) -> DataFrame:
             "hour_sin": F.sin(turn),
             "hour_cos": F.cos(turn),
         }
-    ).drop("enc_patv", "enc_wspd", "dec_hour")
+    ).drop("enc_patv", "enc_wspd")
     present = F.lit(True)
     for c in SAMPLE_INPUTS:
         present = present & F.col(c).isNotNull()

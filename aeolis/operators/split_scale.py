@@ -141,17 +141,19 @@ def sequence_samples(
     """Sliding samples, stride 1: arrays ``enc_<col>`` of the inputs and ``dec_<col>`` of the steps that follow.
 
     ``pos`` must be gap-free; missing values stay in place as NULL elements. ``anchor`` is the last input step.
+    With ``output_len`` 0 there is no decoder part, as for a forecast.
     """
     haloed = with_halo(df, pos, size, back=input_len - 1, ahead=output_len)
     w = Window.partitionBy(*entity, "_blk").orderBy(pos)
     past, future = w.rowsBetween(1 - input_len, 0), w.rowsBetween(1, output_len)
-    boxes = {
-        "_enc": F.collect_list(F.struct(*enc_cols)).over(past),
-        "_dec": F.collect_list(F.struct(*dec_cols)).over(future),
-    }
-    out = haloed.withColumns(boxes).filter(
-        F.col("_own") & (F.size("_enc") == input_len) & (F.size("_dec") == output_len)
-    )
+    boxes = {"_enc": F.collect_list(F.struct(*enc_cols)).over(past)}
+    enough = F.col("_own") & (F.size("_enc") == input_len)
+    if output_len:
+        boxes["_dec"] = F.collect_list(F.struct(*dec_cols)).over(future)
+        enough = enough & (F.size("_dec") == output_len)
+    else:
+        dec_cols = ()
+    out = haloed.withColumns(boxes).filter(enough)
     arrays = {f"enc_{c}": F.col(f"_enc.{c}") for c in enc_cols} | {f"dec_{c}": F.col(f"_dec.{c}") for c in dec_cols}
     return out.select(*entity, F.col(pos).alias("anchor"), *[c.alias(n) for n, c in arrays.items()])
 
