@@ -62,6 +62,16 @@ def with_halo(df: DataFrame, pos: str, size: int, back: int = 0, ahead: int = 0)
     return df.withColumn("_blk", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_blk") == home)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle on ``keys`` into the session's full number of partitions.
+
+    Adaptive execution sizes partitions by bytes and would put a few narrow columns into one or two tasks; work that
+    is heavy per row needs all of them. A grouping on the same keys that follows reuses this shuffle.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys)
+
+
 def keep_own(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_own", "_blk")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolis.functions.scalar import with_clock
-from aeolis.operators.blocks import BLOCK, CARRY_BLOCK, ENTITY, block_id, neighbours
+from aeolis.operators.blocks import BLOCK, CARRY_BLOCK, ENTITY, block_id, neighbours, spread
 
 
 def _with_slots(df: DataFrame, first, last, size: int = BLOCK) -> DataFrame:
@@ -16,8 +16,7 @@ def _with_slots(df: DataFrame, first, last, size: int = BLOCK) -> DataFrame:
     out = df.withColumns({"_first": first, "_last": last})
     out = out.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("_first") / size), F.floor(F.col("_last") / size))))
     # a fixed partition count, so that the tiny block rows are not merged into one task before they unroll
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartition(tasks, *[c for c in ("turb_id",) if c in out.columns], "_blk")
+    out = spread(out, *[c for c in ("turb_id",) if c in out.columns], "_blk")
     begin = F.greatest(F.col("_blk") * size, F.col("_first"))
     end = F.least((F.col("_blk") + 1) * size - 1, F.col("_last"))
     return out.withColumn("slot", F.explode(F.sequence(begin, end))).drop("_first", "_last", "_blk")

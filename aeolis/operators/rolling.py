@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeolis.operators.blocks import BLOCK, ENTITY, keep_own, with_halo
+from aeolis.operators.blocks import BLOCK, ENTITY, keep_own, spread, with_halo
 
 PIECES = {
     "sum": F.sum,
@@ -155,7 +155,7 @@ def trailing_arrow(
         new = {o: getattr(block[c].astype("float64").rolling(n), stat)() for o, (stat, c, n) in wanted}
         return block[kept].assign(**new)[block["_own"].to_numpy()]
 
-    return haloed.groupBy(*entity, "_blk").applyInPandas(roll, schema)
+    return spread(haloed, *entity, "_blk").groupBy(*entity, "_blk").applyInPandas(roll, schema)
 
 
 def roll_bundle(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeolis.operators.blocks import BLOCK, ENTITY, with_halo
+from aeolis.operators.blocks import BLOCK, ENTITY, spread, with_halo
 from aeolis.operators.rolling import trailing
 
 # Executors get these helpers inside the task, whether or not the package is installed there.
@@ -35,6 +35,7 @@ CROSSING_LEVELS = (0, 1)
 AR_ORDER = 10
 MASS_SHARE = 0.4
 FLAT = 1e-8
+TIE = 1e-12
 
 
 def two_sided_p(t: np.ndarray, dof: int) -> np.ndarray:
@@ -195,9 +196,10 @@ def ar_coefficient(w: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def index_mass_quantile(w: np.ndarray) -> dict[str, np.ndarray]:
+    """Place where the running sum of sizes reaches its share; an exact tie counts despite rounding."""
     mass = np.abs(w).cumsum(axis=1)
     total = mass[:, -1]
-    first = (mass >= MASS_SHARE * total[:, None]).argmax(axis=1) + 1
+    first = (mass >= MASS_SHARE * (1 - TIE) * total[:, None]).argmax(axis=1) + 1
     return {"index_mass_quantile__q_04": np.where(total > 0, first / w.shape[1], np.nan)}
 
 
@@ -261,7 +263,7 @@ def window_features(
                     parts[name].append(v)
         return ends.iloc[chosen][kept].assign(**{f"{col}__{n}": np.concatenate(v) for n, v in parts.items()})
 
-    return narrow.groupBy(*entity, "_blk").applyInPandas(compute, schema)
+    return spread(narrow, *entity, "_blk").groupBy(*entity, "_blk").applyInPandas(compute, schema)
 
 
 def series_features(

@@ -35,15 +35,19 @@ def _nth_last_day(df: DataFrame, n: int) -> Column:
     return newest.agg(F.min("day")).scalar()
 
 
-def split_by_day(df: DataFrame, valid_days: int, test_days: int, online: bool = False) -> DataFrame:
+def split_by_day(
+    df: DataFrame, valid_days: int, test_days: int, online: bool = False, calendar: DataFrame | None = None
+) -> DataFrame:
     """Rows without a target are ``pred``; else the last days are ``test``, those before ``valid``.
 
-    Two extra days at the end are reserved for the forecast itself.
+    Two extra days at the end are reserved for the forecast itself. ``calendar`` is any cheaper table with the
+    same days (the source of ``df``), to spare a second evaluation of ``df``.
     """
+    days = df if calendar is None else calendar
     kind = F.when(F.col("target").isNull(), "pred")
     if not online:
-        test_from = _nth_last_day(df, test_days + 2)
-        valid_from = _nth_last_day(df, valid_days + test_days + 2)
+        test_from = _nth_last_day(days, test_days + 2)
+        valid_from = _nth_last_day(days, valid_days + test_days + 2)
         kind = kind.when(F.col("day") >= test_from, "test").when(F.col("day") >= valid_from, "valid")
     return df.withColumn("data_type", kind.otherwise("train"))
 

@@ -184,7 +184,8 @@ class Fixture:
 
     @cached_property
     def split(self) -> DataFrame:
-        return split_by_day(self.labelled.join(self.angle, "turb_id", "left"), VALID_DAYS, TEST_DAYS)
+        rows = self.labelled.join(self.angle, "turb_id", "left")
+        return split_by_day(rows, VALID_DAYS, TEST_DAYS, calendar=self.panel)
 
     @cached_property
     def evaluated(self) -> DataFrame:

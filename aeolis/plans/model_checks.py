@@ -86,12 +86,12 @@ def _(d):
 
 @query("adaptive_norm", f"""WITH t AS (SELECT slot, count(patv) AS n, sum(patv) AS s, sum(patv * patv) AS q FROM masked GROUP BY slot),
 b AS (SELECT slot, sum(s) OVER w / sum(n) OVER w AS m, sqrt(sum(q) OVER w / sum(n) OVER w - pow(sum(s) OVER w / sum(n) OVER w, 2)) AS sd,
-  count(*) OVER w AS k FROM t WINDOW w AS (ORDER BY slot ROWS {IN - 1} PRECEDING)),
+  count(*) OVER w AS k, sum(n) OVER w AS n FROM t WINDOW w AS (ORDER BY slot ROWS {IN - 1} PRECEDING)),
 g AS (SELECT group_id, slot, coalesce(sum(patv), 0) AS y FROM masked JOIN hier USING (turb_id) GROUP BY group_id, slot),
 u AS (SELECT group_id, slot, stddev_pop(y) OVER (PARTITION BY group_id ORDER BY slot ROWS {IN - 1} PRECEDING) AS sd FROM g)
-SELECT slot, 'base' AS node, m AS mean, sd AS std FROM b WHERE k = {IN}
+SELECT slot, 'base' AS node, m AS mean, sd AS std FROM b WHERE k = {IN} AND n > 0
 UNION ALL SELECT b.slot, u.group_id, c.k * b.m, u.sd FROM b JOIN u ON u.slot = b.slot
-JOIN (SELECT group_id, count(*) AS k FROM hier GROUP BY group_id) c ON c.group_id = u.group_id WHERE b.k = {IN}""", "mean std", 4)
+JOIN (SELECT group_id, count(*) AS k FROM hier GROUP BY group_id) c ON c.group_id = u.group_id WHERE b.k = {IN} AND b.n > 0""", "mean std", 4)
 def _(d):
     values = d.masked.withColumn("farm_id", F.lit(1)).select("farm_id", *KEY, "patv")
     return split_scale.adaptive_norm(values, d.hier, IN).drop("farm_id")
@@ -277,12 +277,15 @@ def _fitted(d, rows):
     )
 
 
-@query("feature_vector")
+@query("feature_vector", """SELECT turb_id, slot, dense_rank() OVER (ORDER BY CAST(turb_id AS VARCHAR) || '.0') - 1 AS code,
+coalesce(wspd, -9999) AS wspd, coalesce(patv, -9999) AS patv FROM full_panel""", "code wspd patv")
 def _(d):
-    rows = models.complete(d.panel, TRAIN_COLS)
-    stages = models.feature_stages(TRAIN_COLS)
-    vectors = Pipeline(stages=stages).fit(rows).transform(rows)
-    return vectors.select(*KEY, vector_to_array("features").alias("features"))
+    rows = models.complete(d.full_panel, TRAIN_COLS)
+    vectors = Pipeline(stages=models.feature_stages(TRAIN_COLS)).fit(rows).transform(rows)
+    x = vector_to_array("features")
+    return vectors.select(
+        F.col("turb_id").cast("bigint").alias("turb_id"), "slot", x[0].alias("code"), x[1].alias("wspd"), x[7].alias("patv")
+    )
 
 
 @query("train_boosted_trees")

@@ -185,7 +185,7 @@ FROM (SELECT turb_id, time, t, {DOF} / ({DOF} + t * t) AS c2 FROM (SELECT turb_i
 )(_windowed(se.linear_trend))
 query(
     "ts_index_mass_quantile",
-    f"""SELECT turb_id, time, min(i + 1) FILTER (WHERE run >= {se.MASS_SHARE} * tot) / {W}e0 AS patv__index_mass_quantile__q_04
+    f"""SELECT turb_id, time, min(i + 1) FILTER (WHERE run >= {se.MASS_SHARE * (1 - se.TIE)!r}e0 * tot) / {W}e0 AS patv__index_mass_quantile__q_04
 FROM (SELECT turb_id, time, i, sum(abs(x)) OVER (PARTITION BY turb_id, time ORDER BY i) AS run,
       sum(abs(x)) OVER (PARTITION BY turb_id, time) AS tot FROM series) s GROUP BY turb_id, time""",
     "patv__index_mass_quantile__q_04",
