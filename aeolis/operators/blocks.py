@@ -141,9 +141,22 @@ def neighbours(
     the row itself included."""
     keys = [*entity, "_blk"]
     base = df.withColumn("_blk", block_id(pos, size))
+    at = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in cols}
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(c).alias("value"))) for c in cols}
-    edge = {"prev": F.max, "next": F.min}
-    summary = base.groupBy(*keys).agg(*[edge[s](known[c]).alias(f"_{s}0_{c}") for s in want for c in cols])
+    # position and value are aggregated apart: a struct would force a sort of the big side instead of a hash map
+    edge = {"prev": (F.max, F.max_by), "next": (F.min, F.min_by)}
+    parts = [
+        a.alias(f"_{s}0{kind}_{c}")
+        for s in want
+        for c in cols
+        for kind, a in (("p", edge[s][0](at[c])), ("v", edge[s][1](c, at[c])))
+    ]
+    summary = base.groupBy(*keys).agg(*parts)
+    box = lambda s, c: F.struct(F.col(f"_{s}0p_{c}").alias("pos"), F.col(f"_{s}0v_{c}").alias("value"))
+    summary = summary.select(
+        *keys,
+        *[F.when(F.col(f"_{s}0p_{c}").isNotNull(), box(s, c)).alias(f"_{s}0_{c}") for s in want for c in cols],
+    )
     along = {
         "prev": Window.partitionBy(*entity).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1),
         "next": Window.partitionBy(*entity).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1),

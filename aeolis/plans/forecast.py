@@ -161,8 +161,7 @@ def short_leg_rows(panel: DataFrame, curve: DataFrame, angle: DataFrame, setting
     rows = gaps.fill_missing_slots(rows, settings.steps_per_day).withColumn("farm_id", F.lit(1))
     rows = stage(sc.with_wind_angle(rows, angle), "grid")
     rows = gaps.fill_row_order(rows, ["w_angle_sin", "w_angle_cos", "wspd"])
-    rows = sc.with_unknown_mask(rows)
-    rows = repair.repair_temperature(rows)
+    rows = repair.repair_temperature(stage(sc.with_unknown_mask(rows), "filled"))
     kept = ["farm_id", "turb_id", "slot", "day", "tmstamp", "wspd", "etmp", "itmp", "patv"]
     rows = stage(rows.select(*kept, "w_angle_sin", "w_angle_cos", "mask", "pab_mask", "etmp_median", "itmp_median"), "clean")
     drawn = repair.resample_noisy(rows, repair.normal_pool(rows)).drop("ws_bucket")
