@@ -81,9 +81,12 @@ def reconcile(nodes: DataFrame, edges: DataFrame, col: str = "yhat", step: str =
         .groupBy(F.col("g").alias("row"), step)
         .agg(F.sum(F.col("value") * F.col("residual")).alias("_v"))
     )
+    # each node meets its few matrix entries first, then the correction of that group and step: a group of all
+    # turbines is never one join key for all steps
+    entries = nodes.select("node", step).join(constraint_matrix(edges).withColumnRenamed("col", "node"), "node")
     shift = (
-        v.join(constraint_matrix(edges), "row")
-        .groupBy(F.col("col").alias("node"), step)
+        entries.join(v, ["row", step])
+        .groupBy("node", step)
         .agg(F.sum(F.col("value") * F.col("_v")).alias("_shift"))
     )
     out = nodes.join(shift, ["node", step], "left")

@@ -243,7 +243,7 @@ FROM (SELECT 'main' AS grid, unnest([64, 128]) AS hidden1, [12, 36, 72, 144, 288
  (SELECT unnest([2, 4, 7]) AS days) a, (SELECT unnest([8, 16]) AS hidden2) b, (SELECT unnest([NULL, 14]) AS partial_days) c,
  (SELECT unnest([true, false]) AS attention) e, LATERAL (SELECT unnest(g.outs) AS output_len) o""")
 def _(d):
-    # the grids of the reference with its 140 of 245 days turned into 14 of 30
+    # 140 of 245 days become 14 of 30
     grids = {
         "main": models.GRID_MAIN | {"partial_days": (None, 14)},
         "temperature": models.GRID_TEMPERATURE | {"partial_days": (None, 14)},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aeolis.operators import series as se
 from aeolis.plans.fixture import W
-from aeolis.plans.registry import query
+from aeolis.plans.registry import ENTRIES, query
 
 KEY = ("turb_id", "time")
 
@@ -192,6 +192,18 @@ FROM (SELECT turb_id, time, i, sum(abs(x)) OVER (PARTITION BY turb_id, time ORDE
 )(_windowed(se.index_mass_quantile))
 
 
-@query("series_features")
+PARTS = (
+    "ts_change_quantiles", "ts_fft_abs", "ts_fft_moments", "ts_fourier_entropy", "ts_autocorrelation", "ts_partial_autocorr",
+    "ts_number_crossing", "ts_last_max_location", "ts_cid_ce", "ts_longest_above_mean", "ts_index_mass_quantile",
+)
+ALL_SQL = "SELECT * FROM " + " JOIN ".join(
+    f"({ENTRIES[part].sql}) p{i}" + (" USING (turb_id, time)" if i else "") for i, part in enumerate(PARTS)
+)
+
+
+@query("series_features", ALL_SQL, " ".join(c for part in PARTS for c in ENTRIES[part].num), 4)
 def _(d):
-    return se.series_features(_rows(d), W)
+    # the two features with statements of their own (or none) are left out here
+    return se.series_features(_rows(d), W).drop(
+        "patv__ar_coefficient__coeff_1__k_10", "patv__linear_trend__attr_pvalue"
+    )

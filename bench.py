@@ -1,7 +1,7 @@
 """Headline timings on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; prints one JSON line.
 
 The panel has the size of the contest farm in turbines (eleven users make one turbine: 137 at sf0.1) and the
-reference's window lengths (288 rolling, 432 series). Every query is run once to warm up and then timed; results
+window lengths of a 10-minute grid (288 rolling, 432 series). Every query is run once to warm up and then timed; results
 go to Spark's ``noop`` sink, so the whole result is computed and nothing is collected.
 """
 

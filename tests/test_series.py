@@ -100,7 +100,7 @@ def test_long_window_uses_several_spectrum_segments():
         assert got["fourier_entropy__bins_5"][i] == pytest.approx(entropy(spectrum_power(w[i]), 5))
 
 
-def test_reference_window_has_59_features():
+def test_full_length_window_has_59_features():
     w = np.random.default_rng(6).normal(size=(2, 432))
     names = {n for f in se.WINDOW_FEATURES for n in f(w)} - {"linear_trend__statistic"}
     assert len(names) + 5 == 59  # and the five summed ones
