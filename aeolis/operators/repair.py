@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolis.functions.scalar import abnormal_patv, known, wind_bucket
@@ -107,11 +107,13 @@ def resample_noisy(df: DataFrame, pool: DataFrame, seed: int | None = 0, draw=No
     )
 
 
-def overwrite_abnormal(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
-    """Abnormal power becomes the model's prediction; other rows stay as they are."""
-    return scored.withColumn(
-        "patv", F.when(abnormal_patv(), F.col(prediction)).otherwise(F.col("patv"))
-    ).drop(prediction)
+def overwrite_abnormal(scored: DataFrame, prediction: str = "prediction", flag: Column | None = None) -> DataFrame:
+    """Abnormal power becomes the model's prediction; other rows stay as they are.
+
+    ``flag`` is the mask of the readings as delivered, if they have been changed since.
+    """
+    bad = abnormal_patv() if flag is None else flag
+    return scored.withColumn("patv", F.when(bad, F.col(prediction)).otherwise(F.col("patv"))).drop(prediction)
 
 
 def overwrite_unknown(scored: DataFrame, prediction: str = "prediction") -> DataFrame:

@@ -99,8 +99,10 @@ FROM (SELECT turb_id, max_by(patv, slot) AS patv FROM panel GROUP BY turb_id) p,
   (SELECT unnest(range(0, 288)) AS step) s""",
     "scored": f"""SELECT model_id, turb_id, step, yhat, patv AS y, CASE WHEN {UNKNOWN} THEN 0 ELSE 1 END AS mask
 FROM preds JOIN stepped USING (turb_id) WHERE step = time""",
+    "lengths": """SELECT model_id, max(step) + 1 AS output_len FROM preds JOIN models USING (model_id)
+WHERE step < output_len GROUP BY model_id""",
     "segments": """SELECT model_id, CAST(CASE output_len WHEN 12 THEN 0 WHEN 36 THEN 12 WHEN 72 THEN 36 WHEN 144 THEN 72
-  ELSE 144 END AS BIGINT) AS seg_start, output_len AS seg_end FROM models""",
+  ELSE 144 END AS BIGINT) AS seg_start, output_len AS seg_end FROM lengths""",
     "pool": f"""SELECT {BUCKET} AS ws_bucket,
   row_number() OVER (PARTITION BY {BUCKET} ORDER BY turb_id, slot) - 1 AS rn, patv FROM masked WHERE mask = 1""",
     "series": f"""SELECT e.turb_id, e.slot AS time, s.slot - e.slot + {W - 1} AS i, coalesce(s.patv, 0) AS x
@@ -203,12 +205,12 @@ class Fixture:
         return self.turbines.select(F.explode(F.array_compact(groups)).alias("group_id"), "turb_id")
 
     @cached_property
-    def models(self) -> DataFrame:
-        m = F.col("model_id")
-        length = F.element_at(F.array(*[F.lit(n) for n in OUTPUT_LENGTHS]), (F.floor((m - 1) / 3) + 1).cast("int"))
-        return self.spark.range(1, MODELS + 1).select(F.col("id").alias("model_id")).withColumn(
-            "output_len", length.cast("bigint")
-        )
+    def lengths(self) -> DataFrame:
+        """(model_id, output_len) read off the forecasts, each model cut to the length it is meant for."""
+        lengths = F.array(*[F.lit(n).cast("bigint") for n in OUTPUT_LENGTHS])
+        meant = F.get(lengths, F.floor((F.col("model_id") - 1) / 3).cast("int"))
+        own = self.preds.filter(F.col("step") < meant)
+        return own.groupBy("model_id").agg((F.max("step") + 1).alias("output_len"))
 
     @cached_property
     def preds(self) -> DataFrame:

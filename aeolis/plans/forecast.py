@@ -40,20 +40,18 @@ class Boosting:
 def repaired_panel(panel: DataFrame, boosting: Boosting, repair_model: PipelineModel | None = None) -> DataFrame:
     """Temperature, direction and power repaired; the scoring mask kept as ``abnormal``."""
     rows = sc.fill_zero(repair.repair_sigma(panel, "etmp"))
-    rows = rows.withColumn("abnormal", sc.abnormal_eval())
-    rows = stage(rows, "masked")
+    # both masks look at the readings as delivered, before any direction is interpolated
+    rows = stage(rows.withColumns({"abnormal": sc.abnormal_eval(), "abnormal_patv": sc.abnormal_patv()}), "masked")
     cols = list(models.REPAIR_INPUTS)
     smooth = gaps.interpolate(sc.with_ndir_mask(step_index(rows)), "ndir")
     smooth = stage(smooth, "smooth")
     if repair_model is None:
-        normal = smooth.filter(~sc.abnormal_patv())
         repair_model = models.train_boosted_trees(
-            normal, cols, label="patv", rounds=boosting.rounds, rate=boosting.rate, depth=boosting.depth
+            smooth.filter("NOT abnormal_patv"), cols, label="patv", rounds=boosting.rounds, rate=boosting.rate, depth=boosting.depth
         )
-    flagged = smooth.withColumn("_flag", sc.abnormal_patv() | F.col("abnormal_ndir"))
-    scored = models.predict(repair_model, flagged, cols, "prediction")
-    fixed = scored.withColumn("patv", F.when(F.col("_flag"), F.col("prediction")).otherwise(F.col("patv")))
-    return sc.drop_prefixed(sc.clip_nonneg(fixed.drop("_flag", "prediction")))
+    scored = models.predict(repair_model, smooth, cols, "prediction")
+    fixed = repair.overwrite_abnormal(scored, flag=F.col("abnormal_patv"))
+    return sc.drop_prefixed(sc.clip_nonneg(fixed))
 
 
 def long_leg_features(

@@ -341,7 +341,7 @@ def _(d):
 
 @query("horizon_segments", "SELECT model_id, seg_start, seg_end FROM segments")
 def _(d):
-    return blend.horizon_segments(d.models)
+    return blend.horizon_segments(d.lengths)
 
 
 SEG_SQL = """SELECT turb_id, step, seg_start, seg_end, median(yhat) AS yhat FROM preds JOIN segments USING (model_id)
@@ -350,12 +350,12 @@ WHERE step >= seg_start AND step < seg_end GROUP BY turb_id, step, seg_start, se
 
 @query("segment_median", SEG_SQL, "yhat")
 def _(d):
-    return blend.segment_median(d.preds, blend.horizon_segments(d.models))
+    return blend.segment_median(d.preds, blend.horizon_segments(d.lengths))
 
 
 @query("segment_concat", f"SELECT turb_id, step, yhat FROM ({SEG_SQL}) s", "yhat")
 def _(d):
-    return blend.segment_concat(d.preds, blend.horizon_segments(d.models))
+    return blend.segment_concat(d.preds, blend.horizon_segments(d.lengths))
 
 
 LAST = f"""SELECT turb_id, median(patv) AS last FROM panel WHERE slot >= (SELECT min(slot) FROM
