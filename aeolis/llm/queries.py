@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import mixing
+from aeolis.llm import mixing, topk
 from aeolis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,12 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_poisson_mix"] = mixing.oracle()
+
+
+@query
+def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_histogram_topk"] = topk.oracle()
