@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import mixing, topk
+from aeolis.llm import mixing, tokens, topk
 from aeolis.llm.common import table
 
+def tokenizer(name: str) -> str:
+    """A file of the public tokenizers; its folder is no part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,3 +41,9 @@ def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_histogram_topk"] = topk.oracle()
+
+
+@query
+def op10_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as shards and read back by key."""
+    return tokens.binary_round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
