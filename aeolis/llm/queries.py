@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import mixing, tokens, topk
+from aeolis.llm import mixing, packing, tokens, topk
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -47,3 +47,9 @@ ORACLES["op5_histogram_topk"] = topk.oracle()
 def op10_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as shards and read back by key."""
     return tokens.binary_round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, packed into sequences of at most 2048."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
