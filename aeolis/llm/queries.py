@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import mixing, packing, tokens, topk
+from aeolis.llm import jaccard, mixing, packing, tokens, topk
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -53,3 +53,12 @@ def op10_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, packed into sequences of at most 2048."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op7_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the group they are connected to by a similarity of 0.9 over three-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_count_vector_join"] = jaccard.oracle()
