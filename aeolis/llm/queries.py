@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import jaccard, mixing, packing, tokens, topk
+from aeolis.llm import jaccard, mixing, packing, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -62,3 +62,9 @@ def op7_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_count_vector_join"] = jaccard.oracle()
+
+
+@query
+def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from two thirds of the labels."""
+    return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
