@@ -34,7 +34,7 @@ def shingles(text: str, k: int, seen: dict[str, int]) -> np.ndarray:
     words = WORDS.findall(text.lower() if text.isascii() else text.translate(_UPPER))
     if not words:
         return np.empty(0, np.uint64)
-    for w in set(words) - seen.keys():
+    for w in [w for w in set(words) if w not in seen]:
         seen[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)

@@ -57,7 +57,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         cuts = [self._cut(t) for t in texts]
         pieces = "\x00".join(c for c in cuts if c).split("\x00")
-        missing = [p for p in set(pieces) - self.known.keys() if p]
+        missing = [p for p in set(pieces) if p and p not in self.known]
         if len(self.known) + len(missing) > KEPT:
             self.before, self.known = self.known, {}
             missing = [p for p in set(pieces) if p]

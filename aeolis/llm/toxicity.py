@@ -17,7 +17,7 @@ from aeolis.llm.common import bound_batches, fold, stage, text_slices, without
 #: Bound of the labelled sample that the model is fitted on: about so many documents of each class, chosen by a hash of the id.
 SAMPLE = 4000
 #: Least |z| of a feature, pseudo-documents of the prior, what every token costs, largest expected chance passages per document.
-LEAST_Z, PRIOR, COST, CHANCE = 3.0, 50.0, 0.25, 0.01
+LEAST_Z, PRIOR, COST, CHANCE = 3.0, 50.0, 1.0, 0.01
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
@@ -29,9 +29,9 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """odds: feature -> (|z|, lower bound of the log-odds). rate, place: Gumbel law of chance passages. slope, base: to a probability."""
+    """odds: feature -> log-odds, cautiously. rate, place: Gumbel law of chance passages. slope, base: to a probability."""
 
-    odds: dict[str, tuple[float, float]]
+    odds: dict[str, float]
     rate: float = 1.0
     place: float = 0.0
     slope: float = 1.0
@@ -41,16 +41,20 @@ class Model:
         self.known: dict[str, float] = {}
 
     def word(self, word: str) -> float:
-        found = [self.odds[f] for f in features(word) if f in self.odds]
-        return (max(found)[1] if found else 0.0) - COST
+        return next((self.odds[f] for f in features(word) if f in self.odds), 0.0) - COST
 
     def tokens(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
         if len(self.known) > 500_000:
             self.known = {}
-        for w in set(words) - self.known.keys():
+        for w in [w for w in set(words) if w not in self.known]:
             self.known[w] = self.word(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+        scores = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+        met: Counter = Counter()
+        for i in np.flatnonzero(scores > 0).tolist():  # a word's n-th occurrence counts 1 / n: repeated lines prove little
+            met[words[i]] += 1
+            scores[i] = (scores[i] + COST) / met[words[i]] - COST
+        return scores
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
         """(begin, end, evidence) of the significant passages; evidence is minus the log of the expected chance passages as good."""
@@ -59,7 +63,7 @@ class Model:
         return [p for p in found if p[2] >= -math.log(CHANCE)]
 
     def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * evidence + self.base))))
+        return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * math.asinh(evidence) + self.base))))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -88,8 +92,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, h - lo) for b, e, lo, h in kept]
 
 
-def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[str, tuple[float, float]]:
-    """Log-odds of the features under a Dirichlet prior shaped like the whole sample, kept where they are significant.
+def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[str, float]:
+    """Log-odds of the features under a Dirichlet prior shaped like the whole sample, less one deviation; 0 if insignificant.
 
     ``counts``: documents of either class that hold the feature. The prior has PRIOR pseudo-documents in each class.
     """
@@ -100,7 +104,9 @@ def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[
         odds = math.log(t / (toxic + PRIOR - t)) - math.log(c / (clean + PRIOR - c))
         spread = math.sqrt(1 / t + 1 / c)
         if abs(odds) / spread >= LEAST_Z:
-            out[f] = (abs(odds) / spread, odds - math.copysign(spread, odds))
+            out[f] = odds - math.copysign(spread, odds)
+        elif a + b >= 20:  # often enough to be known as neutral; what is rarer is judged by its beginning
+            out[f] = 0.0
     return out
 
 
@@ -128,8 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     chosen = stage(known.where(place < share).select(F.col("doc_id").alias("of"), "toxic"), "toxic-chosen")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("of"))
-    texts = texts.select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) < 2).alias("fit"))
-    texts = stage(texts, "toxic-sample")
+    # Copies would count a chance word many times: of texts that share the three least hashes of their words, one is fitted on.
+    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(F.split(F.lower("text"), r"\\W+"), lambda w: F.crc32(w.cast("binary"))))), 1, 3)
+    texts = texts.groupBy(sketch.cast("string").alias("sketch"), F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
+    texts = stage(texts.withColumn("fit", F.pmod(F.xxhash64("sketch"), F.lit(3)) < 2), "toxic-sample")
 
     def count(batches):
         held: tuple[Counter, Counter] = Counter(), Counter()
@@ -168,7 +176,7 @@ def calibrate(model: Model, rows: list[tuple[int, int, list[float], list[float]]
         model.rate = _rate(tokens)
         best = np.array([model.rate * max(r[2], default=0.0) - math.log(max(1, r[1])) for r in clean])
         model.place = float(best.mean() - 0.5772156649 * best.std() * math.sqrt(6) / math.pi)
-    x = np.array([aggregate(model, n, s) for _, n, s, _ in rows])
+    x = np.arcsinh([aggregate(model, n, s) for _, n, s, _ in rows])
     y = np.array([t for t, *_ in rows], float)
     if len(x):
         mean, spread = x.mean(), max(x.std(), 1e-9)
@@ -184,10 +192,20 @@ def calibrate(model: Model, rows: list[tuple[int, int, list[float], list[float]]
 
 
 def aggregate(model: Model, n: int, sums: list[float]) -> float:
-    """Evidence of a text: that of its significant passages added up, else that of its best one."""
-    evidence = [model.rate * s - math.log(max(1, n)) - model.place for s in sums]
-    strong = [e for e in evidence if e >= -math.log(CHANCE)]
-    return sum(strong) if strong else min(0.0, max(evidence, default=-math.log(max(1, n)) - model.place))
+    """Evidence of a text: minus the log of the odds that chance gives its r best passages, for the r that is best.
+
+    The sum of r normalised passages, T, exceeds a value by chance with odds exp(-T) T^(r-1) / (r! (r-1)!).
+    """
+    x = sorted((model.rate * s - math.log(max(1, n)) - model.place for s in sums), reverse=True)
+    if not x or x[0] <= 0:
+        return min(0.0, x[0] if x else -math.log(max(1, n)) - model.place)
+    best, total = 0.0, 0.0
+    for r, one in enumerate(x, 1):
+        total += one
+        if total <= 0:
+            break
+        best = max(best, total + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(max(total, 1.0)))
+    return best
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
