@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import jaccard, mixing, packing, tokens, topk, toxicity
+from aeolis.llm import jaccard, language, mixing, packing, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -68,3 +68,9 @@ ORACLES["op7_count_vector_join"] = jaccard.oracle()
 def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from two thirds of the labels."""
     return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of them."""
+    return language.identified_documents(table(spark, sf_dir, "documents"))
