@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import jaccard, language, mixing, packing, tokens, topk, toxicity
+from aeolis.llm import jaccard, language, mixing, packing, pii, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -74,3 +74,9 @@ def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from three quarters of them."""
     return language.identified_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.found_documents(table(spark, sf_dir, "documents"))
