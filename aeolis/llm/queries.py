@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import jaccard, language, mixing, packing, pii, tokens, topk, toxicity
+from aeolis.llm import curves, jaccard, language, mixing, packing, pii, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -80,3 +80,9 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.found_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth."""
+    return curves.nearest(table(spark, sf_dir, "embeddings"))
