@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import curves, jaccard, language, mixing, packing, pii, tokens, topk, toxicity
+from aeolis.llm import curves, jaccard, language, licenses, mixing, packing, pii, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -86,3 +86,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth."""
     return curves.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, its own or that of the nearest directory above."""
+    return licenses.scanned_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_license_scan"] = licenses.oracle()
