@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeolis.llm.common import bound_batches, mix64, stage, text_slices
+from aeolis.llm.common import bound_batches, mix64, stage, text_slices, without
 
 #: Groups of the coarse vector, kept for every document; the fine one has a power of two that grows with the set.
 COARSE, FINEST = 16, 1 << 14
@@ -247,7 +247,7 @@ TILE, BLOCK_TOKENS, UNIT_TOKENS = 8192, 1 << 18, 1 << 21
 
 
 def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, set_id) of every row, and (set_id, min_doc, root) of every set: equal roots are connected by links."""
+    """(doc_id, digest, n, set_id) of every row, and (set_id, min_doc, root) of every set: equal roots are connected by links."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
@@ -313,7 +313,7 @@ def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     linked = lone.unionByName(many).groupBy("unit", "i", "j").applyInArrow(verify, "a long, b long")
     roots = components(linked)
     joined = sets.select("sid", "set_id", "min_doc").join(roots, F.col("sid") == F.col("node"), "left")
-    return described.select("doc_id", "n", "set_id"), joined.select("set_id", "min_doc", F.coalesce("root", "sid").alias("root"))
+    return described.select("doc_id", "digest", "n", "set_id"), joined.select("set_id", "min_doc", F.coalesce("root", "sid").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -334,6 +334,25 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each connected group: the smallest doc_id (rows with an id first), then the smallest md5 of the text.
+
+    Rows without words or text are no group and stay; rows alike in id and text are one document. All columns are kept.
+    """
+    key = lambda: F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows, sets = similar_sets(docs, k, percent)
+    sets = stage(sets.select(F.col("set_id").alias("of"), "root"), "jaccard-roots")
+    named = rows.join(sets, (F.col("set_id") == F.col("of")) & (F.col("n") > 0), "left")
+    first = named.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
+    kept = first.select("m.doc_id", "m.digest").union(named.where("n = 0").select("doc_id", "digest").distinct())
+    kept = stage(kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")), "jaccard-kept")
+    # Combined before the shuffle, so that a row repeated very often travels once from each task; the join needs no other shuffle.
+    own = without(docs, ["kept_id", "kept_digest", "own_id", "own_digest"])
+    once = own.withColumn("own_id", F.col("doc_id").cast("long")).withColumn("own_digest", key()).dropDuplicates(["own_id", "own_digest"])
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest"))
+    return once.join(kept, same, "left_semi").select(own.columns)
+
+
 def oracle(k: int = 3, percent: int = 90) -> str:
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
