@@ -22,7 +22,7 @@ from aeolis.session import shared_dir
 #: Pieces of text whose ids a task keeps, in two generations: pieces not met lately are forgotten and encoded again.
 KEPT = 600_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_MARKS = re.compile(r"[^\w\s][.,]|_")
+_MARKS = re.compile(r"(?:\A|\W)[.,]|_")
 
 
 class Encoder:
@@ -199,8 +199,8 @@ def search_index(index: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return np.where(ok, found, -1)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids") -> tuple[str, DataFrame]:
-    """Write the ids of every document, in ascending order of id, as shards; return their folder and (shard, start, keys).
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids", shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
+    """Write the ids of every document, in ascending order of id, as shards; return their folder and (doc_id, shard, at, n).
 
     The rows are dealt to tasks by ranges of the id (NULL first; rows with one id by a hash of the text and their place, so that
     one id can't fill a task). Ids are stored in two bytes where the vocabulary allows, else in four.
@@ -226,7 +226,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids") -
         for batch in text_slices(batches, "text"):
             keys, out = batch["doc_id"], []
             for b in tool.encode(batch["text"].to_pylist()):
-                if ids and held + len(b) // 4 + 1 > SHARD_IDS:
+                if ids and held + len(b) // 4 + 1 > shard_ids:
                     close()
                     nth, ids, held = nth + 1, [], 0
                 out.append(((part << 24) + nth, len(ids), len(b) // 4 + 1))
@@ -240,13 +240,13 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids") -
     return folder, stage(dealt.mapInArrow(write, "doc_id long, shard long, at long, n long"), f"{name}-entries")
 
 
-def write_index(folder: str, entries: DataFrame) -> int:
+def write_index(folder: str, entries: DataFrame, index_keys: int = INDEX_KEYS) -> int:
     """Write the index files of the shards; returns their number. Keys are (doc_id, how many shards with that id come before)."""
     spans = entries.groupBy("doc_id", "shard").agg(F.min("at").alias("at"), F.count("*").alias("copies"))
     spans = spans.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("shard")) - 1)
     more = spans.groupBy("doc_id").agg(F.count("*").alias("shards")).where("shards > 1").withColumnRenamed("doc_id", "of")
     spans = spans.join(more, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "shard", "at", "copies", "nth", F.coalesce("shards", F.lit(1)).alias("shards"))
-    files = max(1, -(-entries.count() // INDEX_KEYS))
+    files = max(1, -(-entries.count() // index_keys))
     keyed = spans.withColumn("file", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(files)))
 
     def build(key, t):
@@ -310,15 +310,15 @@ def shard_starts(entries: DataFrame) -> DataFrame:
     return sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
 
 
-def binary_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def binary_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS, index_keys: int = INDEX_KEYS) -> DataFrame:
     """Write the ids of all documents as shards with an index, then fetch every document by its key and describe what was read.
 
     Returns doc_id, start (ids of all documents before it, in ascending order of id), n_tokens (with the end id) and ids_crc32.
     NULL text is empty: the end id alone. NULL ids come first and share one key; repeated rows and ids are all stored, next to
     each other, and all returned. Other columns are left out. An empty table gives an empty result.
     """
-    folder, entries = write_ids(docs, tokenizer, end_id)
-    files = write_index(folder, entries)
+    folder, entries = write_ids(docs, tokenizer, end_id, shard_ids=shard_ids)
+    files = write_index(folder, entries, index_keys)
     found = read_ids(folder, files, entries.select("doc_id").distinct())
     starts = stage(shard_starts(entries), "ids-starts")
     return found.join(starts, "shard").select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
