@@ -243,7 +243,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids", s
 def write_index(folder: str, entries: DataFrame, index_keys: int = INDEX_KEYS) -> int:
     """Write the index files of the shards; returns their number. Keys are (doc_id, how many shards with that id come before)."""
     spans = entries.groupBy("doc_id", "shard").agg(F.min("at").alias("at"), F.count("*").alias("copies"))
-    spans = spans.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("shard")) - 1)
+    spans = spans.withColumn("nth", (F.row_number().over(Window.partitionBy("doc_id").orderBy("shard")) - 1).cast("long"))  # hashed as in look_up
     more = spans.groupBy("doc_id").agg(F.count("*").alias("shards")).where("shards > 1").withColumnRenamed("doc_id", "of")
     spans = spans.join(more, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "shard", "at", "copies", "nth", F.coalesce("shards", F.lit(1)).alias("shards"))
     files = max(1, -(-entries.count() // index_keys))

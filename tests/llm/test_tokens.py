@@ -94,13 +94,13 @@ def test_fill_finds_the_least_padding():
 
 @pytest.mark.parametrize("window", [2048, 16])
 def test_every_id_is_packed_once(spark, edge, empty, edge_rows, window):
-    encode = direct(FILES[1])
+    ids = {t: [*direct(FILES[1])(t), 1] for _, t, *_ in edge_rows}
     rows = packing.pack(edge, tokenizer(FILES[1]), 1, window, with_ids=True).collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == by.get(r["sequence_id"], 0) and r["ids_crc32"] == crc(r["ids"]) and len(r["ids"]) == r["length"]
         by[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(by.values()) <= window and sorted(by) == list(range(len(by)))
-    want = sorted((i if i is not None else -1, at, [*encode(t), 1][at : at + window], len(encode(t)) + 1) for i, t, *_ in edge_rows for at in range(0, len(encode(t)) + 1, window))
+    want = sorted((i if i is not None else -1, at, ids[t][at : at + window], len(ids[t])) for i, t, *_ in edge_rows for at in range(0, len(ids[t]), window))
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["start"], r["ids"], r["doc_tokens"]) for r in rows) == want
     assert packing.pack(empty, tokenizer(FILES[1])).count() == 0
