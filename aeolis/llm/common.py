@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeolis.session import stage  # noqa: F401  re-exported: written tables in the shared folder cut lineage
@@ -33,6 +33,19 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def ranked(df: DataFrame, order: list[str], name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with rank, its place (from 0) in the order of ``order``, which starts with ``within``: a place of its own in each of these.
+
+    Rows are dealt by ranges, sorted and written; a row's rank is its place in its partition and what earlier ones hold.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = stage(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), name)
+    parts = held.groupBy(*within, "part").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    before = F.sum("size").over(Window.partitionBy(*within).orderBy("part")) - F.col("size")
+    parts = stage(parts.select(*within, "part", (before - F.col("first")).alias("shift")), f"{name}-parts")
+    return held.join(parts, [*within, "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``most`` bytes of text, one row at least: bounds what a task expands."""
     for batch in batches:

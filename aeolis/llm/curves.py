@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeolis.llm.common import stage
+from aeolis.llm.common import ranked, stage
 from aeolis.llm.topk import finite, matrix
 
 #: Curves; axes and bits of each; share of all rows on either side of a query that a window holds.
@@ -128,14 +128,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
                 yield pa.record_batch([pa.array(np.full(n * curves, d), pa.int32()), pa.array(np.repeat(np.arange(curves), n), pa.int32()), pa.array(keys), pa.array(np.tile(ids, curves))], ["dim", "curve", "key", "vec_id"])
 
     keyed = rows.mapInArrow(place_rows, "dim int, curve int, key long, vec_id long")
-    sorted_ = keyed.repartitionByRange("dim", "curve", "key", "vec_id").sortWithinPartitions("dim", "curve", "key", "vec_id")
-    # Place in the order: what earlier partitions hold of the curve, and the place inside the partition.
-    held = stage(sorted_.select("dim", "curve", "vec_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "curve-order")
-    parts = held.groupBy("dim", "curve", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("dim", "curve").orderBy("part")) - F.col("n")
-    parts = stage(parts.select("dim", "curve", "part", "first", before.alias("before")), "curve-parts")
-    ranked = held.join(parts, ["dim", "curve", "part"]).select("dim", "curve", "vec_id", (F.col("before") + F.col("at") - F.col("first")).alias("rank"))
-    placed = ranked.join(rows.select(F.col("vec_id").alias("of"), "embedding"), F.col("vec_id") == F.col("of")).drop("of")
+    order = ranked(keyed, ["dim", "curve", "key", "vec_id"], "curve-order", ("dim", "curve")).drop("key")
+    placed = order.join(rows.select(F.col("vec_id").alias("of"), "embedding"), F.col("vec_id") == F.col("of")).drop("of")
     width = F.element_at(F.create_map(*(F.lit(x) for d, n in reach.items() for x in (d, n))), F.col("dim")) if sizes else F.lit(LEAST)
     count = F.element_at(F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, n))), F.col("dim")) if sizes else F.lit(1)
     block = lambda c: F.floor(c / BLOCK).cast("long")
@@ -144,5 +138,5 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     here = placed.where(F.col("vec_id") % every == 0).withColumn("block", F.explode(met)).withColumn("side", F.lit(1))
     found = there.unionByName(here).groupBy("block", "dim", "curve").applyInArrow(_best(k, reach), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeolis.llm.common import bound_batches, mix64, stage, text_slices, without
+from aeolis.llm.common import bound_batches, mix64, ranked, stage, text_slices, without
 
 #: Groups of the coarse vector, kept for every document; the fine one has a power of two that grows with the set.
 COARSE, FINEST = 16, 1 << 14
@@ -56,6 +56,11 @@ def groups_of(n: int, percent: int) -> int:
     return int(min(FINEST, max(COARSE, 1 << int(np.ceil(np.log2(max(1.0, g)))))))
 
 
+def level(n: int, percent: int) -> int:
+    """Groups by which all pairs of two nodes are compared at first: unrelated sets differ by half more than a link allows."""
+    return max(COARSE, 1 << int(np.ceil(np.log2(max(1.0, 2 * tightness(percent) ** 2 * n)))))
+
+
 def fold_to(points: np.ndarray, groups: int) -> np.ndarray:
     """Counts of fewer groups: a power of two divides the finer numbering."""
     return points.reshape(len(points), -1, groups).sum(axis=1) if points.shape[1] != groups else points
@@ -126,7 +131,7 @@ def connect(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def bound_classes(sizes: np.ndarray, points: Points, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """Roots of the classes that pairs of ``left`` and ``right`` form whose summed minima reach the overlap they need.
 
-    Two levels: nodes of points by their largest counts, then points, first by the coarse vectors, then by the fine ones. Pairs
+    Nodes of points are compared by their largest counts, then points, first by a fold of their vectors, then by the fine ones. Pairs
     that are in one class already are passed over. ``left`` and ``right`` are the same positions, or positions of two tiles.
     """
     same, up = np.array_equal(left, right), np.arange(len(sizes))
@@ -147,10 +152,13 @@ def bound_classes(sizes: np.ndarray, points: Points, left: np.ndarray, right: np
         ok = ok[ok >= i] if same else ok
         for at in range(0, len(ok), 64):
             others = np.concatenate([cb[j] for j in ok[at : at + 64]])
-            need = least_overlap(sizes[rows][:, None], sizes[others][None, :], percent)
-            shared = np.zeros((len(rows), len(others)), np.int32)
-            for g in range(COARSE):
-                shared += np.minimum(coarse[rows, g][:, None], coarse[others, g][None, :])
+            need = least_overlap(sizes[rows][:, None], sizes[others][None, :], percent).astype(np.int32)
+            groups = int(min(level(la[i], percent), points.width[rows].min(), points.width[others].min()))
+            kind = np.int16 if max(ha[i], hb[ok].max()) < 1 << 15 else np.int32
+            p, q = (np.ascontiguousarray(points.take(z, groups).T.astype(kind)) for z in (rows, others))
+            shared = np.zeros((len(rows), len(others)), kind)
+            for g in range(groups):
+                shared += np.minimum(p[g][:, None], q[g][None, :])
             x, y = np.nonzero((shared >= need) & (up[rows][:, None] != up[others][None, :]))
             x, y = rows[x], others[y]
             fine = np.minimum(points.width[x], points.width[y])
@@ -259,9 +267,7 @@ def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
 
     # Smaller sets link with nothing but their like.
     able = sets.where(F.col("n") >= -(-percent // (100 - percent))).select("sid", "n", "point")
-    count = able.count()
-    tiles = able.repartitionByRange(max(1, -(-count // TILE)), "n", "point", "sid").withColumn("tile", F.spark_partition_id().cast("long"))
-    tiles = stage(tiles, "jaccard-points")
+    tiles = ranked(able, ["n", "point", "sid"], "jaccard-points").withColumn("tile", F.floor(F.col("rank") / TILE)).drop("rank")
     pairs = stage(tile_pairs(tiles, percent), "jaccard-pairs")
     left = tiles.join(pairs, tiles.tile == pairs.a).withColumn("side", F.lit(0))
     right = tiles.join(pairs.where("a <> b"), F.col("tile") == F.col("b")).withColumn("side", F.lit(1))
@@ -283,7 +289,8 @@ def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     units = -(-(wanted.agg(F.sum("n")).first()[0] or 0) // UNIT_TOKENS) or 1
     dealt = wanted.join(weight, "class").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
     dealt = stage(dealt.select("sid", "class", "digest", "blocks", "block"), "jaccard-dealt")
-    texts = rows.join(dealt.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # Merged at every size: the texts are dealt by digest here and stay so for the aggregate.
+    texts = rows.join(dealt.select("digest").distinct().hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     built = describe_sets(texts.withColumn("doc_id", F.lit(None).cast("long")), k, percent, tokens=True).select("digest", "tokens")
     built = stage(built, "jaccard-tokens").join(dealt, "digest")
     lone = built.where("blocks = 1").select("sid", "class", "tokens", (-1 - F.pmod(F.xxhash64("class"), F.lit(units))).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
@@ -345,11 +352,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = rows.join(sets, (F.col("set_id") == F.col("of")) & (F.col("n") > 0), "left")
     first = named.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
     kept = first.select("m.doc_id", "m.digest").union(named.where("n = 0").select("doc_id", "digest").distinct())
-    kept = stage(kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")), "jaccard-kept")
+    kept = stage(kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")), "jaccard-kept")
     # Combined before the shuffle, so that a row repeated very often travels once from each task; the join needs no other shuffle.
-    own = without(docs, ["kept_id", "kept_digest", "own_id", "own_digest"])
-    once = own.withColumn("own_id", F.col("doc_id").cast("long")).withColumn("own_digest", key()).dropDuplicates(["own_id", "own_digest"])
-    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest"))
+    own = without(docs, ["_kept_id", "_kept_digest", "_own_id", "_own_digest"])
+    once = own.withColumn("_own_id", F.col("doc_id").cast("long")).withColumn("_own_digest", key()).dropDuplicates(["_own_id", "_own_digest"])
+    same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest"))
     return once.join(kept, same, "left_semi").select(own.columns)
 
 
