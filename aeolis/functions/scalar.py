@@ -190,7 +190,3 @@ def split_time_key(df: DataFrame, key: str = "tm") -> DataFrame:
 def wind_bucket(wspd: Column) -> Column:
     """Half-metre buckets; calm and storm ends are pooled."""
     return F.when(wspd <= 2.5, 0.0).when(wspd >= 10, 10.0).otherwise(F.floor(wspd / 0.5) * 0.5)
-
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))

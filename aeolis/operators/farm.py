@@ -136,14 +136,6 @@ def normal_row_means(df: DataFrame, cols: Mapping[str, str], keys: Sequence[str]
     return df.groupBy(*keys).agg(*[F.avg(F.when(good, F.col(c))).alias(o) for o, c in cols.items()])
 
 
-def turbine_ids(df: DataFrame, limit: int = 10_000) -> list[int]:
-    """Column list of a time x turbine matrix; a wider farm has to stay in long form."""
-    ids = [r[0] for r in df.select("turb_id").distinct().limit(limit + 1).collect()]
-    if len(ids) > limit:
-        raise ValueError(f"more than {limit} turbines: keep the long form")
-    return sorted(ids)
-
-
 def pivot_patv(df: DataFrame, turbines: Sequence[int], col: str = "patv", keys: Sequence[str] = TIME) -> DataFrame:
     """Time x turbine matrix, for model edges only; the column list is the caller's."""
     return df.groupBy(*keys).pivot("turb_id", list(turbines)).agg(F.avg(col)).withColumnsRenamed(

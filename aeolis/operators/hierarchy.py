@@ -6,11 +6,10 @@ The hierarchy is an edge table (group_id, turb_id); groups may overlap.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_GROUPS = 1000
-
 
 def rollup(df: DataFrame, edges: DataFrame, col: str = "patv", step: str = "slot") -> DataFrame:
     """Turbine rows (node 't<id>') and group rows (node = group id): group power = sum of its turbines."""
@@ -50,37 +49,49 @@ def coherence_residual(nodes: DataFrame, edges: DataFrame, col: str = "yhat", st
     return joined.groupBy(F.col("row").alias("group_id"), step).agg(F.sum(F.col("value") * F.col(col)).alias("residual"))
 
 
-def _inverse_gram(edges: DataFrame) -> DataFrame:
-    """(A A')^-1 as (g, h, value). A A' = Su Su' + I is counted by Spark; only groups x groups reach the driver."""
-    n = edges.select("group_id").distinct().limit(MAX_GROUPS + 1).count()
-    if n > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
+def _gram(edges: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Groups and A A' = Su Su' + I, counted by Spark. The groups are the model's definition, not data: a small matrix."""
     left = edges.select(F.col("group_id").alias("g"), "turb_id")
     right = edges.select(F.col("group_id").alias("h"), "turb_id")
-    shared = left.join(right, "turb_id").groupBy("g", "h").agg(F.count(F.lit(1)).alias("k"))
-    cells = shared.toPandas()
+    cells = left.join(right, "turb_id").groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).toPandas()
     names = sorted(set(cells["g"]))
-    at = {g: i for i, g in enumerate(names)}
     gram = np.eye(len(names))
-    for g, h, k in cells.itertuples(index=False):
-        gram[at[g], at[h]] += k
-    inverse = np.linalg.inv(gram)
-    rows = [(g, h, float(inverse[at[g], at[h]])) for g in names for h in names]
-    return edges.sparkSession.createDataFrame(rows, "g string, h string, value double")
+    gram[np.searchsorted(names, cells["g"]), np.searchsorted(names, cells["h"])] += cells["k"]
+    return names, gram
 
 
-def reconcile(nodes: DataFrame, edges: DataFrame, col: str = "yhat", step: str = "step") -> DataFrame:
+def reconcile(
+    nodes: DataFrame, edges: DataFrame, col: str = "yhat", step: str = "step", u: str | None = None, std: str | None = None
+) -> DataFrame:
     """Orthogonal projection onto coherent forecasts: y' = y - A'(A A')^-1 A y.
 
-    A is sparse and only the group-by-group inverse is formed; the projection itself is three joins.
+    With the columns ``u`` and ``std`` the forecasts are scaled, and (M(std * y + u) - u) / std is returned. A is sparse; the
+    residuals of a step meet in one array of the groups' length and are solved for at once, block of steps by block.
     """
-    u = coherence_residual(nodes, edges, col, step)
-    inv = _inverse_gram(edges)
-    v = (
-        u.join(inv, u["group_id"] == inv["h"])
-        .groupBy(F.col("g").alias("row"), step)
-        .agg(F.sum(F.col("value") * F.col("residual")).alias("_v"))
-    )
+    raw = F.col(col)
+    if std is not None:
+        raw = raw * F.col(std)
+    if u is not None:
+        raw = raw + F.col(u)
+    level = nodes.withColumn("_level", raw)
+    names, gram = _gram(edges)
+    order = {g: i for i, g in enumerate(names)}
+    residuals = coherence_residual(level, edges, "_level", step)
+    gathered = residuals.groupBy(step).agg(F.collect_list(F.struct("group_id", "residual")).alias("r"))
+    kind = dict(gathered.dtypes)[step]
+
+    def solve(batches):
+        for b in batches:
+            right = np.zeros((b.num_rows, len(names)))
+            for i, pairs in enumerate(b["r"].to_pylist()):
+                for p in pairs:
+                    right[i, order[p["group_id"]]] = np.nan if p["residual"] is None else p["residual"]
+            found = np.linalg.solve(gram, right.T).T if len(names) else right
+            again = pa.array(np.repeat(np.arange(b.num_rows), len(names)))
+            rows = pa.array(names * b.num_rows, pa.string())
+            yield pa.record_batch([rows, b[step].take(again), pa.array(found.ravel(), from_pandas=True)], ["row", step, "_v"])
+
+    v = gathered.mapInArrow(solve, f"row string, `{step}` {kind}, _v double")
     # each node meets its few matrix entries first, then the correction of that group and step: a group of all
     # turbines is never one join key for all steps
     entries = nodes.select("node", step).join(constraint_matrix(edges).withColumnRenamed("col", "node"), "node")
@@ -90,4 +101,5 @@ def reconcile(nodes: DataFrame, edges: DataFrame, col: str = "yhat", step: str =
         .agg(F.sum(F.col("value") * F.col("_v")).alias("_shift"))
     )
     out = nodes.join(shift, ["node", step], "left")
-    return out.withColumn(col, F.col(col) - F.coalesce("_shift", F.lit(0.0))).drop("_shift")
+    moved = F.coalesce("_shift", F.lit(0.0))
+    return out.withColumn(col, F.col(col) - (moved / F.col(std) if std is not None else moved)).drop("_shift")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,6 @@ from aeolis.functions.scalar import known, with_curve
 from aeolis.operators import farm
 from aeolis.settings import NOT_FEATURES
 
-MAX_NODES = 100_000
 MISSING = -9999.0
 
 # Inputs of the two power-repair models (fixed lists).
@@ -104,6 +106,18 @@ def predict(model: PipelineModel, df: DataFrame, cols: Sequence[str], out: str =
     return scored.select("_row.*", F.col("prediction").alias(out))
 
 
+def predict_mean(members: Sequence[PipelineModel], df: DataFrame, cols: Sequence[str], out: str = "pred_target") -> DataFrame:
+    """Mean prediction of members that share their inputs: the vector is assembled once, each member adds one column."""
+    scored = complete(df.withColumn("_row", F.struct(*df.columns)), cols)
+    for s in members[0].stages[:-1]:
+        scored = s.transform(scored)
+    scored = scored.select("_row", "features")
+    for i, m in enumerate(members):
+        scored = m.stages[-1].copy().setPredictionCol(f"_p{i}").transform(scored)
+    total = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(members))])
+    return scored.select("_row.*", (total / len(members)).alias(out))
+
+
 def feature_importance(model: PipelineModel, cols: Sequence[str], spark, n: int | None = None) -> DataFrame:
     """Ranking of the inputs by importance; as many rows as inputs."""
     weights = model.stages[-1].featureImportances.toArray()
@@ -113,39 +127,82 @@ def feature_importance(model: PipelineModel, cols: Sequence[str], spark, n: int
     return ranked if n is None else ranked.limit(n)
 
 
-def tree_expressions(nodes: DataFrame) -> dict[int, Column]:
-    """One column expression per model from a node table (model_id, tree_id, node_id, feature, threshold,
-    default_left, left_id, right_id, leaf_value): sum over its trees of the leaf reached.
-
-    A stored ensemble is model state, not data; its size is checked before it comes to the driver.
+@dataclass
+class NodeTable:
+    """A stored ensemble as arrays: one row for each node, children as row numbers, -1 for a leaf."""
+
+    roots: np.ndarray
+    models: np.ndarray
+    names: list[str]
+    feature: np.ndarray
+    threshold: np.ndarray
+    default_left: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Model ids, and (rows, models) sums over each model's trees of the leaf every row reaches."""
+        ids = np.unique(self.models)
+        out = np.zeros((len(x), len(ids)))
+        rows = np.arange(len(x))
+        for root, model in zip(self.roots, self.models):
+            at = np.full(len(x), root)
+            inner = self.left[at] >= 0
+            while inner.any():
+                value = x[rows, self.feature[at]]
+                goes_left = np.where(np.isnan(value), self.default_left[at], value <= self.threshold[at])
+                at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
+                inner = self.left[at] >= 0
+            out[:, np.searchsorted(ids, model)] += self.value[at]
+        return ids, out
+
+
+def node_table(nodes: DataFrame) -> NodeTable:
+    """Arrays of a node table (model_id, tree_id, node_id, feature, threshold, default_left, left_id, right_id, leaf_value).
+
+    A stored ensemble is model state, not data: it is as large as its nodes, whatever the rows it scores.
     """
-    rows = nodes.limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError(f"an ensemble of more than {MAX_NODES} nodes cannot be compiled")
-    by_key = {(r["model_id"], r["tree_id"], r["node_id"]): r for r in rows}
-
-    def walk(model: int, tree: int, node: int) -> Column:
-        r = by_key[(model, tree, node)]
-        if r["left_id"] is None:
-            return F.lit(float(r["leaf_value"]))
-        x = F.col(r["feature"])
-        goes_left = F.coalesce(x <= F.lit(float(r["threshold"])), F.lit(bool(r["default_left"])))
-        return F.when(goes_left, walk(model, tree, r["left_id"])).otherwise(walk(model, tree, r["right_id"]))
-
-    out: dict[int, Column] = {}
-    for model, tree in sorted({(m, t) for m, t, _ in by_key}):
-        value = walk(model, tree, 0)
-        out[model] = value if model not in out else out[model] + value
-    return out
+    rows = sorted(nodes.collect(), key=lambda r: (r["model_id"], r["tree_id"], r["node_id"]))
+    at = {(r["model_id"], r["tree_id"], r["node_id"]): i for i, r in enumerate(rows)}
+    names = sorted({r["feature"] for r in rows if r["left_id"] is not None})
+    child = lambda r, side: -1 if r["left_id"] is None else at[r["model_id"], r["tree_id"], r[side]]
+    inner = lambda f, empty: np.array([empty if r["left_id"] is None else f(r) for r in rows])
+    trees = sorted({(r["model_id"], r["tree_id"]) for r in rows})
+    return NodeTable(
+        np.array([at[m, t, 0] for m, t in trees], np.int64),
+        np.array([m for m, _ in trees], np.int64),
+        names,
+        inner(lambda r: names.index(r["feature"]), 0).astype(np.int64),
+        inner(lambda r: float(r["threshold"]), 0.0).astype(np.float64),
+        inner(lambda r: bool(r["default_left"]), False).astype(bool),
+        np.array([child(r, "left_id") for r in rows], np.int64),
+        np.array([child(r, "right_id") for r in rows], np.int64),
+        np.array([float(r["leaf_value"]) if r["left_id"] is None else 0.0 for r in rows]),
+    )
 
 
 def score_tree_table(df: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, model_id, score): every row scored by every stored model, in one narrow pass without a join."""
-    scores = [
-        F.struct(F.lit(m).cast("bigint").alias("model_id"), c.alias("score"))
-        for m, c in tree_expressions(nodes).items()
-    ]
-    return df.select(*keys, F.explode(F.array(*scores)).alias("s")).select(*keys, "s.model_id", "s.score")
+    """(keys, model_id, score): every row scored by every stored model, in one narrow pass over Arrow blocks without a join."""
+    table = node_table(nodes)
+    inputs = [f"_x{i}" for i in range(len(table.names))]
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(x) for c, x in zip(table.names, inputs)])
+
+    def run(batches):
+        for b in batches:
+            x = np.full((b.num_rows, max(1, len(inputs))), np.nan)
+            for i, c in enumerate(inputs):
+                x[:, i] = b[c].to_numpy(zero_copy_only=False)
+            ids, scores = table.score(x)
+            again = pa.array(np.repeat(np.arange(b.num_rows), len(ids)))
+            cols = [b[k].take(again) for k in keys]
+            yield pa.record_batch(
+                [*cols, pa.array(np.tile(ids, b.num_rows), pa.int64()), pa.array(scores.ravel(), pa.float64())],
+                [*keys, "model_id", "score"],
+            )
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, model_id bigint, score double")
 
 
 def mean_ensemble(preds: DataFrame, keys: Sequence[str] = ("turb_id", "step"), col: str = "yhat") -> DataFrame:
@@ -186,19 +243,18 @@ def grid_sample_counts(grid: DataFrame, panel: DataFrame, day_limits: Sequence[i
     return out.withColumn("samples", F.coalesce(samples, F.lit(0)).cast("bigint")).drop("_steps")
 
 
-def spark_param_grid(regressor: GBTRegressor, depths: Sequence[int], rates: Sequence[float]) -> list:
-    return ParamGridBuilder().addGrid(regressor.maxDepth, depths).addGrid(regressor.stepSize, rates).build()
-
-
 def farm_repair_inputs(df: DataFrame, curve: DataFrame, wdir: DataFrame) -> DataFrame:
     """Rows of the short-horizon leg (mask, clock, ``raw_patv``) with the farm statistics the repair model reads."""
     rows = with_curve(df, curve).withColumn("mask2", known(F.col("raw_patv") > F.col("max_patv")))
     medians = farm.farm_medians(rows, ["etmp", "itmp"])
     rows = farm.join_time(rows, medians)
-    means = farm.normal_row_means(
-        rows, {"patv_mean": "patv", "wspd_mean": "wspd", "_etmp": "etmp_median", "_itmp": "itmp_median"}
-    ).drop("_etmp", "_itmp")
-    rows = farm.join_time(farm.join_time(rows, means), farm.mask_share(rows))
+    good = (F.col("mask") == 1) & ~F.col("mask2")
+    at_time = rows.groupBy(*farm.TIME).agg(
+        F.avg(F.when(good, F.col("patv"))).alias("patv_mean"),
+        F.avg(F.when(good, F.col("wspd"))).alias("wspd_mean"),
+        F.avg("mask").alias("mask_mean"),
+    )
+    rows = farm.join_time(rows, at_time)
     return rows.join(wdir, ["turb_id", "slot"], "left")
 
 
@@ -230,39 +286,55 @@ def sample_inputs(samples: DataFrame, steps_per_day: int) -> DataFrame:
     return out.withColumn("complete", present)
 
 
+@dataclass
+class SegmentModel:
+    """A linear model of a segment's mean power; unknown inputs count as their mean in training."""
+
+    segment: tuple[int, int]
+    regularisation: float
+    intercept: float
+    weights: dict[str, float]
+    means: dict[str, float]
+
+    def predict(self) -> Column:
+        terms = [F.lit(w) * F.coalesce(c, F.lit(self.means[c])) for c, w in self.weights.items()]
+        return sum(terms, F.lit(self.intercept))
+
+
 def train_segment_models(
     samples: DataFrame,
     segments: Sequence[tuple[int, int]],
     input_cols: Sequence[str],
     target: str = "dec_patv",
     regularisation: Sequence[float] = (0.0, 0.1),
-) -> list[tuple[tuple[int, int], float, PipelineModel]]:
-    """One regressor per (segment, configuration) on sequence samples: predicts the mean power of the segment."""
+) -> list[SegmentModel]:
+    """One regressor per (segment, configuration) on the sequence samples whose inputs and target are known."""
     fitted = []
-    assembler = VectorAssembler(inputCols=list(input_cols), outputCol="features", handleInvalid="skip")
+    known_inputs = [F.col(c).isNotNull() for c in input_cols]
+    whole = samples.filter(reduce(lambda a, b: a & b, known_inputs))
+    means = whole.agg(*[F.avg(c).alias(c) for c in input_cols]).first().asDict()
+    assembler = VectorAssembler(inputCols=list(input_cols), outputCol="features", handleInvalid="error")
     for start, end in segments:
         part = F.slice(F.col(target), start + 1, end - start)
-        known = F.filter(part, lambda v: v.isNotNull())
-        label = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
-        ready = samples.withColumn("_label", label).filter(F.col("_label").isNotNull())
+        some = F.filter(part, lambda v: v.isNotNull())
+        label = F.try_divide(F.aggregate(some, F.lit(0.0), lambda a, v: a + v), F.size(some))
+        ready = assembler.transform(whole.withColumn("_label", label).filter(F.col("_label").isNotNull()))
         for reg in regularisation:
-            model = LinearRegression(featuresCol="features", labelCol="_label", regParam=reg, maxIter=20)
-            fitted.append(((start, end), reg, Pipeline(stages=[assembler, model]).fit(ready)))
+            model = LinearRegression(featuresCol="features", labelCol="_label", regParam=reg, maxIter=20).fit(ready)
+            weights = dict(zip(input_cols, map(float, model.coefficients)))
+            fitted.append(SegmentModel((start, end), reg, float(model.intercept), weights, means))
     return fitted
 
 
-def score_segment_models(samples: DataFrame, fitted, keys: Sequence[str]) -> DataFrame:
-    """(keys, seg_start, seg_end, reg, yhat) of every fitted model on every sample; models chained in one pass."""
-    out = samples
-    structs = []
-    for i, ((start, end), reg, model) in enumerate(fitted):
-        out = model.transform(out).withColumnRenamed("prediction", f"_p{i}").drop("features")
-        structs.append(
-            F.struct(
-                F.lit(start).cast("bigint").alias("seg_start"),
-                F.lit(end).cast("bigint").alias("seg_end"),
-                F.lit(float(reg)).alias("reg"),
-                F.col(f"_p{i}").alias("yhat"),
-            )
+def score_segment_models(samples: DataFrame, fitted: Sequence[SegmentModel], keys: Sequence[str]) -> DataFrame:
+    """(keys, seg_start, seg_end, reg, yhat): one row for every sample and fitted model, whatever inputs are unknown."""
+    structs = [
+        F.struct(
+            F.lit(m.segment[0]).cast("bigint").alias("seg_start"),
+            F.lit(m.segment[1]).cast("bigint").alias("seg_end"),
+            F.lit(float(m.regularisation)).alias("reg"),
+            m.predict().alias("yhat"),
         )
-    return out.select(*keys, F.explode(F.array(*structs)).alias("s")).select(*keys, "s.*")
+        for m in fitted
+    ]
+    return samples.select(*keys, F.explode(F.array(*structs)).alias("s")).select(*keys, "s.*")

@@ -116,13 +116,7 @@ def score_long_leg(leg: LongLeg, features: DataFrame) -> DataFrame:
     real = [c for c in leg.features if c != "turb_id"]
     keep = ["turb_id", "time", "slot", "day", "abnormal", "data_type"]
     scaled = split_scale.standardize(features.withColumn("_y", F.col("target")), leg.scaler, real)
-    out = scaled
-    names = []
-    for i, member in enumerate(leg.members):
-        out = models.predict(member, out, leg.features, f"_p{i}")
-        names.append(F.col(f"_p{i}"))
-    mean = sum(names[1:], names[0]) / len(names)
-    out = out.select(*keep, F.col("_y").alias("target"), mean.alias("pred_target"))
+    out = models.predict_mean(leg.members, scaled, leg.features).select(*keep, F.col("_y").alias("target"), "pred_target")
     return split_scale.inverse_standardize(out, leg.scaler, {"pred_target": "target"})
 
 
@@ -133,20 +127,25 @@ def evaluate_long_leg(leg: LongLeg, features: DataFrame, settings: PanelSettings
     fixed = blend.residual_decay_adjust(held, settings.horizon, settings.lookback, pos="pos")
     scores = None
     for part in ("valid", "test"):
-        rows = fixed.filter(F.col("data_type") == part).select(
-            "turb_id", "slot", F.col("target").alias("y"), F.col("pred_target").alias("yhat"), "abnormal"
-        )
+        # the last horizon of a split has targets from beyond it
+        kept = split_scale.drop_horizon_tail(fixed.filter(F.col("data_type") == part), settings.horizon)
+        rows = kept.select("turb_id", "slot", F.col("target").alias("y"), F.col("pred_target").alias("yhat"), "abnormal")
         one = metrics.score_sliding(step_index(rows), settings.horizon).withColumn("data_type", F.lit(part))
         scores = one if scores is None else scores.unionByName(one)
     return scores
 
 
 def forecast_long_leg(leg: LongLeg, features: DataFrame, settings: PanelSettings) -> DataFrame:
-    """(turb_id, step, yhat): the rows still without a target predict the coming horizon."""
-    newest = from_end(features, pos="time").filter(F.col("_from_end") < settings.horizon)
-    step = (settings.horizon - 1 - F.col("_from_end")).cast("bigint")
+    """(turb_id, step, yhat): the rows still without a target predict the coming horizon.
+
+    Steps count from the farm's last slot, as in the short leg: a turbine that stopped early is blended at its own times.
+    """
+    last = features.agg(F.max("slot").alias("last")).scalar()
+    back = last - F.col("slot")
+    newest = features.withColumn("_back", back).filter(F.col("_back") < settings.horizon)
+    step = (settings.horizon - 1 - F.col("_back")).cast("bigint")
     steps = newest.select(*KEYS, step.alias("step"))
-    scored = score_long_leg(leg, newest.drop("_from_end")).join(steps, KEYS)
+    scored = score_long_leg(leg, newest.drop("_back")).join(steps, KEYS)
     return blend.add_jitter(scored.select("turb_id", "step", F.col("pred_target").alias("yhat")))
 
 

@@ -286,7 +286,8 @@ def _(d):
 @query("pivot_patv", """SELECT t.day, t.tmstamp, u.turb_id, p.patv FROM (SELECT DISTINCT day, tmstamp FROM panel) t
 CROSS JOIN turbines u LEFT JOIN panel p ON p.day = t.day AND p.tmstamp = t.tmstamp AND p.turb_id = u.turb_id""", "patv")
 def _(d):
-    wide = farm.pivot_patv(d.panel, farm.turbine_ids(d.panel))
+    turbines = sorted(r["turb_id"] for r in d.panel.select("turb_id").distinct().collect())  # the columns of a model's input
+    wide = farm.pivot_patv(d.panel, turbines)
     return farm.unpivot_patv(wide)
 
 

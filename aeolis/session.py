@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,19 +26,25 @@ def build_session(cores: str | int = "*", app: str = "aeolis", memory: str = "16
     )
 
 
+#: Tables staged by this process, for ``drop_staged``.
+STAGED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables: the cluster names it in ``spark.checkpoint.dir``.
+    """The folder for written tables: the cluster names it in ``spark.checkpoint.dir``; it is Spark's checkpoint folder as well.
 
-    Only a local master may go without; it then gets a fresh temporary folder of its own.
+    Only a master in one process (``local``, ``local[...]``) may go without; it then gets a fresh temporary folder of its own.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    fresh = tempfile.mkdtemp(prefix="aeolis-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        named = tempfile.mkdtemp(prefix="aeolis-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)  # checkpointInterval of the tree learners needs it
+    return named
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -45,4 +52,13 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.partitionBy(*partition_by).parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables staged so far; call it when every result that reads them has been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)

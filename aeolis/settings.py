@@ -18,7 +18,6 @@ class PanelSettings:
     test_days: int = 15
     capacity: float = 1521.6
     blend_start: int = 200
-    block: int = 4096
 
 
 # Rolled features of the long-horizon leg (fixed list).

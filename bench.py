@@ -20,7 +20,7 @@ from aeolis.operators import gaps, hierarchy, metrics, rolling, series  # noqa:
 from aeolis.operators.blocks import step_index  # noqa: E402
 from aeolis.plans import forecast as fc  # noqa: E402
 from aeolis.plans.fixture import Fixture  # noqa: E402
-from aeolis.session import build_session, stage  # noqa: E402
+from aeolis.session import build_session, drop_staged, stage  # noqa: E402
 from aeolis.settings import ROLL_FEATURES, PanelSettings  # noqa: E402
 
 ROLL, SERIES, HORIZON = 288, 432, 24
@@ -57,12 +57,13 @@ def main() -> None:
     spark = build_session(cpus, "bench")
     spark.sparkContext.setLogLevel("ERROR")
     queries, panel_rows, grid_rows = build(spark, sf_dir)
-    times = {}
+    times, rows = {}, {}
     for name, q in queries.items():
         for _ in range(1 if name == "long_leg_features" else 2):
             start = time.perf_counter()
             q().write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
+        rows[name] = q().count() if name in ("series_features", "roll_bundle", "ts_autocorrelation") else None
     print(
         json.dumps(
             {
@@ -73,10 +74,12 @@ def main() -> None:
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "panel_rows": panel_rows,
                 "grid_rows": grid_rows,
-                "series_rows_per_sec": round(grid_rows / times["series_features"], 1),
+                "rows_out": {n: k for n, k in rows.items() if k is not None},
+                "series_windows_per_sec": round(rows["series_features"] / times["series_features"], 1),
             }
         )
     )
+    drop_staged(spark)
     spark.stop()
 
 

@@ -188,3 +188,34 @@ def test_short_leg(data):
     assert rows.filter("patv IS NULL OR wspd IS NULL OR w_angle_sin IS NULL").count() == 0
     out = fc.forecast_short_leg(data.panel, rows, SETTINGS, 48, ((0, 6), (6, 12), (12, 24)), fade=10).toPandas()
     assert len(out) == 5 * 24 and out["yhat"].between(0, 3000).all()
+
+
+def test_every_sample_is_scored(spark):
+    """Samples with unknown inputs get a forecast too, from the mean of what is unknown."""
+    rows = [(t, a, float(t * 10 + a), None if t == 2 else float(a), [float(a)] * 4) for t in (1, 2) for a in range(20)]
+    samples = spark.createDataFrame(rows, "turb_id long, anchor long, last_patv double, mean_wspd double, dec_patv array<double>")
+    fitted = models.train_segment_models(samples, [(0, 2), (2, 4)], ["last_patv", "mean_wspd"])
+    got = models.score_segment_models(samples, fitted, ["turb_id", "anchor"])
+    assert got.count() == 40 * len(fitted) and got.filter("yhat IS NULL").count() == 0
+
+
+def test_tree_table_of_many_nodes(spark):
+    """A chain of 600 splits and 300 trees: far beyond what nested expressions would bear."""
+    nodes = []
+    for tree in range(300):
+        for i in range(600):
+            nodes += [(1, tree, 2 * i, "x", float(i), True, 2 * i + 1, 2 * i + 2, None), (1, tree, 2 * i + 1, None, None, None, None, None, float(i))]
+        nodes.append((1, tree, 1200, None, None, None, None, None, 600.0))
+    schema = "model_id bigint, tree_id bigint, node_id bigint, feature string, threshold double, default_left boolean, left_id bigint, right_id bigint, leaf_value double"
+    df = spark.createDataFrame([(1, 2.5), (2, None), (3, 1e6)], "id long, x double")
+    got = {r["id"]: r["score"] for r in models.score_tree_table(df, spark.createDataFrame(nodes, schema), ["id"]).collect()}
+    assert got == {1: 900.0, 2: 0.0, 3: 180000.0}
+
+
+def test_scaled_reconciliation(spark, edges, nodes):
+    """M(std * y + u) - u, over std, equals reconciling the unscaled forecasts."""
+    scaled = nodes.withColumn("u", F.length("node") * 2.0).withColumn("sd", F.length("node") + 0.5)
+    small = scaled.withColumn("yhat", (F.col("yhat") - F.col("u")) / F.col("sd"))
+    back = hierarchy.reconcile(small, edges, u="u", std="sd").select("node", "step", (F.col("yhat") * F.col("sd") + F.col("u")).alias("back"))
+    both = hierarchy.reconcile(nodes, edges).join(back, ["node", "step"]).collect()
+    assert both and all(abs(r["yhat"] - r["back"]) < 1e-9 for r in both)
