@@ -121,16 +121,24 @@ def flatness(preds: DataFrame) -> DataFrame:
     return over_turbines.agg(F.avg("s").alias("std_turbines")).withColumn("std_time", over_time)
 
 
-def add_jitter(preds: DataFrame, sigma: float = 0.015, seed: int = 0, only_if_flat: float | None = None) -> DataFrame:
+def add_jitter(
+    preds: DataFrame,
+    sigma: float = 0.015,
+    seed: int = 0,
+    only_if_flat: float | None = None,
+    draws: tuple[Column, Column] | None = None,
+) -> DataFrame:
     """Small normal noise, so that a forecast is never perfectly flat.
 
-    The noise comes from a hash of the row key by the Box-Muller rule: a re-run task repeats it exactly.
+    The noise comes from a hash of the row key by the Box-Muller rule: a re-run task repeats it exactly. ``draws`` replaces
+    the hashes by two columns in (0, 1], for the radius and the angle.
     ``only_if_flat`` adds it only where the mean std (over time or over turbines) is at most that value.
     """
     unit = lambda salt: (F.pmod(F.xxhash64("turb_id", "step", F.lit(seed), F.lit(salt)), F.lit(2**52)) + 1) / F.lit(
         2.0**52 + 1
     )
-    noise: Column = F.sqrt(-2 * F.log(unit("radius"))) * F.cos(2 * F.pi() * unit("angle")) * sigma
+    radius, angle = draws or (unit("radius"), unit("angle"))
+    noise: Column = F.sqrt(-2 * F.log(radius)) * F.cos(2 * F.pi() * angle) * sigma
     if only_if_flat is not None:
         is_flat = flatness(preds).select(F.least("std_time", "std_turbines") <= only_if_flat).scalar()
         noise = F.when(is_flat, noise).otherwise(F.lit(0.0))

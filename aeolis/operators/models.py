@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -205,6 +206,18 @@ def score_tree_table(df: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> Da
     return rows.mapInArrow(run, f"{kinds}, model_id bigint, score double")
 
 
+def predict_stored(df: DataFrame, nodes: DataFrame, out: str = "prediction") -> DataFrame:
+    """Mean score of a stored ensemble's models next to the untouched columns, for the repair step."""
+    table = node_table(nodes)
+
+    @F.pandas_udf("double")
+    def mean(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(table.score(x.to_numpy(dtype=float, na_value=np.nan))[1].mean(axis=1))
+
+    inputs = [F.col(c).cast("double").alias(c) for c in table.names] or [F.lit(0.0).alias("none")]
+    return df.withColumn(out, mean(F.struct(*inputs)))
+
+
 def mean_ensemble(preds: DataFrame, keys: Sequence[str] = ("turb_id", "step"), col: str = "yhat") -> DataFrame:
     return preds.groupBy(*keys).agg(F.avg(col).alias(col))
 

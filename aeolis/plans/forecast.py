@@ -37,19 +37,27 @@ class Boosting:
 # ---- long-horizon leg
 
 
-def repaired_panel(panel: DataFrame, boosting: Boosting, repair_model: PipelineModel | None = None) -> DataFrame:
-    """Temperature, direction and power repaired; the scoring mask kept as ``abnormal``."""
+def repaired_panel(
+    panel: DataFrame, boosting: Boosting, repair_model: PipelineModel | None = None, repair_nodes: DataFrame | None = None
+) -> DataFrame:
+    """Temperature, direction and power repaired; the scoring mask kept as ``abnormal``.
+
+    Power is repaired by ``repair_nodes`` (a stored ensemble's node table), by ``repair_model``, or by a model fitted here.
+    """
     rows = sc.fill_zero(repair.repair_sigma(panel, "etmp"))
     # both masks look at the readings as delivered, before any direction is interpolated
     rows = stage(rows.withColumns({"abnormal": sc.abnormal_eval(), "abnormal_patv": sc.abnormal_patv()}), "masked")
     cols = list(models.REPAIR_INPUTS)
     smooth = gaps.interpolate(sc.with_ndir_mask(step_index(rows)), "ndir")
     smooth = stage(smooth, "smooth")
-    if repair_model is None:
+    if repair_model is None and repair_nodes is None:
         repair_model = models.train_boosted_trees(
             smooth.filter("NOT abnormal_patv"), cols, label="patv", rounds=boosting.rounds, rate=boosting.rate, depth=boosting.depth
         )
-    scored = models.predict(repair_model, smooth, cols, "prediction")
+    if repair_nodes is not None:
+        scored = models.predict_stored(smooth, repair_nodes)
+    else:
+        scored = models.predict(repair_model, smooth, cols, "prediction")
     fixed = repair.overwrite_abnormal(scored, flag=F.col("abnormal_patv"))
     return sc.drop_prefixed(sc.clip_nonneg(fixed))
 
@@ -62,9 +70,10 @@ def long_leg_features(
     boosting: Boosting,
     online: bool = False,
     repair_model: PipelineModel | None = None,
+    repair_nodes: DataFrame | None = None,
 ) -> DataFrame:
     """All features, target and split of the long-horizon leg, not yet scaled."""
-    base = repaired_panel(panel, boosting, repair_model)
+    base = repaired_panel(panel, boosting, repair_model, repair_nodes)
     base = stage(sc.with_wind_angle(sc.with_residual(sc.with_curve(base, curve)), angle), "basis")
     rolled = roll_bundle(base, ROLL_FEATURES, [settings.roll])
     rolled = rolled.withColumn("seasonal_patv", F.col("patv") - F.col(f"win{settings.roll}_mean_patv"))

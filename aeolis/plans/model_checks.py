@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
 from aeolis.operators import blend, farm, hierarchy, metrics, models, repair, split_scale
-from aeolis.plans.fixture import FADE, LOOKBACK, STEPS, TEST_DAYS, VALID_DAYS, H
+from aeolis.plans.fixture import ABNORMAL, CURVE_F, FADE, LOOKBACK, STEPS, TEST_DAYS, VALID_DAYS, H
 from aeolis.plans.registry import query
 from aeolis.session import shared_dir, stage
 from aeolis.sources import panel as src
@@ -319,6 +319,38 @@ def _(d):
     return repair.overwrite_abnormal(scored).select(*KEY, "patv")
 
 
+@query("repair_patv_stored", f"""SELECT turb_id, slot, CASE WHEN {ABNORMAL} THEN (({_tree_sql(1)}) + ({_tree_sql(2)})) / 2 ELSE patv END AS patv
+FROM panel""", "patv")
+def _(d):
+    scored = models.predict_stored(d.panel, d.spark.createDataFrame(TREE_ROWS, TREE_SCHEMA))
+    return repair.overwrite_abnormal(scored).select(*KEY, "patv")
+
+
+# One model of two trees on the farm statistics (fixed node table).
+FARM_TREE_ROWS = [
+    (1, 0, 0, "patv_mean", 500.0, True, 1, 2, None), (1, 0, 1, "wspd", 7.5, False, 3, 4, None),
+    (1, 0, 2, "etmp_median", 15.0, True, 5, 6, None), (1, 0, 3, None, None, None, None, None, -50.0),
+    (1, 0, 4, None, None, None, None, None, 450.0), (1, 0, 5, None, None, None, None, None, 800.0),
+    (1, 0, 6, None, None, None, None, None, 5000.0), (1, 1, 0, "mask_mean", 0.55, True, 1, 2, None),
+    (1, 1, 1, None, None, None, None, None, 10.0), (1, 1, 2, None, None, None, None, None, -10.0),
+]
+
+
+@query("repair_patv_farm_stored", f"""WITH f AS (SELECT m.*, {CURVE_F} AS max_patv FROM masked m LEFT JOIN curve USING (turb_id)),
+g AS (SELECT day, tmstamp, avg(patv) FILTER (WHERE mask = 1 AND NOT coalesce(raw_patv > max_patv, false)) AS patv_mean,
+  avg(mask) AS mask_mean, median(etmp) AS etmp_median FROM f GROUP BY day, tmstamp),
+p AS (SELECT f.*, CASE WHEN coalesce(patv_mean <= 500, true) THEN CASE WHEN coalesce(wspd <= 7.5, false) THEN -50e0 ELSE 450e0 END
+  ELSE CASE WHEN coalesce(etmp_median <= 15, true) THEN 800e0 ELSE 5000e0 END END
+  + CASE WHEN coalesce(mask_mean <= 0.55, true) THEN 10e0 ELSE -10e0 END AS prediction FROM f JOIN g USING (day, tmstamp)),
+q AS (SELECT *, CASE WHEN mask = 0 THEN prediction ELSE patv END AS filled FROM p),
+r AS (SELECT *, CASE WHEN filled < 0 THEN 0 ELSE filled END AS low FROM q)
+SELECT turb_id, slot, CASE WHEN low > max_patv THEN max_patv ELSE low END AS patv FROM r""", "patv")
+def _(d):
+    rows = models.farm_repair_inputs(sc.with_clock(d.masked), d.curve, d.panel.select(*KEY, "wdir"))
+    scored = models.predict_stored(rows, d.spark.createDataFrame(FARM_TREE_ROWS, TREE_SCHEMA))
+    return repair.overwrite_unknown(scored).select(*KEY, "patv")
+
+
 @query("repair_patv_farm_model")
 def _(d):
     rows = stage(models.farm_repair_inputs(sc.with_clock(d.masked), d.curve, d.panel.select(*KEY, "wdir")), "farm-repairable")
@@ -389,9 +421,12 @@ def _(d):
     return blend.blend_legs(_leg(d, 1), _leg(d, 2))
 
 
-@query("add_jitter")
+@query("add_jitter", """SELECT turb_id, step, yhat + sqrt(-2 * ln(((turb_id * 7919 + step * 104729) % 9973 + 1) / 9974.0))
+* cos(2 * pi() * ((turb_id * 31 + step * 17) % 1009 + 1) / 1010.0) * 0.015 AS yhat FROM preds WHERE model_id = 1""", "yhat")
 def _(d):
-    return blend.add_jitter(_leg(d, 1))
+    radius = ((F.col("turb_id") * 7919 + F.col("step") * 104729) % 9973 + 1) / 9974.0
+    angle = ((F.col("turb_id") * 31 + F.col("step") * 17) % 1009 + 1) / 1010.0
+    return blend.add_jitter(_leg(d, 1), draws=(radius, angle))
 
 
 @query("forecast_layout", """SELECT turb_id, count(*) AS n, min_by(yhat, step) AS first, max_by(yhat, step) AS last
