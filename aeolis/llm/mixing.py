@@ -20,7 +20,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, max_rate: float = M
 
     ``weights`` (source, weight) names the target; without it the weight is the square root of a source's characters,
     which flattens the mixture. The target has as many characters as the corpus. A source without characters keeps rate 1;
-    sources missing from ``weights`` get rate 0. NULL is a source like any other.
+    sources missing from ``weights`` get rate 0, weights of sources that the corpus lacks take no share. NULL is a source like any other.
     """
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
     if weights is None:
@@ -50,21 +50,22 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = S
     Columns of these names in the input are replaced, other columns are kept. NULL text counts as empty. Without an id a document
     draws by its text. Repeated rows are copies of one document and draw alike. An empty table gives an empty result.
     """
-    base = without(docs, [*OWN, "_salt", "_key", "_cdf", "_of"]).withColumn("_salt", F.monotonically_increasing_id() % 4096)
+    base = without(docs, [*OWN, "_salt", "_key", "_cdf", "_of", "_name"]).withColumn("_salt", F.monotonically_increasing_id() % 4096)
     steps = int(max_rate + 12 * math.sqrt(max_rate) + 24)
     cdf = F.expr(
         f"""aggregate(sequence(1, {steps}), named_struct('p', exp(-rate), 'c', array(exp(-rate))),
             (a, k) -> named_struct('p', a.p * rate / k, 'c', concat(a.c, array(element_at(a.c, -1) + a.p * rate / k))), a -> a.c)"""
     )
     # Written, so that Spark knows its size: broadcast while small, else a sort-merge join whose hot source is split.
-    table = stage(rates(base, weights, max_rate).select(F.col("source").alias("_of"), cdf.alias("_cdf")), "mix-rates")
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # NULL is a source of its own
+    table = stage(rates(base, weights, max_rate).select(named.alias("_of"), cdf.alias("_cdf")), "mix-rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    drawn = base.join(table, base.source.eqNullSafe(table["_of"])).withColumn("_key", key)
+    drawn = base.withColumn("_key", key).withColumn("_name", named).join(table, F.col("_name") == F.col("_of"))
     drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= uniform(F.concat(F.lit(f"{seed}:"), F.col("_key"))))))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     placed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), "_key", "copy").cast("binary")))
     dealt = placed.repartition("shuffle_key", "_salt").sortWithinPartitions("shuffle_key")
-    return without(dealt, ["_salt", "_key", "_cdf", "_of"])
+    return without(dealt, ["_salt", "_key", "_cdf", "_of", "_name"])
 
 
 def oracle(seed: str = SEED, max_rate: float = MAX_RATE) -> str:
