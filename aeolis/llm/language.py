@@ -58,26 +58,47 @@ class Model:
     floor: np.ndarray
     scripts: dict[str, np.ndarray]
     known: dict[str, int] = field(default_factory=dict)
-    held: list = field(default_factory=list)
-    letters: list = field(default_factory=list)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of the word in each language; languages that don't write its script are out."""
-        out = np.zeros(len(self.langs), np.float32)
-        for g in grams(word):
-            i = self.row.get(g)
-            j = self.contexts.get(g[:2])
-            out += self.table[i] if i is not None else self.floor[j] if j is not None else 0
-        able = self.scripts.get(script(word[0]))
-        return np.where(able, out, -1e6) if able is not None else np.zeros_like(out)
+    able: dict[str, np.ndarray | None] = field(default_factory=dict)
+
+    def __post_init__(self):
+        # Trigrams, then their contexts for trigrams never met, then a row of zeros for contexts never met.
+        self.rows = np.concatenate([self.table, self.floor, np.zeros((1, len(self.langs)), np.float32)])
+        self.scores, self.letters = np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
+        self.kept = max(20_000, min(600_000, 40_000_000 // (16 + 4 * len(self.langs))))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods of the words in each language; languages that don't write a word's script are out."""
+        row, contexts, first, none = self.row, self.contexts, len(self.table), len(self.rows) - 1
+        at, starts = [], []
+        for w in words:
+            starts.append(len(at))
+            for g in grams(w):
+                i = row.get(g)
+                if i is None:
+                    j = contexts.get(g[:2])
+                    i = none if j is None else first + j
+                at.append(i)
+        out = np.add.reduceat(self.rows[at], starts, axis=0) if words else np.zeros((0, len(self.langs)), np.float32)
+        for c in {w[0] for w in words} - self.able.keys():
+            self.able[c] = self.scripts.get(script(c))
+        for i, w in enumerate(words):
+            able = self.able[w[0]]
+            if able is None:
+                out[i] = 0
+            elif not able.all():
+                out[i, ~able] = -1e6
+        return out
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 300_000:
-            self.known, self.held, self.letters = {}, [], []
-        for w in [w for w in set(words) if w not in self.known]:
-            self.known[w] = len(self.held)
-            self.held.append(self.word(w))
-            self.letters.append(len(w))
+        """Row of every word in ``scores`` and ``letters``; words not met lately are scored first."""
+        met = set(words)
+        if len(self.known) + len(met) > self.kept:
+            self.known, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
+        new = [w for w in met if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.words(new)])
+            self.letters = np.concatenate([self.letters, np.array([len(w) for w in new], np.int64)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
@@ -195,11 +216,10 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH) -> D
         for b in text_slices(batches, text, 2_000_000):
             texts = b[text].to_pylist()
             found = [words_of(t or "") for t in texts] if own else [[] for _ in texts]
-            scores, sizes = [], []
-            for ws in found:
-                at = own.numbers(ws) if ws else np.zeros(0, np.int64)
-                scores.append(np.array([own.held[i] for i in at]) if len(at) else np.zeros((0, len(own.langs) if own else 1)))
-                sizes.append(np.array([own.letters[i] for i in at], np.int64) if len(at) else np.zeros(0, np.int64))
+            cuts = np.cumsum([len(ws) for ws in found])[:-1] if found else []
+            at = own.numbers([w for ws in found for w in ws]) if own else np.zeros(0, np.int64)
+            scores = np.split(own.scores[at], cuts) if own else [np.zeros((0, 1))] * len(texts)
+            sizes = np.split(own.letters[at], cuts) if own else scores
             out = [decide(own, p, s, z) if len(p) else ("und", 0.0, []) for p, s, z in zip(viterbi(scores, penalty), scores, sizes, strict=True)]
             kinds = (pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])))
             cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]

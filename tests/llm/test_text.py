@@ -86,7 +86,7 @@ def test_spans_of_mixed_text(spark):
 def test_scripts_narrow():
     rows = [("el", g, 5) for g in language.grams("λογος")] + [("en", g, 5) for g in language.grams("logos")] + [("el", "#greek", 5), ("en", "#latin", 5)]
     model = language.build(rows)
-    assert model.word("λα").argmax() == 0 and model.word("la").argmax() == 1 and not model.word("мир").any()
+    assert model.words(["λα", "la"]).argmax(axis=1).tolist() == [0, 1] and not model.words(["мир"]).any()
 
 
 def test_language_of_odd_rows(spark, edge, empty, edge_rows):
