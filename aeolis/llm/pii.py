@@ -276,8 +276,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
     return train([(facts(words), y) for words, y in table])
 
 
+def plausible(kind: str, text: str) -> bool:
+    """What a span must hold to be of its kind, however sure the field is."""
+    digits = sum("0" <= c <= "9" for c in text)
+    return {"email": "@" in text, "ip": text.count(".") == 3 and digits >= 4, "card": 12 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+
+
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: Field) -> list[list[tuple[str, int, int]]]:
-    """Spans that the field finds beside the base ones: runs of words of one kind, all of them sure, that meet no base span."""
+    """Spans that the field finds beside the base ones: runs of words of one kind, all of them sure and the
+    whole plausible, that meet no base span."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     jobs = [(i, run) for i, t in enumerate(texts) for run in windows(t)]
     jobs.sort(key=lambda j: len(j[1]))
@@ -298,7 +305,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
                     begin += 1
                 while end > begin and not text[end - 1].isalnum():
                     end -= 1
-                if begin < end and any(map(str.isdigit, text[begin:end])) | ("@" in text[begin:end]) and not any(x < end and begin < y for _, x, y in base[i]):
+                if plausible(KINDS[path[p] - 1], text[begin:end]) and not any(x < end and begin < y for _, x, y in base[i]):
                     out[i].append((KINDS[path[p] - 1], begin, end))
     return out
 
