@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeolis.llm.common import ranked, stage
+from aeolis.llm.common import stage
 from aeolis.llm.topk import finite, matrix
 
 #: Curves; axes and bits of each; share of all rows on either side of a query that a window holds.
@@ -65,6 +65,39 @@ class Curve:
         return hilbert(np.minimum(cells, (1 << self.bits) - 1), self.bits)
 
 
+def lifted(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
+    """Vectors with one axis more, all of length ``norm`` (the largest of any candidate), on which the candidates of larger inner
+    product with a query are the nearer ones. Candidates get the length they lack on the new axis; queries are stretched, which
+    changes no order among their candidates, and get 0."""
+    square = (x * x).sum(axis=1)
+    if query:
+        return np.hstack([x * (norm / np.sqrt(square))[:, None], np.zeros((len(x), 1))])
+    return np.hstack([x, np.sqrt(np.maximum(norm * norm - square, 0.0))[:, None]])
+
+
+def among_candidates(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (dim, curve, key, vec_id, side) with rank: how many candidates (side 0) of the dimension come before on the curve.
+
+    As in :func:`aeolis.llm.common.ranked`, but queries (side 1) take no place of their own.
+    """
+    order = ["dim", "curve", "key", "vec_id", "side"]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def count(batches):
+        at = 0
+        for b in batches:
+            there = (b["side"].to_numpy() == 0).astype(np.int64)
+            yield pa.record_batch([*b.columns, pa.array(at + np.cumsum(there) - there)], [*b.schema.names, "at"])
+            at += int(there.sum())
+
+    counted = dealt.mapInArrow(count, "dim int, curve int, key long, vec_id long, side int, at long").drop("key")
+    held = stage(counted.withColumn("part", F.spark_partition_id()), "curve-order")
+    parts = held.groupBy("dim", "curve", "part").agg(F.sum(1 - F.col("side")).alias("size"), F.min("at").alias("first"))
+    before = F.sum("size").over(Window.partitionBy("dim", "curve").orderBy("part")) - F.col("size")
+    parts = stage(parts.select("dim", "curve", "part", (before - F.col("first")).alias("shift")), "curve-order-parts")
+    return held.join(parts, ["dim", "curve", "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
 def _best(k: int, reach: dict[int, int]):
     """Score the queries' windows inside one block and keep each query's best, with exact sums in a fixed order."""
 
@@ -98,8 +131,10 @@ def _best(k: int, reach: dict[int, int]):
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
     """The ``k`` rows of largest inner product found for every query; queries are the rows whose id is divisible by ``every``.
 
-    Every row is placed on each of several Hilbert curves, each over a projection, a quantile grid and a shift of its own. A
-    curve's order is made by a range partition and a sort. A query meets the rows up to ``window`` times all rows before and
+    Vectors get one axis more, on which all have the length of the longest, so that the largest inner products are the least
+    distances whatever the vectors' lengths; queries have places of their own. Every row is placed on each of several Hilbert
+    curves, each over a projection, a quantile grid and a shift of its own. A curve's order is made by a range partition and a
+    sort. A query meets the rows up to ``window`` times all rows before and
     after it (at least 64): blocks of the order score the windows that touch them and keep each query's best, which merge over
     all curves. Windows are a share of the rows, so that recall doesn't fall as the table grows. Scores are inner products in
     double precision, ties go to the smaller id.
@@ -109,13 +144,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     """
     rows = finite(vectors).where(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding", F.size("embedding").alias("dim"))
     rows = stage(rows, "curve-vectors")
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for a length of vectors
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    found = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm")).collect()  # one row for a number of axes
+    sizes, norms = {r["dim"]: r["n"] for r in found}, {r["dim"]: r["norm"] for r in found}
     reach = {d: max(LEAST, int(np.ceil(window * n))) for d, n in sizes.items()}
     place = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
     share = F.element_at(F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, SAMPLE / n)))), F.col("dim")) if sizes else F.lit(1.0)
     drawn = rows.where(place <= share).select("dim", "embedding").toArrow()  # bounded by the sample
     samples = {d: matrix(drawn["embedding"].filter(pa.array(drawn["dim"].to_numpy() == d)), d).astype(np.float64) for d in sizes}
-    index = {d: [Curve(i, d, samples[d] if len(samples[d]) else np.zeros((1, d))) for i in range(curves)] for d in sizes}
+    samples = {d: lifted(x, norms[d], False) if len(x) else np.zeros((1, d + 1)) for d, x in samples.items()}
+    index = {d: [Curve(i, d + 1, samples[d]) for i in range(curves)] for d in sizes}
 
     def place_rows(batches):
         for b in batches:
@@ -123,20 +161,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
             for d in np.unique(dims):
                 of = pa.table(b).filter(pa.array(dims == d))
                 x = matrix(of["embedding"], int(d)).astype(np.float64)
-                ids, n = of["vec_id"].to_numpy(), len(of)
-                keys = np.concatenate([c.keys(x) for c in index[int(d)]])
-                yield pa.record_batch([pa.array(np.full(n * curves, d), pa.int32()), pa.array(np.repeat(np.arange(curves), n), pa.int32()), pa.array(keys), pa.array(np.tile(ids, curves))], ["dim", "curve", "key", "vec_id"])
-
-    keyed = rows.mapInArrow(place_rows, "dim int, curve int, key long, vec_id long")
-    order = ranked(keyed, ["dim", "curve", "key", "vec_id"], "curve-order", ("dim", "curve")).drop("key")
+                ids = of["vec_id"].to_numpy()
+                for side, at in ((0, np.arange(len(ids))), (1, np.flatnonzero(ids % every == 0))):
+                    y, n = lifted(x[at], norms[int(d)], side == 1), len(at)
+                    keys = np.concatenate([c.keys(y) for c in index[int(d)]])
+                    cols = [np.full(n * curves, d, np.int32), np.repeat(np.arange(curves, dtype=np.int32), n), keys, np.tile(ids[at], curves), np.full(n * curves, side, np.int32)]
+                    yield pa.record_batch([pa.array(c) for c in cols], ["dim", "curve", "key", "vec_id", "side"])
+
+    order = among_candidates(rows.mapInArrow(place_rows, "dim int, curve int, key long, vec_id long, side int"))
     placed = order.join(rows.select(F.col("vec_id").alias("of"), "embedding"), F.col("vec_id") == F.col("of")).drop("of")
     width = F.element_at(F.create_map(*(F.lit(x) for d, n in reach.items() for x in (d, n))), F.col("dim")) if sizes else F.lit(LEAST)
     count = F.element_at(F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, n))), F.col("dim")) if sizes else F.lit(1)
     block = lambda c: F.floor(c / BLOCK).cast("long")
-    there = placed.withColumn("block", block(F.col("rank"))).withColumn("side", F.lit(0))
+    there = placed.where("side = 0").withColumn("block", block(F.col("rank")))
     met = F.sequence(block(F.greatest(F.col("rank") - width, F.lit(0))), block(F.least(F.col("rank") + width, count - 1)))
-    here = placed.where(F.col("vec_id") % every == 0).withColumn("block", F.explode(met)).withColumn("side", F.lit(1))
-    found = there.unionByName(here).groupBy("block", "dim", "curve").applyInArrow(_best(k, reach), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    here = placed.where("side = 1").withColumn("block", F.explode(met))
+    scored = there.unionByName(here).groupBy("block", "dim", "curve").applyInArrow(_best(k, reach), "query_id long, vec_id long, score double")
+    once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -82,3 +82,16 @@ def test_recall(spark):
         best = set(ids[np.lexsort((ids, -s))[:20]])
         hit, total = hit + len(best & {i for i, _ in rows}), total + 20
     assert hit / total >= 0.9
+
+
+def test_recall_of_unequal_lengths(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(4000, 64))
+    m *= (np.exp(rng.normal(size=4000)) / np.linalg.norm(m, axis=1))[:, None]
+    found = got(curves.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")))
+    hit = 0
+    for q in range(0, 4000, 20):
+        s = m @ m[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {i for i, _ in found[q]})
+    assert hit / (200 * 20) >= 0.95  # plain projections find 0.8
