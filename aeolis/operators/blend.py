@@ -108,9 +108,10 @@ def residual_decay_adjust(
 
 
 def blend_legs(short: DataFrame, long: DataFrame, start: int = 200) -> DataFrame:
-    """Short-horizon leg alone before ``start``, the mean of both legs from there on."""
+    """Short-horizon leg alone before ``start``, the mean of both legs from there on, or the one that is known."""
     other = long.select("turb_id", "step", F.col("yhat").alias("_other"))
-    mixed = F.when(F.col("step") >= start, 0.5 * F.col("yhat") + 0.5 * F.col("_other")).otherwise(F.col("yhat"))
+    both = F.coalesce(0.5 * F.col("yhat") + 0.5 * F.col("_other"), "yhat", "_other")
+    mixed = F.when(F.col("step") >= start, both).otherwise(F.col("yhat"))
     return short.join(other, ["turb_id", "step"], "left").withColumn("yhat", mixed).drop("_other")
 
 

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
 from aeolis.operators import blend, farm, gaps, hierarchy, metrics, models, repair, split_scale
-from aeolis.operators.blocks import from_end, step_index
+from aeolis.operators.blocks import from_end, neighbours, step_index
 from aeolis.operators.rolling import roll_bundle
 from aeolis.operators.series import series_features
 from aeolis.session import stage
 from aeolis.settings import ROLL_FEATURES, SEGMENTS, PanelSettings
+from aeolis.sources.panel import MEASURES
 
 KEYS = ["turb_id", "time"]
 
@@ -37,16 +38,42 @@ class Boosting:
 # ---- long-horizon leg
 
 
+def with_absent_slots(rows: DataFrame, steps_per_day: int) -> DataFrame:
+    """Every slot from a turbine's first reading to the farm's last slot; ``absent`` marks those without a reading.
+
+    Their measures lie on the line between the readings around them and stay at the turbine's last one behind it.
+    """
+    grid = gaps.fill_missing_slots(rows.withColumn("absent", F.lit(False)), steps_per_day)
+    begins = rows.groupBy("turb_id").agg(F.min("slot").alias("_begin"))
+    grid = grid.join(begins, "turb_id").filter("slot >= _begin").drop("_begin")
+    grid = stage(grid.withColumn("absent", F.col("absent").isNull()), "complete")
+    near = neighbours(grid, MEASURES, pos="slot")
+
+    def line(c):
+        prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
+        share = (F.col("slot") - prev["pos"]) / (nxt["pos"] - prev["pos"])
+        between = F.coalesce(prev["value"] + share * (nxt["value"] - prev["value"]), prev["value"])
+        return F.when(F.col("absent"), between).otherwise(F.col(c))
+
+    return near.withColumns({c: line(c) for c in MEASURES}).drop(*[f"_{s}_{c}" for s in ("prev", "next") for c in MEASURES])
+
+
 def repaired_panel(
-    panel: DataFrame, boosting: Boosting, repair_model: PipelineModel | None = None, repair_nodes: DataFrame | None = None
+    panel: DataFrame,
+    boosting: Boosting,
+    steps_per_day: int,
+    repair_model: PipelineModel | None = None,
+    repair_nodes: DataFrame | None = None,
 ) -> DataFrame:
-    """Temperature, direction and power repaired; the scoring mask kept as ``abnormal``.
+    """Temperature, direction and power repaired, missing slots completed; the scoring mask kept as ``abnormal``.
 
+    A slot without a reading counts as abnormal: it takes no part in scores, and its power is repaired like any other.
     Power is repaired by ``repair_nodes`` (a stored ensemble's node table), by ``repair_model``, or by a model fitted here.
     """
-    rows = sc.fill_zero(repair.repair_sigma(panel, "etmp"))
+    rows = with_absent_slots(sc.fill_zero(repair.repair_sigma(panel, "etmp")), steps_per_day)
     # both masks look at the readings as delivered, before any direction is interpolated
-    rows = stage(rows.withColumns({"abnormal": sc.abnormal_eval(), "abnormal_patv": sc.abnormal_patv()}), "masked")
+    masks = {"abnormal": sc.abnormal_eval() | F.col("absent"), "abnormal_patv": sc.abnormal_patv() | F.col("absent")}
+    rows = stage(rows.withColumns(masks).drop("absent"), "masked")
     cols = list(models.REPAIR_INPUTS)
     smooth = gaps.interpolate(sc.with_ndir_mask(step_index(rows)), "ndir")
     smooth = stage(smooth, "smooth")
@@ -73,7 +100,7 @@ def long_leg_features(
     repair_nodes: DataFrame | None = None,
 ) -> DataFrame:
     """All features, target and split of the long-horizon leg, not yet scaled."""
-    base = repaired_panel(panel, boosting, repair_model, repair_nodes)
+    base = repaired_panel(panel, boosting, settings.steps_per_day, repair_model, repair_nodes)
     base = stage(sc.with_wind_angle(sc.with_residual(sc.with_curve(base, curve)), angle), "basis")
     rolled = roll_bundle(base, ROLL_FEATURES, [settings.roll])
     rolled = rolled.withColumn("seasonal_patv", F.col("patv") - F.col(f"win{settings.roll}_mean_patv"))
@@ -147,7 +174,8 @@ def evaluate_long_leg(leg: LongLeg, features: DataFrame, settings: PanelSettings
 def forecast_long_leg(leg: LongLeg, features: DataFrame, settings: PanelSettings) -> DataFrame:
     """(turb_id, step, yhat): the rows still without a target predict the coming horizon.
 
-    Steps count from the farm's last slot, as in the short leg: a turbine that stopped early is blended at its own times.
+    Steps count from the farm's last slot, as in the short leg. The features reach up to it for every turbine, so all with a
+    full series window have all steps.
     """
     last = features.agg(F.max("slot").alias("last")).scalar()
     back = last - F.col("slot")

@@ -182,6 +182,25 @@ def test_long_leg_beats_the_last_value(data):
     assert sorted(out["step"].unique()) == list(range(SETTINGS.horizon)) and out["yhat"].notna().all()
 
 
+def test_turbines_with_gaps_get_all_steps(data):
+    """One turbine stopped more than a horizon ago, one lacks slots of the last horizon."""
+    turbines, last = sorted(r[0] for r in data.panel.select("turb_id").distinct().collect()), data.panel.agg(F.max("slot")).first()[0]
+    stopped = (F.col("turb_id") == turbines[0]) & (F.col("slot") > last - 2 * SETTINGS.horizon)
+    holes = (F.col("turb_id") == turbines[1]) & F.col("slot").isin([last, last - 3, last - 4])
+    panel = stage(data.panel.filter(~stopped & ~holes), "panel-gaps")
+    features = stage(fc.long_leg_features(panel, data.curve, data.angle, SETTINGS, SMALL), "labelled-gaps")
+    out = fc.forecast_long_leg(fc.fit_long_leg(features, SMALL), features, SETTINGS)
+    rows = out.filter("yhat IS NOT NULL").collect()
+    assert sorted((r["turb_id"], r["step"]) for r in rows) == [(t, s) for t in turbines for s in range(SETTINGS.horizon)]
+
+
+def test_blend_without_the_other_leg(spark):
+    short = spark.createDataFrame([(1, 0, 1.0), (1, 5, 2.0), (2, 5, 3.0)], "turb_id bigint, step bigint, yhat double")
+    long = spark.createDataFrame([(1, 5, 4.0), (2, 5, None)], "turb_id bigint, step bigint, yhat double")
+    for other, want in ((long, {(1, 0): 1.0, (1, 5): 3.0, (2, 5): 3.0}), (long.filter("turb_id = 2"), {(1, 0): 1.0, (1, 5): 2.0, (2, 5): 3.0})):
+        assert {(r["turb_id"], r["step"]): r["yhat"] for r in blend.blend_legs(short, other, 4).collect()} == want
+
+
 def test_short_leg(data):
     rows = fc.short_leg_rows(data.panel, data.curve, data.angle, SETTINGS)
     assert rows.count() == 5 * 720
