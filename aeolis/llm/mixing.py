@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +13,18 @@ from aeolis.llm.common import stage, without
 
 OWN = ("n_copies", "copy", "shuffle_key")
 SEED = "mix-1"
-#: A source is repeated this often at most on average (the usual limit on epochs over one source).
+#: Cap on a source's mean repetitions in the statement and where a caller names none; the query and the pipeline have no cap.
 MAX_RATE = 8.0
 
 
-def rates(docs: DataFrame, weights: DataFrame | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def rates(docs: DataFrame, weights: DataFrame | None = None, max_rate: float | None = MAX_RATE) -> DataFrame:
     """Mean repetitions of every source: its share of the target over its share of the characters.
 
     ``weights`` (source, weight) names the target; without it the weight is the square root of a source's characters,
     which flattens the mixture. The target has as many characters as the corpus. A source without characters keeps rate 1;
     sources missing from ``weights`` get rate 0, weights of sources that the corpus lacks take no share. NULL is a source like any other.
+
+    ``max_rate`` clips the rates, and what it clips is lost: the result is shorter than the corpus then. With None every source reaches its share.
     """
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
     if weights is None:
@@ -31,7 +35,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, max_rate: float = M
     weighed = stage(weighed, "mix-weights")
     all_chars, all_weight = weighed.agg(F.sum("chars"), F.sum("weight")).first()
     rate = F.col("weight") / F.nullif(F.lit(all_weight), F.lit(0.0)) * F.lit(all_chars) / F.col("chars")
-    clipped = F.when(F.col("chars") > 0, F.least(F.coalesce(rate, F.lit(0.0)), F.lit(max_rate))).otherwise(1.0)
+    known = F.coalesce(rate, F.lit(0.0))
+    clipped = F.when(F.col("chars") > 0, known if max_rate is None else F.least(known, F.lit(max_rate))).otherwise(1.0)
     return weighed.select("source", clipped.alias("rate"))
 
 
@@ -40,7 +45,27 @@ def uniform(text) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, max_rate: float = MAX_RATE) -> DataFrame:
+def distribution(rate: float) -> tuple[int, np.ndarray]:
+    """First count and the Poisson distribution function from there on; what lies outside is less than a uniform number can tell."""
+    reach = 12 * math.sqrt(rate) + 24
+    low, high = max(0, int(rate - reach)), int(rate + reach)
+    if low == 0:
+        steps = np.concatenate([[math.exp(-rate)], rate / np.arange(1, high + 1)])
+        return 0, np.cumsum(np.cumprod(steps))
+    # Relative to the likeliest count, as exp(-rate) is too small for a double; long sources of error cancel in the sum.
+    k = np.arange(low, high + 1, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(rate / k[1:]))])
+    p = np.exp(logs - logs.max())
+    return low, np.cumsum(p) / p.sum()
+
+
+def _distributions(batches):
+    for b in batches:
+        found = [distribution(r) for r in b["rate"].to_pylist()]
+        yield pa.record_batch([b["_of"], pa.array([low for low, _ in found], pa.int32()), pa.array([c.tolist() for _, c in found], pa.list_(pa.float64()))], ["_of", "_least", "_cdf"])
+
+
+def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, max_rate: float | None = MAX_RATE) -> DataFrame:
     """Repeat every document a Poisson number of times with its source's mean rate, in a random global order.
 
     The count is the inverse of the Poisson distribution function at a uniform number hashed from the seed and the document's
@@ -50,22 +75,18 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = S
     Columns of these names in the input are replaced, other columns are kept. NULL text counts as empty. Without an id a document
     draws by its text. Repeated rows are copies of one document and draw alike. An empty table gives an empty result.
     """
-    base = without(docs, [*OWN, "_salt", "_key", "_cdf", "_of", "_name"]).withColumn("_salt", F.monotonically_increasing_id() % 4096)
-    steps = int(max_rate + 12 * math.sqrt(max_rate) + 24)
-    cdf = F.expr(
-        f"""aggregate(sequence(1, {steps}), named_struct('p', exp(-rate), 'c', array(exp(-rate))),
-            (a, k) -> named_struct('p', a.p * rate / k, 'c', concat(a.c, array(element_at(a.c, -1) + a.p * rate / k))), a -> a.c)"""
-    )
+    base = without(docs, [*OWN, "_salt", "_key", "_cdf", "_least", "_of", "_name"]).withColumn("_salt", F.monotonically_increasing_id() % 4096)
     # Written, so that Spark knows its size: broadcast while small, else a sort-merge join whose hot source is split.
     named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # NULL is a source of its own
-    table = stage(rates(base, weights, max_rate).select(named.alias("_of"), cdf.alias("_cdf")), "mix-rates")
+    known = rates(base, weights, max_rate).select(named.alias("_of"), "rate")
+    table = stage(known.mapInArrow(_distributions, "_of string, _least int, _cdf array<double>"), "mix-rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     drawn = base.withColumn("_key", key).withColumn("_name", named).join(table, F.col("_name") == F.col("_of"))
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= uniform(F.concat(F.lit(f"{seed}:"), F.col("_key"))))))
+    drawn = drawn.withColumn("n_copies", F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= uniform(F.concat(F.lit(f"{seed}:"), F.col("_key"))))))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     placed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), "_key", "copy").cast("binary")))
     dealt = placed.repartition("shuffle_key", "_salt").sortWithinPartitions("shuffle_key")
-    return without(dealt, ["_salt", "_key", "_cdf", "_of", "_name"])
+    return without(dealt, ["_salt", "_key", "_cdf", "_least", "_of", "_name"])
 
 
 def oracle(seed: str = SEED, max_rate: float = MAX_RATE) -> str:

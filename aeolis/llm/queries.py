@@ -28,7 +28,7 @@ def query(f):
 @query
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to square-root weights of their sources."""
-    return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"), max_rate=None)
 
 
 ORACLES["op1_poisson_mix"] = mixing.oracle()

@@ -29,7 +29,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out to square-root weights of their sources, in a random order."""
-    return mixing.poisson_mix(docs).select(*COLUMNS)
+    return mixing.poisson_mix(docs, max_rate=None).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -59,6 +60,19 @@ def test_mixing_reaches_its_weights(spark):
     assert not first.is_monotonic_increasing
 
 
+def test_mixing_of_a_rare_source(spark):
+    """Rates far beyond 8: a source of a thousandth of the characters takes half of the result, one of a hundred-thousandth a fifth."""
+    docs = spark.range(100_000).selectExpr("id as doc_id", "'abcdefghij' as text", "case when id = 7 then 'least' when id % 1000 = 0 then 'small' else 'large' end as source")
+    weights = spark.createDataFrame([("small", 5.0), ("large", 3.0), ("least", 2.0)], "source string, weight double")
+    n = {r["source"]: r["count"] for r in mixing.poisson_mix(docs, weights, max_rate=None).groupBy("source").count().collect()}
+    assert n["small"] == pytest.approx(50_000, rel=0.05) and n["large"] == pytest.approx(30_000, rel=0.05) and n["least"] == pytest.approx(20_000, rel=0.05)
+    for rate in (0.0, 0.3, 8.0, 150.0, 400.0, 20_000.0):
+        low, cdf = mixing.distribution(rate)
+        p = np.diff(cdf, prepend=0.0)
+        k = low + np.arange(len(p))
+        assert abs(cdf[-1] - 1) < 1e-9 and abs((p * k).sum() - rate) < 1e-6 * max(1.0, rate) and abs((p * (k - rate) ** 2).sum() - rate) < 1e-4 * max(1.0, rate)
+
+
 def shingle_set(text, k):
     words = jaccard.WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
