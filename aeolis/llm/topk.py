@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,8 +15,8 @@ from aeolis.llm.common import stage
 BLOCK = 1024
 #: Bins of one histogram.
 BINS = 1024
-#: Larger quantised components could overflow the integer score; such vectors take no part.
-LARGEST = 1 << 28
+#: Queries whose scores could pass this are scored with integers of any length, without histograms.
+WIDE = float(1 << 61)
 
 
 def finite(vectors: DataFrame) -> DataFrame:
@@ -94,6 +96,37 @@ def _select(k: int):
     return found
 
 
+def _wide(k: int):
+    """Each query's best of a block by exact integers: doubles with a bound of their error leave few pairs to sum."""
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        ld, rd = left["dim"].to_numpy(), right["dim"].to_numpy()
+        lid, rid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        for dim in np.intersect1d(ld, rd):
+            at, to = np.flatnonzero(ld == dim), np.flatnonzero(rd == dim)
+            q, x = matrix(left["v"].take(pa.array(at)), dim), matrix(right["v"].take(pa.array(to)), dim)
+            a, b = q / np.abs(q).max(initial=1), x / np.abs(x).max(initial=1)
+            s, error = a @ b.T, np.abs(a) @ np.abs(b).T * (dim + 4) * 2.0**-51 + 1e-290
+            own = lid[at][:, None] == rid[to][None, :]
+            sure = np.where(own, -np.inf, s - error)
+            place = max(0, len(to) - k)
+            least = np.partition(sure, place, axis=1)[:, place]
+            i, j = np.nonzero((s + error >= least[:, None]) & ~own)
+            rows, cols = {n: [int(c) for c in q[n]] for n in set(i.tolist())}, {n: [int(c) for c in x[n]] for n in set(j.tolist())}
+            exact = [sum(c * d for c, d in zip(rows[m], cols[n], strict=True)) for m, n in zip(i.tolist(), j.tolist(), strict=True)]
+            held = dict.fromkeys(rows, 0)
+            for m, e, n in sorted(zip(i.tolist(), (-e for e in exact), rid[to[j]].tolist(), strict=True)):
+                if held[m] < k:
+                    held[m] += 1
+                    for o, value in zip(out, (int(lid[at[m]]), n, Decimal(-e)), strict=True):
+                        o.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.decimal128(38, 0))
+        return pa.table([pa.array(o, kind) for o, kind in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score"])
+
+    return found
+
+
 def pairwise(here: DataFrame, there: DataFrame, f, schema: str) -> DataFrame:
     there = there.select([F.col(c).alias(c) for c in there.columns])  # both sides stem from one table
     return here.groupBy("qb", "db").cogroup(there.groupBy("qb", "db")).applyInArrow(f, schema)
@@ -107,20 +140,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     finer ones, until a bin is one score wide; the last pass returns the scores above the k-th value and, of the ties
     with it, the smallest ids. Every pass scores everything; only counts and the result leave the tasks.
 
-    Vectors that are NULL or hold NULL or non-finite components take no part (nor those beyond 2^28 after scaling); an id
+    Queries whose scores could pass 2^61 are scored in one pass with integers of any length. score is a decimal if any found passes
+    2^63; scores of more than 38 digits, which no column holds, end the query with an error.
+
+    Vectors that are NULL or hold NULL or non-finite components take no part; an id
     names one vector, of repeated ids the smallest counts; vectors of different lengths are no candidates for each other.
     A query with fewer candidates returns all. No usable rows: an empty result.
     """
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
+    # Whole numbers as doubles: from 2^53 on doubles are whole, and those beyond 2^63 are no longs.
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    v = F.transform("embedding", lambda x: whole(x.cast("double") * scale))
     rows = finite(vectors).select("vec_id", F.size("embedding").alias("dim"), v.alias("v"))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) < LARGEST))
     rows = stage(rows, "topk-vectors")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    longest = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.abs(x))
-    largest = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+    longest = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    largest = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    # Scores lie within the sum of the query's magnitudes times the largest component; a little more, as doubles round.
+    bound = longest * F.lit(largest) * (1 + 2.0**-30) + 1
+    asked = rows.where(F.col("vec_id") % every == 0)
+    queries = asked.where(bound < WIDE)
     here, there = blocked(rows, queries)
-    # Scores lie within the sum of the query's magnitudes times the largest component.
-    reach = longest * F.lit(largest)
+    reach = bound.cast("long")
     state = queries.select("vec_id", (-reach).alias("low"), F.expr("0L").alias("above"), (2 * reach + 1).alias("span"))
     span = queries.agg(F.max(2 * reach + 1)).first()[0] or 1
     top = Window.partitionBy("query_id").orderBy(F.desc("bin"))
@@ -141,7 +180,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     state = stage(state, "topk-state")
     found = pairwise(here.join(state, "vec_id"), there, _select(k), "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    beyond = asked.where(bound >= WIDE)
+    if beyond.isEmpty():
+        return best(found)
+    long = best(pairwise(*blocked(rows, beyond), _wide(k), "query_id long, vec_id long, score decimal(38,0)"))
+    both = stage(best(found).withColumn("score", F.col("score").cast("decimal(38,0)")).unionByName(long), "topk-wide")
+    fits = (both.agg(F.max(F.abs("score"))).first()[0] or 0) < 1 << 63
+    return both.withColumn("score", F.col("score").cast("long")) if fits else both
 
 
 def oracle(k: int = 5, every: int = 50, scale: int = 256) -> str:

@@ -52,6 +52,18 @@ def test_top_k_of_everything_and_nothing(spark, edge_vectors):
     assert topk.top_k(edge_vectors.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("block, size", [(1024, 2.0**21), (16, 2.0**21), (16, 2.0**45)])
+def test_top_k_of_large_components(spark, monkeypatch, block, size):
+    """Unscaled vectors among small ones; with sums that differ by less than a double can tell."""
+    monkeypatch.setattr(topk, "blocked", lambda r, q, f=topk.blocked: f(r, q, block))
+    rng = np.random.default_rng(2)
+    small, large = rng.uniform(-1, 1, (40, 8)), np.floor(rng.uniform(-1, 1, (60, 8)) * size)
+    near = np.tile(large[3], (12, 1)) + np.arange(12)[:, None] * np.eye(8)[0]
+    vectors = [*small.tolist(), *large.tolist(), *near.tolist(), *near[:4].tolist(), [0.0] * 8]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    assert got(topk.top_k(df, 5, 4)) == brute_top(dict(enumerate(vectors)), 5, 4, quantised)
+
+
 def test_hilbert_walks_through_all_cells():
     for axes, bits in ((2, 4), (3, 3), (4, 2), (1, 5)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * axes), -1).reshape(-1, axes)
