@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +29,45 @@ SCRIPTS = (
     ("hangul", 0x1100, 0x11FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x2FA1F),
 )
 WORD = re.compile(r"[^\W\d_]+")
+#: A text without any of these has Latin letters alone. Letters of a piece: longer runs of letters are several words.
+FOREIGN = re.compile("[^\x00-\u024f\u1e00-\u1eff\u2000-\u2bff]")
+PIECE = 64
 
 
+@lru_cache(65_536)
 def script(letter: str) -> str:
     point = ord(letter)
     return next((name for name, low, high in SCRIPTS if low <= point <= high), "other")
 
 
+def cut(word: str) -> list[str]:
+    """A run of letters in pieces of one script and of at most ``PIECE`` letters; letters of no listed script stay where they are."""
+    out, at, now = [], 0, None
+    for i, c in enumerate(word):
+        kind = script(c)
+        if kind == "other":
+            kind = now
+        if i - at == PIECE or now is not None and kind != now:
+            out.append(word[at:i])
+            at = i
+        now = kind
+    return [*out, word[at:]]
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased; numerals that aren't letters don't make a word."""
-    found = WORD.findall(text.lower())
-    return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+    """Runs of letters, lower-cased, long ones and those of several scripts in pieces; numerals that aren't letters don't make a word."""
+    low = text.lower()
+    found = WORD.findall(low)
+    if not text.isascii():
+        found = [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+    if max(map(len, found), default=0) > PIECE or not low.isascii() and FOREIGN.search(low):
+        found = [p for w in found for p in cut(w)]
+    return found
 
 
 def grams(word: str) -> list[str]:
     """Character trigrams with the word's ends, the last two characters of context each."""
-    w = f"  {word[:64]} "
+    w = f"  {word} "
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
@@ -199,7 +223,8 @@ def build(rows: list[tuple[str, str, int]]) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH) -> DataFrame:
-    """``docs`` with lang_pred, score and spans (lang, begin, end; in words of letters).
+    """``docs`` with lang_pred, score and spans (lang, begin, end; in words of letters, of which long runs
+    without a space and those of several scripts make several).
 
     lang_pred is the language of most letters (ties: the first in alphabetical order), score its share of the letters, scaled by
     how sure the words in its spans are of it against the runner-up. Texts that are NULL or have no letter get ``und`` and score

@@ -16,6 +16,8 @@ from aeolis.llm.common import bound_batches, text_slices, without
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the labelled table: documents drawn (by a hash of the id) and windows of words kept of them.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 6000, 3000
+#: Longest piece of a word that the field sees at once; longer words are cut, behind one of these characters if there is one.
+PIECE, BREAKS = 60, frozenset(",;:|&=?\"'<>{}[]()")
 #: Words of context beside a word with a digit or @; least probability of every word of an added span.
 CONTEXT, SURE = 2, 0.95
 
@@ -125,9 +127,21 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     return found
 
 
+def pieces(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A window's words, those of more than ``PIECE`` characters in pieces that leave none out, cut behind a separator where there is one."""
+    out = []
+    for begin, end in run:
+        while end - begin > PIECE:
+            stop = next((i for i in range(begin + PIECE, begin, -1) if text[i - 1] in BREAKS), begin + PIECE)
+            out.append((begin, stop))
+            begin = stop
+        out.append((begin, end))
+    return out
+
+
 def shape(word: str) -> str:
     out = []
-    for c in word[:40]:
+    for c in word:
         kind = "d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1][0] != kind:
             out.append([kind, 0])
@@ -265,9 +279,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
         for b in batches:
             out = []
             for text in b["text"].to_pylist():
-                for words, y in labelled(text, base_spans(text), windows(text)):
+                for words, y in labelled(text, base_spans(text), [pieces(text, run) for run in windows(text)]):
                     for i in range(0, len(words), 32):
-                        out.append(([w[:60] for w in words[i : i + 32]], y[i : i + 32]))
+                        out.append((words[i : i + 32], y[i : i + 32]))
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.record_batch([pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.int64()))], ["words", "y"])
 
@@ -286,7 +300,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
     """Spans that the field finds beside the base ones: runs of words of one kind, all of them sure and the
     whole plausible, that meet no base span."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    jobs = [(i, run) for i, t in enumerate(texts) for run in windows(t)]
+    jobs = [(i, pieces(t, run)) for i, t in enumerate(texts) for run in windows(t)]
     jobs.sort(key=lambda j: len(j[1]))
     at = 0
     while at < len(jobs):
@@ -294,7 +308,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
         if longest > 64:
             stop = at + max(1, min(512, 32_768 // len(jobs[at][1])))
         part, at = jobs[at:stop], stop
-        paths, sures = model.decode([facts([texts[i][b : min(e, b + 60)] for b, e in run]) for i, run in part])
+        paths, sures = model.decode([facts([texts[i][b:e] for b, e in run]) for i, run in part])
         for (i, run), path, sure in zip(part, paths, sures, strict=True):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
             for p, q in zip(cuts[:-1], cuts[1:], strict=True):

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -162,3 +163,29 @@ def test_field_adds_and_keeps(spark, edge, empty, edge_rows):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
         assert set(pii.listed(want).split(",")) - {""} <= set(r["spans"].split(","))
     assert pii.found_documents(empty).count() == 0
+
+
+def test_long_runs_of_letters_are_read_whole(spark):
+    """The language of the many letters behind the first 64 wins; pieces have one script and leave nothing out."""
+    rows = [(lang, g, n) for lang, w in (("x", "ab" * 8), ("y", "cd" * 8)) for g, n in Counter(language.grams(w)).items()]
+    model = language.build([*rows, ("x", "#latin", 1), ("y", "#latin", 1)])
+    got = language.identify(spark.createDataFrame([("ab" * 32 + "cd" * 1000,)], "text string"), model).first()
+    assert got["lang_pred"] == "y" and [s["lang"] for s in got["spans"]] == ["x", "y"]
+    text = "\u4f60\u597d" * 500 + "hello\u3053\u3093"
+    words = language.words_of(text)
+    assert "".join(words) == text and words[-2:] == ["hello", "\u3053\u3093"] and max(map(len, words)) <= 64
+
+
+def test_long_words_are_labelled_whole():
+    """What lies behind the first 60 characters of a word reaches the field."""
+
+    class Mails:
+        def decode(self, sentences):
+            paths = [np.array([int(any(f.startswith("@1") for f in names)) for names in s]) for s in sentences]
+            return paths, [np.ones(len(p)) for p in paths]
+
+    text = "see " + "x" * 70 + "," + "y" * 59 + ",q@zz,1 end"
+    assert pii.added_spans([text], [[]], Mails()) == [[("email", text.index("q@"), text.index("q@") + 6)]]
+    run = [(0, 3), (4, len(text) - 4)]
+    cut = pii.pieces(text, run)
+    assert "".join(text[b:e] for b, e in cut) == "".join(text[b:e] for b, e in run) and max(e - b for b, e in cut) <= 60
