@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import curves, jaccard, language, licenses, mixing, packing, pii, tokens, topk, toxicity
+from aeolis.llm import curves, jaccard, language, licenses, merkle, mixing, packing, pii, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -95,3 +95,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_license_scan"] = licenses.oracle()
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the Merkle tree over all documents, checked against its text, some of it changed."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.oracle()
