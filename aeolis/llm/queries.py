@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import curves, jaccard, language, licenses, merkle, mixing, packing, pii, tokens, topk, toxicity
+from aeolis.llm import curves, jaccard, language, licenses, merkle, mixing, negatives, packing, pii, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -104,3 +104,12 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_merkle_manifest"] = merkle.oracle()
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hardest rows of other labels for every hundredth vector and each of its nearest rows of the same label."""
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op12_hard_negatives"] = negatives.oracle()
