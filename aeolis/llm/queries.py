@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeolis.llm import curves, jaccard, language, licenses, merkle, mixing, negatives, packing, pii, tokens, topk, toxicity
+from aeolis.llm import curves, jaccard, language, licenses, merkle, mixing, negatives, packing, pii, suffix_tree, tokens, topk, toxicity
 from aeolis.llm.common import table
 
 def tokenizer(name: str) -> str:
@@ -113,3 +113,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_hard_negatives"] = negatives.oracle()
+
+
+@query
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability by a suffix tree over words, learned from six sevenths of the documents."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
