@@ -97,26 +97,24 @@ def layers(leaves: DataFrame, name: str, height: int = HEIGHT) -> list[DataFrame
     width = FAN**height
 
     def block(key, t):
-        order = np.argsort(t["rank"].to_numpy(), kind="stable")
-        level, size = t["digest"].take(pa.array(order)).to_pylist(), t["size"][0].as_py()
-        of = -(-size // width)
-        levels = height + 1 if of > 1 else needed(len(level))
-        row = {"tree": key[0].as_py(), "block": key[1].as_py(), "of": of, "n": len(level), "size": size, "levels": levels}
-        return pa.Table.from_pylist([row | {"cells": build(level, levels).tobytes()}], pa.schema(kinds))
-
-    longs = ("block", "of", "n", "size", "levels")
-    kinds = [pa.field("tree", pa.string()), *(pa.field(c, pa.int64()) for c in longs), pa.field("cells", pa.binary())]
-    schema = "tree string, " + ", ".join(f"{c} long" for c in longs) + ", cells binary"
-    sizes, out = leaves.groupBy("tree").agg(F.count("*").alias("size")), []
+        order, nth = np.argsort(t["rank"].to_numpy(), kind="stable"), key[1].as_py()
+        level = t["digest"].take(pa.array(order)).to_pylist()
+        # Only the sole block of a tree has a number of 0 and isn't full.
+        levels = needed(len(level)) if nth == 0 and len(level) < width else height + 1
+        row = {"tree": key[0].as_py(), "block": nth, "n": len(level), "levels": levels, "cells": build(level, levels).tobytes()}
+        return pa.Table.from_pylist([row], kinds)
+
+    kinds = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("levels", pa.int64()), ("cells", pa.binary())])
+    out = []
     while True:
-        rows = leaves.select("tree", "rank", "digest", F.expr(f"rank div {width}").alias("block")).join(sizes, "tree")
-        made = stage(rows.groupBy("tree", "block").applyInArrow(block, schema), f"{name}-layer-{len(out)}")
+        rows = leaves.select("tree", "rank", "digest", F.expr(f"rank div {width}").alias("block"))
+        made = stage(rows.groupBy("tree", "block").applyInArrow(block, "tree string, block long, n long, levels long, cells binary"), f"{name}-layer-{len(out)}")
+        made = made.join(made.groupBy("tree").agg(F.count("*").alias("of"), F.sum("n").alias("size")), "tree")
         out.append(made)
         more = made.where("of > 1")
         if more.isEmpty():
             return out
         leaves = more.select("tree", F.col("block").alias("rank"), F.substring("cells", 1, 32).alias("digest"))  # the root is cell 0
-        sizes = more.select("tree", F.col("of").alias("size")).distinct()
 
 
 def roots(made: list[DataFrame]) -> DataFrame:
@@ -227,6 +225,7 @@ def _verified(leaves: DataFrame, made: list[DataFrame], langs: DataFrame, upper:
     dealt = leaves.withColumn("block", F.expr(f"rank div {width}")).groupBy("tree", "block")
     kind = dict(leaves.dtypes)["doc_id"]
     hexes = ", ".join(f"{c} string" for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root"))
+    blocks = blocks.repartition("tree", "block")  # else the joins' dealing by tree would do for the groups, too, and a tree fill a task
     return dealt.cogroup(blocks.groupBy("tree", "block")).applyInArrow(check, f"doc_id {kind}, {hexes}, verified boolean")
 
 

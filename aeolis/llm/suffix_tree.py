@@ -377,21 +377,23 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
 
         return results
 
+    # Payloads are small for the work they mean, so that partitions are as many as blocks and not merged by size.
+    by = lambda df, key: df.repartition(parts, key).groupBy(key)
     # A block's own row always comes along, as it may have nothing to ask.
     none = lambda kind: F.lit(-1).cast(kind)
     every = blocks.select(none("int").alias("kind"), none("long").alias("to"), "block", none("long").alias("part"), F.lit(b"").alias("data"))
     asked = blocks.select("block").repartition(parts).mapInArrow(begin, ROWS)
     totals = (0, 0, n_docs)
     for level in range(depth + 1):
-        counted = stage(asked.groupBy("to").applyInArrow(counting(level), ROWS), f"suffix-tree-counts-{level}")
+        counted = stage(by(asked, "to").applyInArrow(counting(level), ROWS), f"suffix-tree-counts-{level}")
         answers = counted.where(F.col("kind") == PAIRS).unionByName(every)
         if level == 0:
             sums = [spread(r["data"])["n"] for r in counted.where(F.col("kind") == TOTALS).collect()]  # two numbers a part
             totals = (int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), n_docs)
         else:
             tests = counted.where(F.col("kind").isin(GAINS, CONTEXTS))
-            answers = answers.unionByName(tests.groupBy("to").applyInArrow(judge, ROWS))
+            answers = answers.unionByName(by(tests, "to").applyInArrow(judge, ROWS))
         if level < depth:
-            asked = answers.groupBy("block").applyInArrow(asking(level, totals), ROWS)
+            asked = by(answers, "block").applyInArrow(asking(level, totals), ROWS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("block").applyInArrow(finish(totals), schema)
+    return by(answers, "block").applyInArrow(finish(totals), schema)
