@@ -22,8 +22,10 @@ BLOCK, DEPTH, LEAST = 16 << 20, 3, 50
 GAIN = 0.02
 #: Weights of the shorter context's distribution, as shares of a context's occurrences; the tests choose one for each context.
 RATES = (1 / 64, 1 / 16, 1 / 4, 1.0, 4.0)
-#: Decimals of the sums of gains: whole numbers add up to the same in any order.
-UNIT = 1e6
+#: Sums of gains are whole numbers of 1e-6, which add up to the same in any order; log probabilities travel in thousandths.
+UNIT, THOUSAND = 1e6, 1000.0
+#: Occurrences of a context that one part counts, about.
+HOT = 200_000
 #: The end of a document, as a word; the start, as a context alone.
 END, START = " ", np.int64(1) << 62
 
@@ -77,25 +79,35 @@ def words_of(texts: pa.Array):
     return coded.dictionary, coded.indices.to_numpy().astype(np.int32), before[ends - ends[0]]
 
 
+def placed(to: np.ndarray, parts: int):
+    """What goes to each part, in the order at hand, and where each part begins."""
+    order = np.argsort(to.astype(np.uint16) if parts <= 1 << 16 else to, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(to, minlength=parts))])
+
+
 def deal(out: list, kind: int, block: int, to: np.ndarray, parts: int, columns: dict) -> None:
     """Add a row for each part that gets anything; a part's rows keep their order."""
-    order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(parts + 1))
+    order, ends = placed(to, parts)
     for p in np.flatnonzero(np.diff(ends)):
         at = order[ends[p] : ends[p + 1]]
         out.append((kind, int(p), block, -1, squeeze(**{n: c.take(pa.array(at)) if isinstance(c, pa.Array) else c[at] for n, c in columns.items()})))
 
 
-def dealt(answers: dict[int, dict], to: np.ndarray, names: dict[str, type]) -> dict[str, np.ndarray]:
-    """The answers of all parts in the order in which the block asked."""
-    order, out = np.argsort(to, kind="stable"), {n: np.zeros(len(to), k) for n, k in names.items()}
-    for n in names:
-        parts = [answers[p][n] for p in sorted(answers)]
-        if parts:
-            out[n][order] = np.concatenate(parts)
+def dealt(answers: dict[int, dict], to: np.ndarray, parts: int, name: str, kind: type) -> np.ndarray:
+    """A column of the answers of all parts in the order in which the block asked."""
+    out = np.zeros(len(to), kind)
+    if len(to):
+        out[placed(to, parts)[0]] = np.concatenate([answers[p][name] for p in sorted(answers)])
     return out
 
 
+def numbered(answer: dict, least: int) -> dict:
+    """Only what occurs often enough has an id; the others get -1."""
+    ids = np.full(len(answer["n"]), -1, np.int64)
+    ids[answer["n"] >= least] = answer["id"]
+    return answer | {"id": ids}
+
+
 def hashed(*columns: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.zeros(len(columns[0]), np.uint64)
@@ -124,7 +136,6 @@ class Block:
         mine[self.ends] = False
         self.seq[mine] = held["token"]
         self.of = np.repeat(np.arange(n), self.ends - self.starts + 1)
-        self.to = word_parts(self.words, parts)
 
     def read(self, name: str) -> bytes:
         files, root = place(self.folder)
@@ -137,14 +148,14 @@ class Block:
     def ask_words(self) -> list[tuple]:
         n = np.bincount(self.seq[self.train[self.of]], minlength=len(self.words))
         out: list[tuple] = []
-        deal(out, PAIRS, self.block, self.to, self.parts, {"words": self.words, "n": n.astype(np.int32)})
+        deal(out, PAIRS, self.block, word_parts(self.words, self.parts), self.parts, {"words": self.words, "n": n.astype(np.int32)})
         return out
 
     def begin(self, totals: tuple[int, int, int], answer: dict) -> None:
         """Log probability of every token by the root, from the counts of the block's words; then the contexts of one word."""
         n_tokens, n_words, self.n_docs = totals
         self.count, self.ids, self.level = answer["n"], answer["id"], 1
-        self.log_p = np.log((self.count[self.seq] + 1.0) / (n_tokens + n_words + 1.0))
+        self.log_p = np.log((self.count + 1.0) / (n_tokens + n_words + 1.0))[self.seq]
         self._next(np.where(self.count >= self.least, self.ids, -1)[self.seq], self.count[self.seq])
 
     def _next(self, child: np.ndarray, seen: np.ndarray) -> None:
@@ -154,9 +165,14 @@ class Block:
         # The document's start is a context of the first level.
         state[self.starts], n[self.starts] = (START, self.n_docs) if self.level == 1 and self.n_docs >= self.least else (-1, 0)
         self.at = np.flatnonzero(state >= 0)
-        self.contexts, which = np.unique(state[self.at], return_inverse=True)
-        pairs, first, self.pair = np.unique(which * np.int64(len(self.words)) + self.seq[self.at], return_index=True, return_inverse=True)
-        self.context, self.first = pairs // len(self.words), self.at[first]
+        which, self.contexts = pd.factorize(state[self.at])
+        code, pairs = pd.factorize(which * np.int64(len(self.words)) + self.seq[self.at])
+        order = np.argsort(pairs)  # a context's pairs lie together
+        place = np.empty(len(pairs), np.int64)
+        place[order] = np.arange(len(pairs))
+        self.pair, self.context = place[code], pairs[order] // len(self.words)
+        self.first = np.empty(len(pairs), np.int64)
+        self.first[self.pair] = self.at  # any token of the pair
         self.state, self.n = state[self.first], n[self.first]
 
     def advance(self, answer: dict) -> None:
@@ -177,14 +193,21 @@ class Block:
         train = self.train[self.of][self.at]
         n = np.bincount(self.pair[train], minlength=len(self.first)).astype(np.int32)
         out: list[tuple] = []
-        columns = {"s": self.state, "w": self.ids[self.seq[self.first]], "n": n, "total": self.n, "log_p": self.log_p[self.first].astype(np.float32)}
-        deal(out, PAIRS, self.block, self.pair_parts(), self.parts, columns)
+        w, q = self.ids[self.seq[self.first]], np.rint(-THOUSAND * self.log_p[self.first]).astype(np.uint16)
+        order, ends = placed(self.pair_parts(), self.parts)
+        for p in np.flatnonzero(np.diff(ends)):
+            at = order[ends[p] : ends[p + 1]]
+            new = np.flatnonzero(np.diff(self.context[at], prepend=-1))  # a context once, with the length of its run
+            runs = np.diff(new, append=len(at)).astype(np.int32)
+            data = squeeze(s=self.state[at[new]], total=self.n[at[new]], run=runs, w=w[at], n=n[at], q=q[at])
+            out.append((PAIRS, int(p), self.block, -1, data))
         deal(out, CONTEXTS, self.block, self.context_parts(), self.parts, {"s": self.contexts})
         return out
 
     def pair_parts(self) -> np.ndarray:
-        """Pairs are dealt by both sides, so that no context, however frequent, meets in one part."""
-        return (hashed(self.state, self.ids[self.seq[self.first]]) % np.uint64(self.parts)).astype(np.int64)
+        """Pairs are dealt by context; contexts that occur often are spread over the more parts, so that none fills a part."""
+        salt = hashed(self.ids[self.seq[self.first]]) % (self.n // HOT + 1).astype(np.uint64)
+        return (hashed(self.state, salt) % np.uint64(self.parts)).astype(np.int64)
 
     def context_parts(self) -> np.ndarray:
         return (hashed(self.contexts) % np.uint64(self.parts)).astype(np.int64)
@@ -192,7 +215,7 @@ class Block:
 
 def gains(n: np.ndarray, total: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     """For each rate, what a pair adds to the log likelihood of its context over that of the suffix, every occurrence left out in turn."""
-    p, out = np.exp(log_p.astype(np.float64)), []
+    p, out = np.exp(log_p), []
     for r in RATES:
         back = r * total
         out.append(n * (np.log((n - 1) / p + back) - np.log(total - 1 + back)))
@@ -200,39 +223,39 @@ def gains(n: np.ndarray, total: np.ndarray, log_p: np.ndarray) -> np.ndarray:
 
 
 def count_words(part: int, asked: list[dict]) -> list[tuple]:
-    words = pa.concat_arrays([a["words"] for a in asked])
-    codes = words.dictionary_encode()
+    codes = pa.concat_arrays([a["words"] for a in asked]).dictionary_encode()
     code = codes.indices.to_numpy().astype(np.int64)
     n = np.bincount(code, np.concatenate([a["n"] for a in asked]), len(codes.dictionary)).astype(np.int64)  # whole numbers below 2^53
     out, at = [(TOTALS, 0, -1, part, squeeze(n=np.array([n.sum(), (n > 0).sum()], np.int64)))], 0
     for a in asked:
         mine = code[at : at + len(a["n"])]
-        out.append((PAIRS, -1, a["block"], part, squeeze(n=n[mine], id=(np.int64(part) << 32) + mine)))
+        out.append((PAIRS, -1, a["block"], part, squeeze(n=n[mine], id=(part << 32) + mine)))
         at += len(a["n"])
     return out
 
 
 def count_pairs(part: int, asked: list[dict], parts: int, least: int) -> list[tuple]:
-    s, w, n, total, log_p = (np.concatenate([a[c] for a in asked]) for c in ("s", "w", "n", "total", "log_p"))
-    order = np.lexsort((w, s))
-    new = np.concatenate([[True], (s[order][1:] != s[order][:-1]) | (w[order][1:] != w[order][:-1])])
-    first, code = np.flatnonzero(new), np.empty(len(s), np.int64)
-    code[order] = np.cumsum(new) - 1
-    count = np.add.reduceat(n[order].astype(np.int64), first)
+    w, n, q = (np.concatenate([a[c] for a in asked]) for c in ("w", "n", "q"))
+    own, states = pd.factorize(np.concatenate([a["s"] for a in asked]))
+    runs = np.concatenate([a["run"] for a in asked])
+    total = np.empty(len(states), np.int64)
+    total[own] = np.concatenate([a["total"] for a in asked])
+    state, (word, words) = np.repeat(own, runs), pd.factorize(w)
+    code, pairs = pd.factorize(state * np.int64(len(words)) + word)
+    count = np.bincount(code, n, len(pairs)).astype(np.int64)  # whole numbers below 2^53
     out, at = [], 0
     for a in asked:
         mine = code[at : at + len(a["n"])]
-        ids = np.where(count[mine] >= least, (np.int64(part) << 32) + mine, -1)
-        out.append((PAIRS, -1, a["block"], part, squeeze(n=count[mine].astype(np.int32 if count.max() < 1 << 31 else np.int64), id=ids)))
+        c = count[mine]
+        out.append((PAIRS, -1, a["block"], part, squeeze(n=c.astype(np.int32) if not len(c) or c.max() < 1 << 31 else c, id=(np.int64(part) << 32) + mine[c >= least])))
         at += len(a["n"])
-    rep = order[first]
-    seen = count > 0
-    states, which = np.unique(s[rep][seen], return_inverse=True)
+    log_p = np.empty(len(pairs))
+    log_p[code] = q / -THOUSAND  # the same for all blocks that ask
+    which, seen = pairs // len(words), count > 0
     gain = np.zeros((len(states), len(RATES)), np.int64)
-    np.add.at(gain, which, gains(count[seen], total[rep][seen], log_p[rep][seen]))
-    of = np.zeros(len(states), np.int64)
-    of[which] = total[rep][seen]
-    deal(out, GAINS, -1, (hashed(states) % np.uint64(parts)).astype(np.int64), parts, {"s": states, "total": of, **{f"g{j}": gain[:, j].copy() for j in range(len(RATES))}})
+    np.add.at(gain, which[seen], gains(count[seen], total[which[seen]], log_p[seen]))
+    to = (hashed(states) % np.uint64(parts)).astype(np.int64)
+    deal(out, GAINS, -1, to, parts, {"s": states, "total": total, **{f"g{j}": gain[:, j].copy() for j in range(len(RATES))}})
     return out
 
 
@@ -261,7 +284,7 @@ def judge_contexts(part: int, gained: list[dict], asked: list[dict], least_gain:
 
 
 def write_blocks(docs: DataFrame, block: int) -> tuple[str, DataFrame]:
-    """Write the documents' tokens in blocks of about ``block`` bytes of text into the shared folder; return it and (block, docs)."""
+    """Write the documents' tokens in blocks of about ``block`` bytes of text into the shared folder; return it and (block, docs, size)."""
     spark = docs.sparkSession
     bound_batches(spark)
     folder = f"{shared_dir(spark)}/suffix-tree-{uuid.uuid4().hex[:12]}"
@@ -280,7 +303,7 @@ def write_blocks(docs: DataFrame, block: int) -> tuple[str, DataFrame]:
             columns["train"] = t["train"].to_numpy().astype(np.uint8)
             put(folder, f"words-{(part << 24) + nth:016x}.bin", [squeeze(**columns)])
             train = columns["train"].astype(bool)
-            return pa.record_batch([pa.array([(part << 24) + nth]), pa.array([int(train.sum())])], ["block", "docs"])
+            return pa.record_batch([pa.array([(part << 24) + nth]), pa.array([int(train.sum())]), pa.array([size])], ["block", "docs", "size"])
 
         for batch in batches:
             at = 0
@@ -296,7 +319,7 @@ def write_blocks(docs: DataFrame, block: int) -> tuple[str, DataFrame]:
         if held:
             yield close()
 
-    return folder, stage(texts.mapInArrow(write, "block long, docs long"), "suffix-tree-blocks")
+    return folder, stage(texts.mapInArrow(write, "block long, docs long, size long"), "suffix-tree-blocks")
 
 
 def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, block: int = BLOCK) -> DataFrame:
@@ -318,8 +341,8 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
     table gives an empty result.
     """
     folder, blocks = write_blocks(docs, block)
-    parts, n_docs = blocks.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    parts = max(1, parts)
+    n_blocks, n_docs, size = blocks.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_blocks, parts = max(1, n_blocks), -(-size // block) + 1
 
     def begin(batches):
         for b in batches:
@@ -347,12 +370,18 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
         """The block with the answers of a level, which it keeps, and of all before it."""
         b = Block(folder, key[0].as_py(), parts, least)
         pairs, verdicts = ({a["part"]: a for a in collect(t, k)} for k in (PAIRS, KEPT))
-        counts = lambda to: dealt(pairs, to, {"n": np.int64, "id": np.int64})
-        first = spread(b.read("answers-0")) if level else counts(b.to)
+        if level:
+            first = spread(b.read("answers-0"))
+        else:
+            to = word_parts(b.words, parts)
+            first = here = {c: dealt(pairs, to, parts, c, np.int64) for c in ("n", "id")}
         b.begin(totals, first)
         for k in range(1, level):
             b.advance(spread(b.read(f"answers-{k}")))
-        here = counts(b.pair_parts()) | dealt(verdicts, b.context_parts(), {"rate": np.int8}) if level else first
+        if level:
+            to, found = b.pair_parts(), {p: numbered(a, least) for p, a in pairs.items()}
+            here = {c: dealt(found, to, parts, c, np.int64) for c in ("n", "id")}
+            here["rate"] = dealt(verdicts, b.context_parts(), parts, "rate", np.int8)
         if level < depth:
             b.keep(f"answers-{level}", squeeze(**here))
         if level:
@@ -367,7 +396,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
             b = walk(key, t, depth, totals)
             n_tokens, n_words, _ = totals
             count = b.count[b.seq]
-            base = np.log10((count + 1.0) / (n_tokens + n_words + 1.0))
+            base = np.log10((b.count + 1.0) / (n_tokens + n_words + 1.0))[b.seq]
             add = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731  every document has its end
             cols = [
                 pa.array(b.doc_id, mask=~b.known), pa.array(~b.train), pa.array(b.ends - b.starts + 1, pa.int64()), pa.array(add((count > 0).astype(np.int64))),
@@ -377,12 +406,12 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
 
         return results
 
-    # Payloads are small for the work they mean, so that partitions are as many as blocks and not merged by size.
-    by = lambda df, key: df.repartition(parts, key).groupBy(key)
+    # Payloads are small for the work they mean, so that partitions are as many as blocks or parts and not merged by size.
+    by = lambda df, key: df.repartition(n_blocks if key == "block" else parts, key).groupBy(key)
     # A block's own row always comes along, as it may have nothing to ask.
     none = lambda kind: F.lit(-1).cast(kind)
     every = blocks.select(none("int").alias("kind"), none("long").alias("to"), "block", none("long").alias("part"), F.lit(b"").alias("data"))
-    asked = blocks.select("block").repartition(parts).mapInArrow(begin, ROWS)
+    asked = blocks.select("block").repartition(n_blocks).mapInArrow(begin, ROWS)
     totals = (0, 0, n_docs)
     for level in range(depth + 1):
         counted = stage(by(asked, "to").applyInArrow(counting(level), ROWS), f"suffix-tree-counts-{level}")

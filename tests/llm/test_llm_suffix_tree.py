@@ -53,7 +53,7 @@ def brute(rows, depth, least, gain):
             if total >= least:
                 sums = [0.0] * len(st.RATES)
                 for w, c in after[s].items():
-                    p = float(np.exp(np.float64(np.float32(log_p(s[1:], w)))))
+                    p = math.exp(-round(-1000 * log_p(s[1:], w)) / 1000)  # tests read thousandths
                     for j, r in enumerate(st.RATES):
                         sums[j] += round(c * (math.log((c - 1) / p + r * total) - math.log(total - 1 + r * total)) * st.UNIT) / st.UNIT
                 if max(sums) >= gain * total:
