@@ -70,13 +70,16 @@ def rows(out: list[tuple]) -> pa.Table:
 
 
 def words_of(texts: pa.Array):
-    """Distinct words, each token's word, and the tokens before each document."""
+    """Distinct words in alphabetical order, which compresses well, each token's word, and the tokens before each document."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     real = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves empty strings
     before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
     coded = flat.filter(real).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int32), before[ends - ends[0]]
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], before[ends - ends[0]]
 
 
 def placed(to: np.ndarray, parts: int):
@@ -167,10 +170,11 @@ class Block:
         self.at = np.flatnonzero(state >= 0)
         which, self.contexts = pd.factorize(state[self.at])
         code, pairs = pd.factorize(which * np.int64(len(self.words)) + self.seq[self.at])
-        order = np.argsort(pairs)  # a context's pairs lie together
+        context, word = np.divmod(pairs, len(self.words))
+        order = np.argsort(context * (self.ids.max() + 1) + self.ids[word])  # a context's pairs lie together, frequent words first
         place = np.empty(len(pairs), np.int64)
         place[order] = np.arange(len(pairs))
-        self.pair, self.context = place[code], pairs[order] // len(self.words)
+        self.pair, self.context = place[code], context[order]
         self.first = np.empty(len(pairs), np.int64)
         self.first[self.pair] = self.at  # any token of the pair
         self.state, self.n = state[self.first], n[self.first]
@@ -199,7 +203,9 @@ class Block:
             at = order[ends[p] : ends[p + 1]]
             new = np.flatnonzero(np.diff(self.context[at], prepend=-1))  # a context once, with the length of its run
             runs = np.diff(new, append=len(at)).astype(np.int32)
-            data = squeeze(s=self.state[at[new]], total=self.n[at[new]], run=runs, w=w[at], n=n[at], q=q[at])
+            step = np.diff(w[at], prepend=0)  # words ascend within a run
+            step[new] = w[at[new]]
+            data = squeeze(s=self.state[at[new]], total=self.n[at[new]], run=runs, step=step, n=n[at], q=q[at])
             out.append((PAIRS, int(p), self.block, -1, data))
         deal(out, CONTEXTS, self.block, self.context_parts(), self.parts, {"s": self.contexts})
         return out
@@ -222,25 +228,28 @@ def gains(n: np.ndarray, total: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     return np.rint(np.stack(out, axis=1) * UNIT).astype(np.int64)
 
 
-def count_words(part: int, asked: list[dict]) -> list[tuple]:
+def count_words(part: int, asked: list[dict], parts: int) -> list[tuple]:
     codes = pa.concat_arrays([a["words"] for a in asked]).dictionary_encode()
     code = codes.indices.to_numpy().astype(np.int64)
     n = np.bincount(code, np.concatenate([a["n"] for a in asked]), len(codes.dictionary)).astype(np.int64)  # whole numbers below 2^53
     out, at = [(TOTALS, 0, -1, part, squeeze(n=np.array([n.sum(), (n > 0).sum()], np.int64)))], 0
+    ids = np.empty(len(n), np.int64)  # frequent words of all parts have small ids
+    ids[np.argsort(-n, kind="stable")] = np.arange(len(n)) * parts + part
     for a in asked:
         mine = code[at : at + len(a["n"])]
-        out.append((PAIRS, -1, a["block"], part, squeeze(n=n[mine], id=(part << 32) + mine)))
+        out.append((PAIRS, -1, a["block"], part, squeeze(n=n[mine], id=ids[mine])))
         at += len(a["n"])
     return out
 
 
 def count_pairs(part: int, asked: list[dict], parts: int, least: int) -> list[tuple]:
-    w, n, q = (np.concatenate([a[c] for a in asked]) for c in ("w", "n", "q"))
+    step, n, q = (np.concatenate([a[c] for a in asked]) for c in ("step", "n", "q"))
     own, states = pd.factorize(np.concatenate([a["s"] for a in asked]))
     runs = np.concatenate([a["run"] for a in asked])
     total = np.empty(len(states), np.int64)
     total[own] = np.concatenate([a["total"] for a in asked])
-    state, (word, words) = np.repeat(own, runs), pd.factorize(w)
+    sums, new = np.cumsum(step), np.cumsum(runs) - runs
+    state, (word, words) = np.repeat(own, runs), pd.factorize(sums - np.repeat(sums[new] - step[new], runs))
     code, pairs = pd.factorize(state * np.int64(len(words)) + word)
     count = np.bincount(code, n, len(pairs)).astype(np.int64)  # whole numbers below 2^53
     out, at = [], 0
@@ -357,7 +366,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
     def counting(level: int):
         def count(key, t):
             part, asked = key[0].as_py(), collect(t, PAIRS)
-            out = [] if not asked else count_words(part, asked) if level == 0 else count_pairs(part, asked, parts, least)
+            out = [] if not asked else count_words(part, asked, parts) if level == 0 else count_pairs(part, asked, parts, least)
             lists = t.filter(pc.equal(t["kind"], CONTEXTS))
             return pa.concat_tables([rows(out), lists.select(rows([]).schema.names).cast(rows([]).schema)])
 
