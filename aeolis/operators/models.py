@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,14 +11,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeolis.functions.scalar import known, with_curve
 from aeolis.operators import farm
+from aeolis.operators.boosting import Booster, BoostSettings, fit
 from aeolis.settings import NOT_FEATURES
 
 MISSING = -9999.0
@@ -61,7 +62,7 @@ def feature_stages(cols: Sequence[str], categorical: str | None = "turb_id") ->
 
 
 def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Spark's trees have no default direction: a missing input becomes one value below all others."""
+    """For vectors, which know no missing value: a missing input becomes one value below all others."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in cols})
 
 
@@ -73,61 +74,39 @@ def train_boosted_trees(
     rounds: int = 500,
     rate: float = 0.03,
     share: float = 0.6,
-    depth: int = 5,
+    leaves: int = 31,
     seed: int = 50,
-    min_gain: float = 0.01,
-    categorical: str | None = None,
-    max_bins: int = 32,
-) -> PipelineModel:
-    """Squared-error boosting, distributed by Spark ML. ``validation`` names a boolean column whose true rows only
-    decide when to stop. (Spark ML has no L1/L2 terms.)"""
-    gbt = GBTRegressor(
-        featuresCol="features",
-        labelCol=label,
-        maxIter=rounds,
-        stepSize=rate,
-        maxDepth=depth,
-        maxBins=max_bins,
-        subsamplingRate=share,
-        featureSubsetStrategy=str(share),
-        validationTol=min_gain,
-        checkpointInterval=10,
-        seed=seed,
-    )
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
-    ready = complete(train, cols)
-    return Pipeline(stages=[*feature_stages(cols, categorical), gbt]).fit(ready)
+    patience: int = 10,
+    categorical: str | None = "turb_id",
+    **more,
+) -> Booster:
+    """Squared-error boosting on histograms (:mod:`aeolis.operators.boosting`). ``validation`` names a boolean column whose true
+    rows only decide which round is the best; ``categorical`` an input whose values have no order."""
+    settings = BoostSettings(rounds, rate, leaves, share, share, seed=seed, patience=patience, **more)
+    return fit(train, cols, label, validation, [c for c in (categorical,) if c in cols], settings)
 
 
-def predict(model: PipelineModel, df: DataFrame, cols: Sequence[str], out: str = "pred_target") -> DataFrame:
+def predict(model: Booster, df: DataFrame, out: str = "pred_target") -> DataFrame:
     """Prediction next to the untouched columns."""
-    kept = df.withColumn("_row", F.struct(*df.columns))
-    scored = model.transform(complete(kept, cols))
-    return scored.select("_row.*", F.col("prediction").alias(out))
-
-
-def predict_mean(members: Sequence[PipelineModel], df: DataFrame, cols: Sequence[str], out: str = "pred_target") -> DataFrame:
-    """Mean prediction of members that share their inputs: the vector is assembled once, each member adds one column."""
-    scored = complete(df.withColumn("_row", F.struct(*df.columns)), cols)
-    for s in members[0].stages[:-1]:
-        scored = s.transform(scored)
-    scored = scored.select("_row", "features")
-    for i, m in enumerate(members):
-        scored = m.stages[-1].copy().setPredictionCol(f"_p{i}").transform(scored)
-    total = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(members))])
-    return scored.select("_row.*", (total / len(members)).alias(out))
-
-
-def feature_importance(model: PipelineModel, cols: Sequence[str], spark, n: int | None = None) -> DataFrame:
-    """Ranking of the inputs by importance; as many rows as inputs."""
-    weights = model.stages[-1].featureImportances.toArray()
-    ranked = spark.createDataFrame(
-        [(c, float(w)) for c, w in zip(cols, weights)], "feature string, importance double"
-    ).orderBy(F.desc("importance"), "feature")
+    return predict_mean([model], df, out)
+
+
+def predict_mean(members: Sequence[Booster], df: DataFrame, out: str = "pred_target") -> DataFrame:
+    """Mean prediction of several members, in one pass over the rows."""
+    rows = [(k, *r[1:]) for k, m in enumerate(members) for r in m.rows]
+    return _with_mean(df, NodeTable.of([dict(zip(NODE_COLUMNS, r)) for r in rows]), out)
+
+
+def feature_importance(model: Booster, spark, n: int | None = None) -> DataFrame:
+    """Ranking of the inputs by their share of the gain; as many rows as inputs."""
+    ranked = spark.createDataFrame(model.importance(), "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return ranked if n is None else ranked.limit(n)
 
 
+#: Nodes that are collected and broadcast at once; larger ensembles are scored model by model.
+NODES = 2_000_000
+
+
 @dataclass
 class NodeTable:
     """A stored ensemble as arrays: one row for each node, children as row numbers, -1 for a leaf."""
@@ -141,6 +120,46 @@ class NodeTable:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    #: Categories that occur in a set, and for each node its row in ``sets`` (-1: split by threshold).
+    levels: np.ndarray
+    set_of: np.ndarray
+    sets: np.ndarray
+
+    @classmethod
+    def of(cls, nodes: Sequence[Mapping]) -> NodeTable:
+        rows = sorted(nodes, key=lambda r: (r["model_id"], r["tree_id"], r["node_id"]))
+        at = {(r["model_id"], r["tree_id"], r["node_id"]): i for i, r in enumerate(rows)}
+        names = sorted({r["feature"] for r in rows if r["left_id"] is not None})
+        place = {c: i for i, c in enumerate(names)}
+        child = lambda r, side: -1 if r["left_id"] is None else at[r["model_id"], r["tree_id"], r[side]]
+        inner = lambda f, empty: np.array([empty if r["left_id"] is None else f(r) for r in rows])
+        trees = sorted({(r["model_id"], r["tree_id"]) for r in rows})
+        named = [i for i, r in enumerate(rows) if r.get("left_set") is not None]
+        levels = np.array(sorted({v for i in named for v in rows[i]["left_set"]}), float)
+        set_of, sets = np.full(len(rows), -1), np.zeros((len(named), len(levels) + 1), bool)
+        for k, i in enumerate(named):
+            set_of[i] = k
+            sets[k, np.searchsorted(levels, rows[i]["left_set"])] = True
+        return cls(
+            np.array([at[m, t, 0] for m, t in trees], np.int64),
+            np.array([m for m, _ in trees], np.int64),
+            names,
+            inner(lambda r: place[r["feature"]], 0).astype(np.int64),
+            inner(lambda r: math.nan if r["threshold"] is None else float(r["threshold"]), 0.0).astype(np.float64),
+            inner(lambda r: bool(r["default_left"]), False).astype(bool),
+            np.array([child(r, "left_id") for r in rows], np.int64),
+            np.array([child(r, "right_id") for r in rows], np.int64),
+            np.array([float(r["leaf_value"]) if r["left_id"] is None else 0.0 for r in rows]),
+            levels, set_of, sets,
+        )
+
+    def _goes_left(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        low = value <= self.threshold[at]
+        if len(self.sets):
+            k = np.searchsorted(self.levels, value)
+            known = np.append(self.levels, np.nan)[k] == value
+            low = np.where(self.set_of[at] >= 0, self.sets[self.set_of[at], np.where(known, k, len(self.levels))], low)
+        return np.where(np.isnan(value), self.default_left[at], low)
 
     def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Model ids, and (rows, models) sums over each model's trees of the leaf every row reaches."""
@@ -151,50 +170,54 @@ class NodeTable:
             at = np.full(len(x), root)
             inner = self.left[at] >= 0
             while inner.any():
-                value = x[rows, self.feature[at]]
-                goes_left = np.where(np.isnan(value), self.default_left[at], value <= self.threshold[at])
+                goes_left = self._goes_left(at, x[rows, self.feature[at]])
                 at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
                 inner = self.left[at] >= 0
             out[:, np.searchsorted(ids, model)] += self.value[at]
         return ids, out
 
 
-def node_table(nodes: DataFrame) -> NodeTable:
-    """Arrays of a node table (model_id, tree_id, node_id, feature, threshold, default_left, left_id, right_id, leaf_value).
+NODE_COLUMNS = ("model_id", "tree_id", "node_id", "feature", "threshold", "default_left", "left_id", "right_id", "leaf_value", "left_set", "gain", "rows")
+
 
-    A stored ensemble is model state, not data: it is as large as its nodes, whatever the rows it scores.
+def node_tables(nodes: DataFrame, most: int = NODES) -> list[NodeTable]:
+    """Arrays of a node table (model_id, tree_id, node_id, feature, threshold, default_left, left_id, right_id, leaf_value and, for
+    categories, left_set), as many of at most ``most`` nodes as it takes; a model is never split."""
+    sizes = nodes.groupBy("model_id").agg(F.count("*").alias("n")).orderBy("model_id").collect()  # one row a model
+    parts: list[list[int]] = []
+    held = most + 1
+    for r in sizes:
+        if r["n"] > most:
+            raise ValueError(f"model {r['model_id']} has {r['n']} nodes; at most {most} fit into one table")
+        if held + r["n"] > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(r["model_id"])
+        held += r["n"]
+    return [NodeTable.of([r.asDict() for r in nodes.where(F.col("model_id").isin(p)).collect()]) for p in parts]
+
+
+def score_tree_table(df: DataFrame, nodes: DataFrame, keys: Sequence[str], most: int = NODES) -> DataFrame:
+    """(keys, model_id, score): every row scored by every stored model, in narrow passes over Arrow blocks without a join.
+
+    The arrays are broadcast, ``most`` nodes at once; a larger ensemble takes a pass for each part of it.
     """
-    rows = sorted(nodes.collect(), key=lambda r: (r["model_id"], r["tree_id"], r["node_id"]))
-    at = {(r["model_id"], r["tree_id"], r["node_id"]): i for i, r in enumerate(rows)}
-    names = sorted({r["feature"] for r in rows if r["left_id"] is not None})
-    child = lambda r, side: -1 if r["left_id"] is None else at[r["model_id"], r["tree_id"], r[side]]
-    inner = lambda f, empty: np.array([empty if r["left_id"] is None else f(r) for r in rows])
-    trees = sorted({(r["model_id"], r["tree_id"]) for r in rows})
-    return NodeTable(
-        np.array([at[m, t, 0] for m, t in trees], np.int64),
-        np.array([m for m, _ in trees], np.int64),
-        names,
-        inner(lambda r: names.index(r["feature"]), 0).astype(np.int64),
-        inner(lambda r: float(r["threshold"]), 0.0).astype(np.float64),
-        inner(lambda r: bool(r["default_left"]), False).astype(bool),
-        np.array([child(r, "left_id") for r in rows], np.int64),
-        np.array([child(r, "right_id") for r in rows], np.int64),
-        np.array([float(r["leaf_value"]) if r["left_id"] is None else 0.0 for r in rows]),
-    )
+    parts = [_scored(df, t, keys) for t in node_tables(nodes, most)]
+    kinds = df.select(*keys).schema.add("model_id", "long").add("score", "double")
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], kinds)
 
 
-def score_tree_table(df: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, model_id, score): every row scored by every stored model, in one narrow pass over Arrow blocks without a join."""
-    table = node_table(nodes)
+def _scored(df: DataFrame, table: NodeTable, keys: Sequence[str]) -> DataFrame:
     inputs = [f"_x{i}" for i in range(len(table.names))]
     rows = df.select(*keys, *[F.col(c).cast("double").alias(x) for c, x in zip(table.names, inputs)])
+    held = df.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         for b in batches:
             x = np.full((b.num_rows, max(1, len(inputs))), np.nan)
             for i, c in enumerate(inputs):
                 x[:, i] = b[c].to_numpy(zero_copy_only=False)
-            ids, scores = table.score(x)
+            ids, scores = held.value.score(x)
             again = pa.array(np.repeat(np.arange(b.num_rows), len(ids)))
             cols = [b[k].take(again) for k in keys]
             yield pa.record_batch(
@@ -206,18 +229,27 @@ def score_tree_table(df: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> Da
     return rows.mapInArrow(run, f"{kinds}, model_id bigint, score double")
 
 
-def predict_stored(df: DataFrame, nodes: DataFrame, out: str = "prediction") -> DataFrame:
-    """Mean score of a stored ensemble's models next to the untouched columns, for the repair step."""
-    table = node_table(nodes)
+def _with_mean(df: DataFrame, table: NodeTable, out: str) -> DataFrame:
+    held = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("double")
     def mean(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(table.score(x.to_numpy(dtype=float, na_value=np.nan))[1].mean(axis=1))
+        return pd.Series(held.value.score(x.to_numpy(dtype=float, na_value=np.nan))[1].mean(axis=1))
 
     inputs = [F.col(c).cast("double").alias(c) for c in table.names] or [F.lit(0.0).alias("none")]
     return df.withColumn(out, mean(F.struct(*inputs)))
 
 
+def predict_stored(df: DataFrame, nodes: DataFrame, out: str = "prediction", most: int = NODES) -> DataFrame:
+    """Mean score of a stored ensemble's models next to the untouched columns, for the repair step."""
+    tables = node_tables(nodes, most)
+    for k, t in enumerate(tables):
+        df = _with_mean(df, t, f"_part{k}")
+    counts = [len(np.unique(t.models)) for t in tables]
+    total = reduce(lambda a, b: a + b, [F.col(f"_part{k}") * n for k, n in enumerate(counts)])
+    return df.withColumn(out, total / sum(counts)).drop(*[f"_part{k}" for k in range(len(tables))])
+
+
 def mean_ensemble(preds: DataFrame, keys: Sequence[str] = ("turb_id", "step"), col: str = "yhat") -> DataFrame:
     return preds.groupBy(*keys).agg(F.avg(col).alias(col))
 

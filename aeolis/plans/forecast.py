@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
 from aeolis.operators import blend, farm, gaps, hierarchy, metrics, models, repair, split_scale
 from aeolis.operators.blocks import from_end, neighbours, step_index
+from aeolis.operators.boosting import Booster
 from aeolis.operators.rolling import roll_bundle
 from aeolis.operators.series import series_features
 from aeolis.session import stage
@@ -31,7 +31,7 @@ class Boosting:
 
     rounds: int = 500
     rate: float = 0.03
-    depth: int = 5
+    leaves: int = 31
     members: tuple = tuple((m["seed"], m["share"]) for m in models.ensemble_grid())
 
 
@@ -62,7 +62,7 @@ def repaired_panel(
     panel: DataFrame,
     boosting: Boosting,
     steps_per_day: int,
-    repair_model: PipelineModel | None = None,
+    repair_model: Booster | None = None,
     repair_nodes: DataFrame | None = None,
 ) -> DataFrame:
     """Temperature, direction and power repaired, missing slots completed; the scoring mask kept as ``abnormal``.
@@ -79,12 +79,12 @@ def repaired_panel(
     smooth = stage(smooth, "smooth")
     if repair_model is None and repair_nodes is None:
         repair_model = models.train_boosted_trees(
-            smooth.filter("NOT abnormal_patv"), cols, label="patv", rounds=boosting.rounds, rate=boosting.rate, depth=boosting.depth
+            smooth.filter("NOT abnormal_patv"), cols, label="patv", rounds=boosting.rounds, rate=boosting.rate, leaves=boosting.leaves
         )
     if repair_nodes is not None:
         scored = models.predict_stored(smooth, repair_nodes)
     else:
-        scored = models.predict(repair_model, smooth, cols, "prediction")
+        scored = models.predict(repair_model, smooth, "prediction")
     fixed = repair.overwrite_abnormal(scored, flag=F.col("abnormal_patv"))
     return sc.drop_prefixed(sc.clip_nonneg(fixed))
 
@@ -96,7 +96,7 @@ def long_leg_features(
     settings: PanelSettings,
     boosting: Boosting,
     online: bool = False,
-    repair_model: PipelineModel | None = None,
+    repair_model: Booster | None = None,
     repair_nodes: DataFrame | None = None,
 ) -> DataFrame:
     """All features, target and split of the long-horizon leg, not yet scaled."""
@@ -119,7 +119,7 @@ class LongLeg:
 
     features: list[str]
     scaler: DataFrame
-    members: list[PipelineModel]
+    members: list[Booster]
 
 
 def fit_long_leg(features: DataFrame, boosting: Boosting) -> LongLeg:
@@ -139,7 +139,7 @@ def fit_long_leg(features: DataFrame, boosting: Boosting) -> LongLeg:
             rounds=boosting.rounds,
             rate=boosting.rate,
             share=share,
-            depth=boosting.depth,
+            leaves=boosting.leaves,
             seed=seed,
         )
         for seed, share in boosting.members
@@ -152,7 +152,7 @@ def score_long_leg(leg: LongLeg, features: DataFrame) -> DataFrame:
     real = [c for c in leg.features if c != "turb_id"]
     keep = ["turb_id", "time", "slot", "day", "abnormal", "data_type"]
     scaled = split_scale.standardize(features.withColumn("_y", F.col("target")), leg.scaler, real)
-    out = models.predict_mean(leg.members, scaled, leg.features).select(*keep, F.col("_y").alias("target"), "pred_target")
+    out = models.predict_mean(leg.members, scaled).select(*keep, F.col("_y").alias("target"), "pred_target")
     return split_scale.inverse_standardize(out, leg.scaler, {"pred_target": "target"})
 
 

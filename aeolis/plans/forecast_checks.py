@@ -12,7 +12,7 @@ from aeolis.session import stage
 SETTINGS = PanelSettings(
     steps_per_day=STEPS_PER_DAY, horizon=H, roll=H, series=W, valid_days=VALID_DAYS, test_days=TEST_DAYS, blend_start=16
 )
-SMALL = fc.Boosting(rounds=5, rate=0.3, depth=3, members=((50, 0.6), (100, 0.8)))
+SMALL = fc.Boosting(rounds=5, rate=0.3, leaves=8, members=((50, 0.6), (100, 0.8)))
 SEGMENTS = ((0, 6), (6, 12), (12, H))
 INPUT = 48
 

@@ -273,7 +273,7 @@ def _fitted(d, rows):
         validation="is_valid",
         rounds=6,
         rate=0.2,
-        depth=3,
+        leaves=8,
     )
 
 
@@ -292,21 +292,35 @@ def _(d):
 def _(d):
     rows = _training_rows(d)
     test = rows.filter("data_type = 'test'").select(*KEY, "target", *[c for c in TRAIN_COLS if c != "turb_id"])
-    return models.predict(_fitted(d, rows), test, TRAIN_COLS).select(*KEY, "target", "pred_target")
+    return models.predict(_fitted(d, rows), test).select(*KEY, "target", "pred_target")
 
 
-@query("sink_model")
+@query("train_boosted_stump", """WITH b AS (SELECT avg(patv) AS base FROM panel),
+c AS (SELECT CAST(unnest(range(1, 15)) AS DOUBLE) AS cut),
+h AS (SELECT cut, any_value(base) AS base, count(*) FILTER (WHERE wspd <= cut) AS ln, coalesce(sum(base - patv) FILTER (WHERE wspd <= cut), 0) AS lg,
+  count(*) AS n, sum(base - patv) AS g FROM c, b, panel GROUP BY cut),
+k AS (SELECT *, CASE WHEN lg > 0 THEN greatest(lg - 0.1, 0) ELSE least(lg + 0.1, 0) END AS l,
+  CASE WHEN g - lg > 0 THEN greatest(g - lg - 0.1, 0) ELSE least(g - lg + 0.1, 0) END AS r FROM h),
+w AS (SELECT cut, base, -0.5 * l / (ln + 0.1) AS vl, -0.5 * r / (n - ln + 0.1) AS vr FROM k WHERE ln >= 5 AND n - ln >= 5
+  ORDER BY l * l / (ln + 0.1) + r * r / (n - ln + 0.1) DESC, cut LIMIT 1)
+SELECT turb_id, slot, base + CASE WHEN wspd <= cut THEN vl ELSE vr END AS pred_target FROM panel, w""", "pred_target", 4)
+def _(d):
+    one = models.BoostSettings(rounds=1, rate=0.5, leaves=2, row_share=1.0, col_share=1.0, min_rows=5)
+    rows = stage(d.panel.select(*KEY, "wspd", "patv"), "stump")
+    model = models.fit(rows, ["wspd"], "patv", settings=one, borders={"wspd": [float(b) for b in range(1, 15)]})
+    return models.predict(model, rows).select(*KEY, "pred_target")
+
+
+@query("sink_model", f"SELECT turb_id, slot, (({_tree_sql(1)}) + ({_tree_sql(2)})) / 2 AS pred_target FROM panel", "pred_target")
 def _(d):
-    rows = _training_rows(d)
     path = os.path.join(shared_dir(d.spark), f"model-{uuid.uuid4().hex[:12]}")
-    src.save_model(_fitted(d, rows), path)
-    newest = rows.filter("data_type = 'pred'")
-    return models.predict(src.load_model(path), newest, TRAIN_COLS).select(*KEY, "pred_target")
+    src.save_model(models.Booster([(*r, None, None, None) for r in TREE_ROWS], [(1, 2, 1.0, 2.0, True)]), d.spark, path)
+    return models.predict_stored(d.panel, src.load_nodes(d.spark, path), "pred_target").select(*KEY, "pred_target")
 
 
 @query("top_feature_importance")
 def _(d):
-    return models.feature_importance(_fitted(d, _training_rows(d)), TRAIN_COLS, d.spark)
+    return models.feature_importance(_fitted(d, _training_rows(d)), d.spark)
 
 
 @query("repair_patv_model")
@@ -314,8 +328,8 @@ def _(d):
     cols = list(models.REPAIR_INPUTS)
     rows = stage(d.panel, "repairable")
     normal = rows.filter(~sc.abnormal_patv())
-    model = models.train_boosted_trees(normal, cols, label="patv", rounds=5, rate=0.3, depth=3)
-    scored = models.predict(model, rows, cols, "prediction")
+    model = models.train_boosted_trees(normal, cols, label="patv", rounds=5, rate=0.3, leaves=8)
+    scored = models.predict(model, rows, "prediction")
     return repair.overwrite_abnormal(scored).select(*KEY, "patv")
 
 
@@ -355,8 +369,8 @@ def _(d):
 def _(d):
     rows = stage(models.farm_repair_inputs(sc.with_clock(d.masked), d.curve, d.panel.select(*KEY, "wdir")), "farm-repairable")
     cols = list(models.FARM_REPAIR_INPUTS)
-    model = models.train_boosted_trees(rows.filter("mask = 1"), cols, label="patv", rounds=5, rate=0.3, depth=3)
-    scored = models.predict(model, rows, cols, "prediction")
+    model = models.train_boosted_trees(rows.filter("mask = 1"), cols, label="patv", rounds=5, rate=0.3, leaves=8)
+    scored = models.predict(model, rows, "prediction")
     return repair.overwrite_unknown(scored).select(*KEY, "patv")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeolis.functions.scalar import nan_to_null
 from aeolis.operators.blocks import from_end
+from aeolis.operators.boosting import HISTORY_SCHEMA, NODE_SCHEMA, Booster
 from aeolis.session import stage
 
 MEASURES = ("wspd", "wdir", "etmp", "itmp", "ndir", "pab1", "pab2", "pab3", "prtv", "patv")
@@ -83,9 +83,17 @@ def stage_scaler(scaler: DataFrame) -> DataFrame:
     return stage(scaler, "scaler")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Booster, spark: SparkSession, path: str) -> None:
+    """The model as its node table and its errors by round, both Parquet."""
+    model.nodes(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+    model.errors(spark).write.mode("overwrite").parquet(f"{path}/errors")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
+
+
+def load_model(spark: SparkSession, path: str) -> Booster:
+    nodes = load_nodes(spark, path).orderBy("model_id", "tree_id", "node_id").collect()
+    errors = spark.read.schema(HISTORY_SCHEMA).parquet(f"{path}/errors").orderBy("round").collect()
+    return Booster([tuple(r) for r in nodes], [tuple(r) for r in errors], sorted({r["feature"] for r in nodes if r["feature"]}))
