@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from aeolis.operators.blocks import neighbours
 
 TIME = ("day", "tmstamp")
-HOT_ROWS = 5_000_000
-SPLITTERS = 512
+#: Distinct values of a group that are ranked in one piece; ranges that a larger group is cut into.
+FEW, RANGES = 65_536, 512
 
 
 def group_percentiles(
@@ -19,79 +19,62 @@ def group_percentiles(
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     extra: Mapping[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    few: int = FEW,
 ) -> DataFrame:
-    """Exact linear percentiles ``{out: (col, p)}`` per group, plus mergeable aggregates ``extra``.
+    """Exact linear percentiles ``{out: (col, p)}`` per group, plus mergeable aggregates ``extra``. One plan for groups of any size.
 
-    Spark's ``percentile`` keeps one map of values per group. The group sizes are counted first (a combined,
-    key-only scan); groups beyond ``hot_rows`` are taken apart by value range instead.
+    Equal values are counted before they are shuffled. Each group's own count says into how many ranges of values it is cut:
+    none up to ``few`` distinct values, else the quantiles of a mergeable sketch. Sums over the ranges tell which one holds a wanted
+    rank, and only there values are ranked, so that no task sorts a whole large group. Groups whose values are all NULL
+    have NULL percentiles; NULL keys are a group.
     """
-    keys = list(keys)
-    probs = {o: F.percentile(c, F.lit(p)).alias(o) for o, (c, p) in wanted.items()}
-    extras = [c.alias(o) for o, c in (extra or {}).items()]
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*extras, *probs.values())
-    cool = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*extras, *probs.values())
-    wide = df.join(hot, keys, "left_semi")
-    split = hot
-    if extras:
-        split = split.join(wide.groupBy(*keys).agg(*extras), keys, "left")
-    for col in sorted({c for c, _ in wanted.values()}):
-        mine = {o: p for o, (c, p) in wanted.items() if c == col}
-        split = split.join(_split_percentiles(wide, keys, col, mine), keys, "left")
-    return cool.unionByName(split)
-
-
-def _split_percentiles(df: DataFrame, keys: list[str], col: str, probs: Mapping[str, float]) -> DataFrame:
-    """Percentiles of very large groups: count equal values, cut the value range by an approximate sketch,
-    find the range that holds each wanted rank, and rank only inside it."""
-    values = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    marks = [i / SPLITTERS for i in range(1, SPLITTERS)]
-    cuts = values.groupBy(*keys).agg(F.percentile_approx("_v", marks, 10 * SPLITTERS).alias("_cuts"))
-    placed = values.join(cuts, keys).withColumn(
-        "_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    sizes = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_size").over(upto), F.lit(0)),
-            "_total": F.sum("_size").over(Window.partitionBy(*keys)),
-        }
+    keys, cols = list(keys), sorted({c for c, _ in wanted.values()})
+    cells = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    long = df.select(F.struct(*keys).alias("_k"), F.explode(F.array(*cells)).alias("_e"))
+    long = long.select("_k", F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v")).where("_v IS NOT NULL")
+    values = long.groupBy("_k", "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    marks = [i / RANGES for i in range(1, RANGES)]
+    sizes = values.groupBy("_k", "_c").agg(
+        F.sum("_n").alias("_total"),
+        F.when(F.count(F.lit(1)) > few, F.array_distinct(F.percentile_approx("_v", marks, 10 * RANGES))).alias("_cuts"),
     )
-    asked = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(o).alias("out"), F.lit(side).alias("side"), ((F.col("_total") - 1) * p).alias("h"))
-                for o, p in probs.items()
-                for side in ("lo", "hi")
-            ]
-        )
+    placed = values.join(sizes, ["_k", "_c"]).withColumn(
+        "_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
     )
-    targets = sizes.withColumn("_q", asked).withColumn(
-        "_rank", F.when(F.col("_q.side") == "lo", F.floor("_q.h")).otherwise(F.ceil("_q.h"))
+    ranges = placed.groupBy("_k", "_c", "_b").agg(F.sum("_n").alias("_size"), F.max("_total").alias("_total"))
+    before = F.sum("_size").over(Window.partitionBy("_k", "_c").orderBy("_b")) - F.col("_size")
+    targets = ranges.withColumn("_before", before).withColumn("_q", F.explode(_ranks(wanted, cols))).where(
+        (F.col("_q.c") == F.col("_c"))
+        & (F.col("_q.rank") >= F.col("_before"))
+        & (F.col("_q.rank") < F.col("_before") + F.col("_size"))
     )
-    targets = targets.filter(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))
-    ).select(*keys, "_b", "_before", "_q", "_rank")
-    ranked = placed.withColumn(
-        "_upto",
-        F.sum("_n").over(
-            Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    )
-    found = (
-        ranked.join(targets, [*keys, "_b"])
-        .filter(F.col("_before") + F.col("_upto") > F.col("_rank"))
-        .groupBy(*keys, "_q")
-        .agg(F.min("_v").alias("_x"))
-    )
-    pick = lambda o, side: F.max(F.when((F.col("_q.out") == o) & (F.col("_q.side") == side), F.col("_x")))
-    share = lambda o: F.max(F.when(F.col("_q.out") == o, F.col("_q.h") - F.floor("_q.h")))
-    return found.groupBy(*keys).agg(
-        *[(pick(o, "lo") + share(o) * (pick(o, "hi") - pick(o, "lo"))).alias(o) for o in probs]
+    targets = targets.select("_k", "_c", "_b", "_before", "_q")
+    inside = Window.partitionBy("_k", "_c", "_b").orderBy("_v")
+    ranked = placed.drop("_cuts", "_total").join(targets.select("_k", "_c", "_b").distinct(), ["_k", "_c", "_b"], "left_semi")
+    ranked = ranked.withColumn("_upto", F.sum("_n").over(inside))
+    place = F.col("_q.rank") - F.col("_before")
+    found = ranked.join(targets, ["_k", "_c", "_b"]).where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")))
+    pick = lambda o, side: F.max(F.when((F.col("_q.out") == o) & (F.col("_q.side") == side), F.col("_v")))
+    share = lambda o: F.max(F.when(F.col("_q.out") == o, F.col("_q.share")))
+    got = found.groupBy("_k").agg(
+        *[(pick(o, "lo") + share(o) * (pick(o, "hi") - pick(o, "lo"))).alias(o) for o in wanted]
     )
+    # Groups that have no known value come from the other side; both meet by one more aggregation, which NULL keys survive.
+    others = df.groupBy(*keys).agg(F.lit(1).alias("_one"), *[c.alias(o) for o, c in (extra or {}).items()])
+    both = others.select(F.struct(*keys).alias("_k"), *(extra or {})).unionByName(got, allowMissingColumns=True)
+    out = both.groupBy("_k").agg(*[F.any_value(c, True).alias(c) for c in [*(extra or {}), *wanted]])
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], *(extra or {}), *wanted)
+
+
+def _ranks(wanted: Mapping[str, tuple[str, float]], cols: Sequence[str]) -> Column:
+    """The ranks on either side of each percentile, and the share of the way from one to the other."""
+    out = []
+    for o, (c, p) in wanted.items():
+        h = (F.col("_total") - 1) * p
+        for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            fields = {"c": F.lit(cols.index(c)), "out": F.lit(o), "side": F.lit(side), "rank": rank, "share": h - F.floor(h)}
+            out.append(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    return F.array(*out)
 
 
 def farm_stats(df: DataFrame, col: str, prefix: str, keys: Sequence[str] = TIME) -> DataFrame:

@@ -41,15 +41,25 @@ def test_clean_names(spark):
     assert sc.clean_names(df).columns == ["a__qh_10", "bc"]
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 60, 5])
-def test_group_percentiles_of_hot_groups(spark, hot_rows):
+def test_group_percentiles_of_odd_groups(spark):
+    """NULL keys, groups without a known value, one value, clashing names; no table at all."""
+    rows = [(None, 1.0), (None, 4.0), (1, None), (2, 7.0), (2, None), (3, -0.0), (3, 0.0)]
+    df = spark.createDataFrame(rows, "slot bigint, x double").withColumn("_v", F.lit(9)).withColumn("_k", F.lit(9))
+    got = farm.group_percentiles(df, ["slot"], {"m": ("x", 0.5), "p": ("x", 0.25)}, {"n": F.count("x")})
+    assert got.columns == ["slot", "n", "m", "p"]
+    assert {r["slot"]: (r["n"], r["m"], r["p"]) for r in got.collect()} == {None: (2, 2.5, 1.75), 1: (0, None, None), 2: (1, 7.0, 7.0), 3: (2, 0.0, 0.0)}
+    assert farm.group_percentiles(df.limit(0), ["slot"], {"m": ("x", 0.5)}).count() == 0
+
+
+@pytest.mark.parametrize("few", [65_536, 60, 5])
+def test_group_percentiles_of_hot_groups(spark, few):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"slot": np.repeat([1, 2, 3], [4000, 50, 1]), "x": np.round(rng.normal(0, 5, 4051), 1)})
     pdf.loc[rng.random(len(pdf)) < 0.1, "x"] = np.nan
     pdf.loc[pdf["slot"] == 3, "x"] = 2.5
     df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
     wanted = {"lo": ("x", 0.15), "mid": ("x", 0.5), "hi": ("x", 0.85), "top": ("x", 1.0)}
-    got = farm.group_percentiles(df, ["slot"], wanted, {"n": F.count("x")}, hot_rows=hot_rows).toPandas().set_index("slot")
+    got = farm.group_percentiles(df, ["slot"], wanted, {"n": F.count("x")}, few=few).toPandas().set_index("slot")
     for slot, g in pdf.groupby("slot"):
         x = g["x"].dropna()
         want = np.percentile(x, [15, 50, 85, 100])
