@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
 from aeolis.operators import blend, farm, gaps, hierarchy, metrics, models, repair, split_scale
+from aeolis.operators import segments as segments_
 from aeolis.operators.blocks import from_end, neighbours, step_index
 from aeolis.operators.boosting import Booster
 from aeolis.operators.rolling import roll_bundle
@@ -231,16 +232,16 @@ def forecast_short_leg(
 ) -> DataFrame:
     """(turb_id, step, yhat): median over the configurations of each segment, joined along the horizon, pulled to
     the last known power, kept within capacity."""
-    narrow = rows.select("turb_id", "slot", "patv", "wspd")
-    horizon = max(end for _, end in segments)
-    training = split_scale.sequence_samples(narrow, input_len, horizon, ["patv", "wspd"], ["patv"])
-    training = stage(models.sample_inputs(training, settings.steps_per_day), "samples")
-    fitted = models.train_segment_models(training, segments, models.SAMPLE_INPUTS)
+    # The farm's temperature, wind and usable share at the anchor are inputs next to the turbine's own window.
+    farmwide = ("etmp_median", "ws_median", "farm_mask")
+    stats = farm_series(rows).select("slot", "etmp_median", "ws_median", F.col("mask_mean").alias("farm_mask"))
+    narrow = stage(rows.select("turb_id", "slot", "patv", "wspd").join(stats, "slot"), "short-inputs")
+    other = (*segments_.CLOCK_INPUTS, *farmwide)
+    samples = segments_.segment_samples(narrow, (input_len,), segments, settings.steps_per_day, farmwide)
+    fitted = segments_.train_segment_models(samples, segments, input_len, other=other)
     recent = from_end(narrow).filter(F.col("_from_end") < input_len).drop("_from_end")
-    newest = split_scale.sequence_samples(recent, input_len, 0, ["patv", "wspd"], [])
-    scored = models.score_segment_models(
-        models.sample_inputs(newest, settings.steps_per_day), fitted, ("turb_id", "anchor")
-    )
+    newest = segments_.segment_samples(recent, (input_len,), (), settings.steps_per_day, farmwide)
+    scored = segments_.score_segment_models(newest, fitted, ("turb_id", "anchor"))
     steps = scored.withColumn("step", F.explode(F.sequence("seg_start", F.col("seg_end") - 1)))
     merged = steps.groupBy("turb_id", "step").agg(F.median("yhat").alias("yhat"))
     clipped = merged.withColumn("yhat", sc.clip_capacity(F.col("yhat"), settings.capacity))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
-from aeolis.operators import blend, farm, hierarchy, metrics, models, repair, split_scale
+from aeolis.operators import blend, farm, hierarchy, metrics, models, repair, segments, split_scale
 from aeolis.plans.fixture import ABNORMAL, CURVE_F, FADE, LOOKBACK, STEPS, TEST_DAYS, VALID_DAYS, H
 from aeolis.plans.registry import query
 from aeolis.session import shared_dir, stage
@@ -374,12 +374,50 @@ def _(d):
     return repair.overwrite_unknown(scored).select(*KEY, "patv")
 
 
-@query("train_segment_models")
+PIECES = ((0, 6), (6, 12), (12, OUT))
+PAST = f"(PARTITION BY turb_id ORDER BY slot ROWS BETWEEN {IN - 1} PRECEDING AND CURRENT ROW)"
+LABELS = ", ".join(
+    f"CASE WHEN count(*) OVER s{s} = {e - s} THEN avg(patv) OVER s{s} END AS y{s}" for s, e in PIECES
+)
+AHEAD = ", ".join(f"s{s} AS (PARTITION BY turb_id ORDER BY slot ROWS BETWEEN {s + 1} FOLLOWING AND {e} FOLLOWING)" for s, e in PIECES)
+SAMPLES_SQL = f"""SELECT turb_id, slot AS anchor, last_value(patv IGNORE NULLS) OVER p AS a, avg(wspd) OVER p AS b, count(*) OVER p AS np, {LABELS}
+FROM masked WINDOW p AS {PAST}, {AHEAD}"""
+# Two inputs: the normal equations have a closed form.
+SEGMENT_SQL = f"""WITH x AS (SELECT * FROM ({SAMPLES_SQL}) q WHERE np = {IN}),
+l AS ({" UNION ALL ".join(f"SELECT {s} AS seg_start, {e} AS seg_end, a, b, y{s} AS y FROM x" for s, e in PIECES)}),
+m AS (SELECT seg_start, seg_end, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+  covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL GROUP BY seg_start, seg_end),
+w AS (SELECT *, (bb * (1 + reg) * ay - ab * by_) / (aa * bb * pow(1 + reg, 2) - ab * ab) AS wa,
+  (aa * (1 + reg) * by_ - ab * ay) / (aa * bb * pow(1 + reg, 2) - ab * ab) AS wb FROM m, (SELECT unnest([0e0, 1e-1]) AS reg) r)"""
+
+
+@query("train_segment_models", SEGMENT_SQL + """ SELECT turb_id, anchor, CAST(seg_start AS BIGINT) AS seg_start, CAST(seg_end AS BIGINT) AS seg_end, reg,
+my + wa * (coalesce(a, ma) - ma) + wb * (coalesce(b, mb) - mb) AS yhat FROM x, w""", "yhat", 4)
+def _(d):
+    samples = stage(segments.segment_samples(d.masked, (IN,), PIECES, 24), "samples")
+    fitted = segments.train_segment_models(samples, PIECES, IN, window=("last_patv", "mean_wspd"), other=())
+    return segments.score_segment_models(samples, fitted, ("turb_id", "anchor"))
+
+
+@query("segment_samples", f"""SELECT turb_id, anchor, a AS last_patv_{IN}, mp AS mean_patv_{IN}, b AS mean_wspd_{IN}, k / {IN}e0 AS known_share_{IN},
+{", ".join(f"y{s} AS y_{s}_{e}" for s, e in PIECES)} FROM (SELECT *, avg(patv) OVER {PAST} AS mp, count(patv) OVER {PAST} AS k
+FROM masked) m JOIN ({SAMPLES_SQL}) q ON q.turb_id = m.turb_id AND q.anchor = m.slot WHERE np = {IN}""".replace("SELECT turb_id, anchor, a AS", "SELECT q.turb_id, anchor, a AS"),
+       f"last_patv_{IN} mean_patv_{IN} mean_wspd_{IN} known_share_{IN} " + " ".join(f"y_{s}_{e}" for s, e in PIECES), 4)
+def _(d):
+    return segments.segment_samples(d.masked, (IN,), PIECES, 24).drop("hour_sin", "hour_cos")
+
+
+@query("train_grid_models")
 def _(d):
-    samples = stage(models.sample_inputs(_samples(d), 24), "samples")
-    segments = ((0, 6), (6, 12), (12, OUT))
-    fitted = models.train_segment_models(samples, segments, models.SAMPLE_INPUTS)
-    return models.score_segment_models(samples, fitted, ("turb_id", "anchor"))
+    grids = {"main": models.GRID_MAIN | {"partial_days": (None, 14)}, "temperature": models.GRID_TEMPERATURE | {"partial_days": (None, 14)}}
+    grid = [r.asDict() for r in models.grid_rows(d.spark, grids, 24).collect()]  # one row a configuration
+    ends = sorted({g["output_len"] for g in grid if g["grid"] == "main"})
+    places = dict(zip(ends, zip([0, *ends], ends))) | {108: (72, 108), 216: (144, 216)}
+    lens = sorted({g["days"] * 24 for g in grid})
+    samples = stage(segments.segment_samples(d.masked, lens, sorted(set(places.values())), 24, ("day",)), "samples")
+    fitted = segments.train_grid_models(samples, grid, 24, places)
+    rows = [(g["grid"], i, m.part.segment[0], m.part.segment[1], m.part.input_len, m.part.last_day, m.regularisation, m.samples, m.intercept) for i, (g, m) in enumerate(zip(grid, fitted, strict=True))]
+    return d.spark.createDataFrame(rows, "grid string, nth long, seg_start long, seg_end long, input_len long, last_day long, reg double, samples long, intercept double")
 
 
 # ---- forecast blending

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aeolis.operators import blend, hierarchy, metrics, models
+from aeolis.operators import blend, hierarchy, metrics, models, segments
 from aeolis.plans import forecast as fc
 from aeolis.plans.fixture import Fixture
 from aeolis.plans.forecast_checks import SETTINGS, SMALL
@@ -209,13 +209,60 @@ def test_short_leg(data):
     assert len(out) == 5 * 24 and out["yhat"].between(0, 3000).all()
 
 
-def test_every_sample_is_scored(spark):
-    """Samples with unknown inputs get a forecast too, from the mean of what is unknown."""
-    rows = [(t, a, float(t * 10 + a), None if t == 2 else float(a), [float(a)] * 4) for t in (1, 2) for a in range(20)]
-    samples = spark.createDataFrame(rows, "turb_id long, anchor long, last_patv double, mean_wspd double, dec_patv array<double>")
-    fitted = models.train_segment_models(samples, [(0, 2), (2, 4)], ["last_patv", "mean_wspd"])
-    got = models.score_segment_models(samples, fitted, ["turb_id", "anchor"])
-    assert got.count() == 40 * len(fitted) and got.filter("yhat IS NULL").count() == 0
+def _panel_of_two(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, s, None if rng.random() < 0.2 else float(100 * t + 10 * (s % 24) + rng.normal()), None if t == 2 else float(rng.random()), s // 24 + 1) for t in (1, 2) for s in range(200)]
+    return rows, spark.createDataFrame(rows, "turb_id long, slot long, patv double, wspd double, day long")
+
+
+@pytest.mark.parametrize("size", [4096, 50])
+def test_segment_samples(spark, size):
+    rows, df = _panel_of_two(spark)
+    got = {(r["turb_id"], r["anchor"]): r for r in segments.segment_samples(df, (5, 30), ((0, 3), (3, 10)), 24, ("day",), size=size).collect()}
+    assert sorted(got) == [(t, s) for t in (1, 2) for s in range(4, 200)]
+    x = {(t, s): (p, w) for t, s, p, w, _ in rows}
+    mean = lambda v: pytest.approx(sum(v) / len(v)) if v else None
+    for (t, s), r in got.items():
+        assert r["day"] == s // 24 + 1
+        for n in (5, 30):
+            past = [x[t, i][0] for i in range(s - n + 1, s + 1)] if s >= n - 1 else []
+            some = [v for v in past if v is not None]
+            assert (r[f"last_patv_{n}"], r[f"mean_patv_{n}"]) == (some[-1] if some else None, mean(some))
+            assert r[f"known_share_{n}"] == (pytest.approx(len(some) / n) if past else None)
+            assert r[f"mean_wspd_{n}"] == (mean([x[t, i][1] for i in range(s - n + 1, s + 1)]) if past and t == 1 else None)
+        for a, e in ((0, 3), (3, 10)):
+            ahead = [x[t, i][0] for i in range(s + a + 1, s + e + 1)] if s + e < 200 else []
+            assert r[f"y_{a}_{e}"] == mean([v for v in ahead if v is not None])
+
+
+def test_models_from_cross_products(spark):
+    """All models of a grid from one job, equal to least squares on the rows; every sample gets a forecast."""
+    _, df = _panel_of_two(spark)
+    samples = segments.segment_samples(df.withColumn("wspd", F.coalesce("wspd", F.lit(0.5))), (5, 30), ((0, 3), (3, 10)), 24, ("day",)).persist()
+    grid = [{"days": n, "hidden1": h, "hidden2": 8, "output_len": e, "partial_days": d, "attention": c} for n in (5, 30) for h in (64, 128) for e in (3, 10) for d in (None, 6) for c in (True, False)]
+    fitted = segments.train_grid_models(samples, grid, 1, {3: (0, 3), 10: (3, 10)})
+    pdf = samples.toPandas()
+    for g, m in zip(grid, fitted, strict=True):
+        use = segments.inputs_of(g["days"])
+        part = pdf.dropna(subset=[*use, segments.label_of(m.part.segment)])
+        part = part if g["partial_days"] is None else part[part["day"] <= 6]
+        use = use if g["attention"] else use[:4]
+        x, y = part[use].to_numpy(), part[segments.label_of(m.part.segment)].to_numpy()
+        sd = x.std(axis=0)
+        live = sd > 1e-9
+        z = np.where(live, (x - x.mean(axis=0)) / np.where(live, sd, 1), 0)
+        w = np.linalg.solve(z.T @ z / len(z) + 64 / (g["hidden1"] * 8) * np.eye(len(use)), z.T @ (y - y.mean()) / len(z)) / np.where(live, sd, 1)
+        assert m.samples == len(part) and list(m.weights.values()) == pytest.approx(w.tolist(), rel=1e-5, abs=1e-6)
+    unknown = segments.segment_samples(df, (5,), (), 24)
+    got = segments.score_segment_models(unknown, fitted[:4], ["turb_id", "anchor"])
+    assert got.count() == 4 * 2 * 196 and got.filter("yhat IS NULL").count() == 0
+
+
+def test_models_without_samples_or_spread(spark):
+    flat = spark.createDataFrame([(1, s, 3.0, 1.0) for s in range(20)], "turb_id long, slot long, patv double, wspd double")
+    for df, want in ((flat, 3.0), (flat.limit(0), 0.0)):
+        [m] = segments.train_segment_models(segments.segment_samples(df, (4,), ((0, 2),), 24), [(0, 2)], 4, (0.0,))
+        assert m.intercept + sum(w * m.means[c] for c, w in m.weights.items()) == pytest.approx(want)
 
 
 def test_tree_table_of_many_nodes(spark):

@@ -51,7 +51,7 @@ def test_entry(spark):
 def test_only_fitted_or_random_queries_lack_a_statement():
     assert set(registry.ENTRIES) - set(ORACLE) == {
         "repair_patv_model", "repair_patv_farm_model", "ts_ar_coefficient", "train_boosted_trees",
-        "top_feature_importance", "train_segment_models", "reconcile_overlapping",
+        "top_feature_importance", "train_grid_models", "reconcile_overlapping",
         "long_leg_features", "long_leg_score", "long_leg_forecast", "short_leg_values", "short_leg_forecast",
         "combined_forecast",
     }
