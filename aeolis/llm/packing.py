@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolis.llm.common import bound_batches, stage, text_slices
-from aeolis.llm.tokens import encoder
+from aeolis.llm.tokens import SLICE, encoder
 
 WINDOW = 2048
 
@@ -82,9 +82,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, w
 
     def cut(batches):
         part, tool, end, seen = TaskContext.get().partitionId(), encoder(tokenizer), packed("<I", end_id), np.zeros(window + 1, np.int64)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             out = []
-            for doc_id, b in zip(batch["doc_id"].to_pylist(), tool.encode(batch["text"].to_pylist()), strict=True):
+            for doc_id, b in zip(batch["doc_id"].to_pylist(), tool.encode(batch["text"]), strict=True):
                 b += end
                 n = len(b) // 4
                 for at in range(0, n, window):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import uuid
 import zlib
 from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from aeolis.llm.common import bound_batches, mix64, stage, text_slices
 from aeolis.session import shared_dir
 
-#: Pieces of text whose ids a task keeps, in two generations: pieces not met lately are forgotten and encoded again.
+#: Distinct pieces of text whose ids a worker keeps; beyond, it forgets them and begins anew.
 KEPT = 600_000
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_MARKS = re.compile(r"(?:\A|\W)[.,]|_")
+#: Bytes of text that are cut at once.
+SLICE = 16 << 20
+#: White space other than single spaces and line feeds, runs of it, or white space at either end; and NUL, which marks the cuts.
+_WHOLE = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+#: Marks that don't follow a letter or digit, and underscores.
+_MARKS = "(?:\\A|[^\\pL\\pN])[.,]|_"
 
 
 class Encoder:
@@ -31,6 +35,7 @@ class Encoder:
     A text is cut before a single space, around a single line feed, and around a full stop or comma that stands between a
     letter or digit and such a place. The pre-tokenizers in use never join characters across these places, so the ids of the
     pieces, joined, are the ids of the text. Texts with any other white space (runs, tabs, at either end) are encoded whole.
+    Texts are cut and pieces numbered in Arrow; the library sees every distinct piece once, as long as it is kept.
     """
 
     def __init__(self, path: str):
@@ -39,45 +44,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _cut(self, text: str) -> str:
-        """The text with NUL at the places to cut."""
-        if "\x00" in text or _OTHER_SPACE.search(text):
-            return ""
-        cut = text.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n\x00")
-        if "\x00\x00" in cut or "\x00 \x00" in cut or cut[:1] == "\x00" or cut[-1:] in "\x00 ":
-            return ""
-        if not _MARKS.search(text):
-            cut = cut.replace(",\x00", "\x00,\x00").replace(".\x00", "\x00.\x00")
-        return cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.forget()
+
+    def forget(self) -> None:
+        #: The pieces met; the ids of each lie in ``pool`` between two of ``ends``.
+        self.known = pa.array([], pa.string())
+        self.ends, self.pool = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one behind the other, and how many each has."""
+        parts, n = [np.empty(0, np.uint32)], []
+        for at in range(0, len(texts), 20_000):
+            ids: list[int] = []
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
+                own = e.ids
+                n.append(len(own))
+                ids += own
+            parts.append(np.array(ids, np.uint32))
+        return np.concatenate(parts), np.array(n, np.int64)
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The places of distinct pieces among the known ones; new ones are encoded."""
+        at = pc.index_in(pieces, self.known)
+        if len(self.known) + at.null_count > KEPT and len(self.known):
+            self.forget()
+            at = pc.index_in(pieces, self.known)
+        if at.null_count:
+            new = pieces.filter(pc.is_null(at))
+            ids, n = self._library(new.to_pylist())
+            fresh = pa.array(np.arange(len(self.known), len(self.known) + len(new), dtype=np.int32))
+            at = pc.replace_with_mask(at, pc.is_null(at), fresh)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            self.pool = np.concatenate([self.pool, ids])
+        return at.to_numpy()
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text behind the other, and the place where each text begins (and the last one ends)."""
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        n = np.zeros(len(texts), np.int64)
+        parts = {}
+        if whole.any():
+            parts[True], n[whole] = self._library(texts.filter(pa.array(whole)).to_pylist())
+        if not whole.all():
+            parts[False], n[~whole] = self._pieces(texts.filter(pa.array(~whole)))
+        ids = np.empty(int(n.sum()), np.uint32)
+        side = np.repeat(whole, n)
+        for w, found in parts.items():
+            ids[side == w] = found
+        return ids, np.concatenate([[0], np.cumsum(n)])
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\x00\n\x00"), " ", "\x00 ")
+        marks = pc.match_substring_regex(texts, _MARKS)
+        split = pc.replace_substring(pc.replace_substring(cut, ",\x00", "\x00,\x00"), ".\x00", "\x00.\x00")
+        lists = pc.split_pattern(pc.if_else(marks, cut, split), "\x00")
+        coded = lists.flatten().dictionary_encode()
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        first, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        last = np.concatenate([[0], np.cumsum(size)])
+        ends = lists.offsets.to_numpy()
+        ids = self.pool[np.repeat(first - last[:-1], size) + np.arange(last[-1])]
+        return ids, np.diff(last[ends - ends[0]])
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [self._cut(t) for t in texts]
-        pieces = "\x00".join(c for c in cuts if c).split("\x00")
-        missing = [p for p in set(pieces) if p and p not in self.known]
-        if len(self.known) + len(missing) > KEPT:
-            self.before, self.known = self.known, {}
-            missing = [p for p in set(pieces) if p]
-        new = [p for p in missing if p not in self.before]
-        self.known.update((p, self.before[p]) for p in missing if p in self.before)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.known[p] = pack(f"<{len(ids)}I", *ids)
-        ids = list(map(self.known.get, pieces))
-        out, at = [], 0
-        for t, c in zip(texts, cuts, strict=True):
-            if c:
-                n = c.count("\x00") + 1
-                out.append(b"".join(ids[at : at + n]))
-                at += n
-            else:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        ids, starts = self.flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(starts, starts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -223,9 +257,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids", s
             chunks, _ = pack_shard(ids, width)
             put(folder, f"shard-{shard:016x}.bin", chunks)
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             keys, out = batch["doc_id"], []
-            for b in tool.encode(batch["text"].to_pylist()):
+            for b in tool.encode(batch["text"]):
                 if ids and held + len(b) // 4 + 1 > shard_ids:
                     close()
                     nth, ids, held = nth + 1, [], 0
