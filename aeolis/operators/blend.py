@@ -107,19 +107,24 @@ def residual_decay_adjust(
     ).drop("block", "mean_true", "mean_pred", "abnormal_share")
 
 
-def blend_legs(short: DataFrame, long: DataFrame, start: int = 200) -> DataFrame:
-    """Short-horizon leg alone before ``start``, the mean of both legs from there on, or the one that is known."""
-    other = long.select("turb_id", "step", F.col("yhat").alias("_other"))
-    both = F.coalesce(0.5 * F.col("yhat") + 0.5 * F.col("_other"), "yhat", "_other")
-    mixed = F.when(F.col("step") >= start, both).otherwise(F.col("yhat"))
-    return short.join(other, ["turb_id", "step"], "left").withColumn("yhat", mixed).drop("_other")
+def blend_legs(short: DataFrame, long: DataFrame, start: int = 200, by: Sequence[str] = ()) -> DataFrame:
+    """(by, turb_id, step, yhat): the short-horizon leg alone before ``start``, the mean of both legs from there on, or the one that is known.
+
+    Steps that only one leg has stay. ``by`` names further keys, such as the model.
+    """
+    keys = [*by, "turb_id", "step"]
+    here, other = short.select(*keys, F.col("yhat").alias("_own")), long.select(*keys, F.col("yhat").alias("_other"))
+    mean = F.when(F.col("step") >= start, 0.5 * F.col("_own") + 0.5 * F.col("_other"))
+    return here.join(other, keys, "full").select(*keys, F.coalesce(mean, "_own", "_other").alias("yhat"))
 
 
-def flatness(preds: DataFrame) -> DataFrame:
-    """Mean over turbines of the std over time, and mean over time of the std over turbines."""
-    over_time = preds.groupBy("turb_id").agg(F.stddev_pop("yhat").alias("s")).agg(F.avg("s")).scalar()
-    over_turbines = preds.groupBy("step").agg(F.stddev_pop("yhat").alias("s"))
-    return over_turbines.agg(F.avg("s").alias("std_turbines")).withColumn("std_time", over_time)
+def flatness(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean over turbines of the std over time, and mean over time of the std over turbines, for each of ``by``."""
+    spread = lambda key, name: preds.groupBy(*by, key).agg(F.stddev_pop("yhat").alias("s")).groupBy(*by).agg(F.avg("s").alias(name))
+    over_time, over_turbines = spread("turb_id", "std_time"), spread("step", "std_turbines")
+    if by:
+        return over_turbines.join(over_time, list(by))
+    return over_turbines.withColumn("std_time", over_time.scalar())
 
 
 def add_jitter(
@@ -128,26 +133,31 @@ def add_jitter(
     seed: int = 0,
     only_if_flat: float | None = None,
     draws: tuple[Column, Column] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Small normal noise, so that a forecast is never perfectly flat.
 
     The noise comes from a hash of the row key by the Box-Muller rule: a re-run task repeats it exactly. ``draws`` replaces
     the hashes by two columns in (0, 1], for the radius and the angle.
-    ``only_if_flat`` adds it only where the mean std (over time or over turbines) is at most that value.
+    ``only_if_flat`` adds it only where the mean std (over time or over turbines) is at most that value. ``by`` names further
+    keys, such as the model, each of which has draws and a flatness of its own.
     """
-    unit = lambda salt: (F.pmod(F.xxhash64("turb_id", "step", F.lit(seed), F.lit(salt)), F.lit(2**52)) + 1) / F.lit(
+    unit = lambda salt: (F.pmod(F.xxhash64(*by, "turb_id", "step", F.lit(seed), F.lit(salt)), F.lit(2**52)) + 1) / F.lit(
         2.0**52 + 1
     )
     radius, angle = draws or (unit("radius"), unit("angle"))
     noise: Column = F.sqrt(-2 * F.log(radius)) * F.cos(2 * F.pi() * angle) * sigma
     if only_if_flat is not None:
-        is_flat = flatness(preds).select(F.least("std_time", "std_turbines") <= only_if_flat).scalar()
-        noise = F.when(is_flat, noise).otherwise(F.lit(0.0))
+        flat = flatness(preds, by).select(*by, (F.least("std_time", "std_turbines") <= only_if_flat).alias("_flat"))
+        if by:
+            preds = preds.join(flat, list(by), "left")
+        noise = F.when(F.col("_flat") if by else flat.scalar(), noise).otherwise(F.lit(0.0))
+        return preds.withColumn("yhat", F.col("yhat") + noise).drop("_flat")
     return preds.withColumn("yhat", F.col("yhat") + noise)
 
 
-def forecast_layout(preds: DataFrame, steps: int) -> DataFrame:
-    """One row per turbine with the forecast as an array in step order (bounded by the horizon)."""
+def forecast_layout(preds: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row per turbine (and ``by``) with the forecast as an array in step order (bounded by the horizon)."""
     inside = preds.filter((F.col("step") >= 0) & (F.col("step") < steps))
     cell = F.array_sort(F.collect_list(F.struct("step", "yhat")))
-    return inside.groupBy("turb_id").agg(cell.alias("c")).select("turb_id", F.col("c.yhat").alias("forecast"))
+    return inside.groupBy(*by, "turb_id").agg(cell.alias("c")).select(*by, "turb_id", F.col("c.yhat").alias("forecast"))

@@ -49,15 +49,44 @@ def coherence_residual(nodes: DataFrame, edges: DataFrame, col: str = "yhat", st
     return joined.groupBy(F.col("row").alias("group_id"), step).agg(F.sum(F.col("value") * F.col(col)).alias("residual"))
 
 
-def _gram(edges: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Groups and A A' = Su Su' + I, counted by Spark. The groups are the model's definition, not data: a small matrix."""
-    left = edges.select(F.col("group_id").alias("g"), "turb_id")
-    right = edges.select(F.col("group_id").alias("h"), "turb_id")
-    cells = left.join(right, "turb_id").groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).toPandas()
-    names = sorted(set(cells["g"]))
-    gram = np.eye(len(names))
-    gram[np.searchsorted(names, cells["g"]), np.searchsorted(names, cells["h"])] += cells["k"]
-    return names, gram
+#: Edges of a hierarchy that are broadcast; the relative residual at which the solver stops.
+EDGES, CLOSE = 50_000_000, 1e-13
+
+
+def _sparse(edges: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+    """Groups, and each edge's group and turbine as numbers. The hierarchy is the model's definition: as large as its edges."""
+    if edges.count() > EDGES:
+        raise ValueError(f"a hierarchy of more than {EDGES} edges")
+    t = edges.select("group_id", "turb_id").distinct().toArrow()
+    groups, turbines = t["group_id"].combine_chunks().dictionary_encode(), t["turb_id"].combine_chunks().dictionary_encode()
+    return groups.dictionary.to_pylist(), groups.indices.to_numpy(), turbines.indices.to_numpy(), len(turbines.dictionary)
+
+
+def conjugate_gradients(group: np.ndarray, turbine: np.ndarray, turbines: int, right: np.ndarray) -> np.ndarray:
+    """Solutions v of (Su Su' + I) v = r for every row r, by products with the edges alone; rows with a NaN have none."""
+    order = np.argsort(turbine, kind="stable")
+    up = np.argsort(group[order], kind="stable")
+
+    def times(v):
+        below = np.zeros((len(v), turbines))
+        np.add.at(below.T, turbine[order], v.T[group[order]])
+        back = v.copy()
+        np.add.at(back.T, group[order][up], below.T[turbine[order][up]])
+        return back
+
+    whole = ~np.isnan(right).any(axis=1)
+    x, r = np.zeros_like(right), np.where(whole[:, None], right, 0.0)
+    p, size = r.copy(), (r * r).sum(axis=1)
+    goal = CLOSE * CLOSE * size
+    for _ in range(2 * right.shape[1] + 10):
+        if (size <= goal).all():
+            break
+        q = times(p)
+        alpha = np.where(size > goal, size / np.maximum((p * q).sum(axis=1), 1e-300), 0.0)[:, None]
+        x, r = x + alpha * p, r - alpha * q
+        size, before = (r * r).sum(axis=1), size
+        p = r + (size / np.maximum(before, 1e-300))[:, None] * p
+    return np.where(whole[:, None], x, np.nan)
 
 
 def reconcile(
@@ -66,7 +95,7 @@ def reconcile(
     """Orthogonal projection onto coherent forecasts: y' = y - A'(A A')^-1 A y.
 
     With the columns ``u`` and ``std`` the forecasts are scaled, and (M(std * y + u) - u) / std is returned. A is sparse; the
-    residuals of a step meet in one array of the groups' length and are solved for at once, block of steps by block.
+    residuals of a step meet in one array of the groups' length, and blocks of steps are solved for by conjugate gradients.
     """
     raw = F.col(col)
     if std is not None:
@@ -74,7 +103,8 @@ def reconcile(
     if u is not None:
         raw = raw + F.col(u)
     level = nodes.withColumn("_level", raw)
-    names, gram = _gram(edges)
+    names, group, turbine, turbines = _sparse(edges)
+    held = nodes.sparkSession.sparkContext.broadcast((group, turbine))
     order = {g: i for i, g in enumerate(names)}
     residuals = coherence_residual(level, edges, "_level", step)
     gathered = residuals.groupBy(step).agg(F.collect_list(F.struct("group_id", "residual")).alias("r"))
@@ -86,7 +116,7 @@ def reconcile(
             for i, pairs in enumerate(b["r"].to_pylist()):
                 for p in pairs:
                     right[i, order[p["group_id"]]] = np.nan if p["residual"] is None else p["residual"]
-            found = np.linalg.solve(gram, right.T).T if len(names) else right
+            found = conjugate_gradients(*held.value, turbines, right) if len(names) else right
             again = pa.array(np.repeat(np.arange(b.num_rows), len(names)))
             rows = pa.array(names * b.num_rows, pa.string())
             yield pa.record_batch([rows, b[step].take(again), pa.array(found.ravel(), from_pandas=True)], ["row", step, "_v"])

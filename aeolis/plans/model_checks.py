@@ -185,6 +185,13 @@ def _(d):
     return hierarchy.reconcile(_incoherent(d, total), total, step="slot")
 
 
+@query("reconcile_residual", "SELECT DISTINCT group_id, slot, 0e0 AS residual FROM panel JOIN hier USING (turb_id)", "residual", 4)
+def _(d):
+    """All overlapping groups: reconciled forecasts add up."""
+    fixed = hierarchy.reconcile(_incoherent(d, d.hier), d.hier, step="slot")
+    return hierarchy.coherence_residual(fixed, d.hier, step="slot")
+
+
 @query("reconcile_overlapping")
 def _(d):
     return hierarchy.reconcile(_incoherent(d, d.hier), d.hier, step="slot")
@@ -463,30 +470,32 @@ def _(d):
     return blend.residual_decay_adjust(rows, H, LOOKBACK, FADE).select("turb_id", "time", "pred_target")
 
 
-def _leg(d, model):
-    return d.preds.filter(F.col("model_id") == model).select(*STEP, "yhat")
+MODEL = ("model_id",)
 
 
-@query("blend_legs", """SELECT turb_id, step, CASE WHEN step >= 200 THEN 0.5 * a.yhat + 0.5 * b.yhat ELSE a.yhat END AS yhat
-FROM (SELECT * FROM preds WHERE model_id = 1) a JOIN (SELECT turb_id, step, yhat FROM preds WHERE model_id = 2) b USING (turb_id, step)""", "yhat")
+# Every model's forecast, without its last steps, next to that of the following model, which begins later.
+@query("blend_legs", f"""SELECT model_id, turb_id, step, CASE WHEN step >= 200 THEN coalesce(0.5 * a.yhat + 0.5 * b.yhat, a.yhat, b.yhat)
+  ELSE coalesce(a.yhat, b.yhat) END AS yhat FROM (SELECT * FROM preds WHERE step < {STEPS - 8}) a
+FULL JOIN (SELECT (model_id + 13) % 15 + 1 AS model_id, turb_id, step, yhat FROM preds WHERE step >= 150) b USING (model_id, turb_id, step)""", "yhat")
 def _(d):
-    return blend.blend_legs(_leg(d, 1), _leg(d, 2))
+    long = d.preds.filter("step >= 150").withColumn("model_id", (F.col("model_id") + 13) % 15 + 1)
+    return blend.blend_legs(d.preds.filter(F.col("step") < STEPS - 8), long, by=MODEL)
 
 
-@query("add_jitter", """SELECT turb_id, step, yhat + sqrt(-2 * ln(((turb_id * 7919 + step * 104729) % 9973 + 1) / 9974.0))
-* cos(2 * pi() * ((turb_id * 31 + step * 17) % 1009 + 1) / 1010.0) * 0.015 AS yhat FROM preds WHERE model_id = 1""", "yhat")
+@query("add_jitter", """SELECT model_id, turb_id, step, yhat + sqrt(-2 * ln(((turb_id * 7919 + step * 104729 + model_id * 13) % 9973 + 1) / 9974.0))
+* cos(2 * pi() * ((turb_id * 31 + step * 17) % 1009 + 1) / 1010.0) * 0.015 AS yhat FROM preds""", "yhat")
 def _(d):
-    radius = ((F.col("turb_id") * 7919 + F.col("step") * 104729) % 9973 + 1) / 9974.0
+    radius = ((F.col("turb_id") * 7919 + F.col("step") * 104729 + F.col("model_id") * 13) % 9973 + 1) / 9974.0
     angle = ((F.col("turb_id") * 31 + F.col("step") * 17) % 1009 + 1) / 1010.0
-    return blend.add_jitter(_leg(d, 1), draws=(radius, angle))
+    return blend.add_jitter(d.preds.select("model_id", *STEP, "yhat"), draws=(radius, angle), by=MODEL)
 
 
-@query("forecast_layout", """SELECT turb_id, count(*) AS n, min_by(yhat, step) AS first, max_by(yhat, step) AS last
-FROM preds WHERE model_id = 1 GROUP BY turb_id""", "first last")
+@query("forecast_layout", """SELECT model_id, turb_id, count(*) AS n, min_by(yhat, step) AS first, max_by(yhat, step) AS last
+FROM preds GROUP BY model_id, turb_id""", "first last")
 def _(d):
     f = F.col("forecast")
-    out = blend.forecast_layout(_leg(d, 1), STEPS)
-    return out.select("turb_id", F.size(f).cast("bigint").alias("n"), f[0].alias("first"), f[STEPS - 1].alias("last"))
+    out = blend.forecast_layout(d.preds, STEPS, MODEL)
+    return out.select("model_id", "turb_id", F.size(f).cast("bigint").alias("n"), f[0].alias("first"), f[STEPS - 1].alias("last"))
 
 
 # ---- metrics
@@ -569,7 +578,8 @@ def _(d):
     return metrics.total_power_error(d.scored, ["model_id"])
 
 
-@query("flatness_check", """SELECT (SELECT avg(s) FROM (SELECT stddev_pop(yhat) AS s FROM preds WHERE model_id = 1 GROUP BY turb_id) a) AS std_time,
-(SELECT avg(s) FROM (SELECT stddev_pop(yhat) AS s FROM preds WHERE model_id = 1 GROUP BY step) b) AS std_turbines""", "std_time std_turbines", 5)
+@query("flatness_check", """SELECT * FROM (SELECT model_id, avg(s) AS std_time FROM (SELECT model_id, stddev_pop(yhat) AS s FROM preds GROUP BY model_id, turb_id) a
+GROUP BY model_id) t JOIN (SELECT model_id, avg(s) AS std_turbines FROM (SELECT model_id, stddev_pop(yhat) AS s FROM preds GROUP BY model_id, step) b
+GROUP BY model_id) u USING (model_id)""", "std_time std_turbines", 5)
 def _(d):
-    return blend.flatness(_leg(d, 1))
+    return blend.flatness(d.preds, MODEL)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from aeolis.operators.rolling import roll_bundle
 from aeolis.operators.split_scale import drop_warmup, scaler_fit
 from aeolis.plans.fixture import ABNORMAL, ABNORMAL_EVAL, ALL, CURVE_F, STEPS_PER_DAY, UNKNOWN, H, W
 from aeolis.plans.registry import query
+from aeolis.session import shared_dir
 from aeolis.sources import panel as src
 from aeolis.sources.panel import MEASURES
 
@@ -47,14 +50,22 @@ def _(d):
     return df.select("turb_id", "day", "tmstamp", "wspd", "patv")
 
 
+def _as_file(d, rows, name):
+    """A dimension as the CSV file that the readers expect."""
+    path = os.path.join(shared_dir(d.spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    rows.write.csv(path, header=True)
+    return path
+
+
 @query("scan_dim_curve", "SELECT turb_id, a, beta, b, mx FROM curve", "a beta b mx")
 def _(d):
-    return d.curve
+    path = _as_file(d, d.curve.withColumnRenamed("turb_id", "TurbID").withColumn("cp", F.lit(0.4)), "curve")
+    return src.read_curve(d.spark, path, d.turbines).drop("cp")
 
 
 @query("scan_dim_angle", "SELECT turb_id, diff_angle FROM angle", "diff_angle")
 def _(d):
-    return d.angle
+    return src.read_angle(d.spark, _as_file(d, d.angle.withColumnRenamed("turb_id", "TurbID"), "angle"), d.turbines)
 
 
 @query("sink_features", "SELECT turb_id, slot, patv, target, data_type FROM split WHERE data_type = 'valid'", "patv target")
@@ -286,7 +297,7 @@ def _(d):
 @query("pivot_patv", """SELECT t.day, t.tmstamp, u.turb_id, p.patv FROM (SELECT DISTINCT day, tmstamp FROM panel) t
 CROSS JOIN turbines u LEFT JOIN panel p ON p.day = t.day AND p.tmstamp = t.tmstamp AND p.turb_id = u.turb_id""", "patv")
 def _(d):
-    turbines = sorted(r["turb_id"] for r in d.panel.select("turb_id").distinct().collect())  # the columns of a model's input
+    turbines = sorted(r["turb_id"] for r in d.curve.select("turb_id").collect())  # the columns of a model's input, from the dimension
     wide = farm.pivot_patv(d.panel, turbines)
     return farm.unpivot_patv(wide)
 

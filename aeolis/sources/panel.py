@@ -56,12 +56,41 @@ def recent_tail(df: DataFrame, steps: int, pos: str = "slot", entity: Sequence[s
     return from_end(df, entity, pos).filter(F.col("_from_end") < steps).drop("_from_end")
 
 
-def read_curve(spark: SparkSession, path: str) -> DataFrame:
-    return _snake(spark.read.schema(CURVE_SCHEMA).csv(path, header=True))
+def read_curve(spark: SparkSession, path: str, turbines: DataFrame | None = None) -> DataFrame:
+    """Power curve of each turbine; ``cp`` may be missing."""
+    return checked(_dimension(spark, path, CURVE_SCHEMA), ("a", "beta", "b", "mx"), turbines)
 
 
-def read_angle(spark: SparkSession, path: str) -> DataFrame:
-    return _snake(spark.read.schema(ANGLE_SCHEMA).csv(path, header=True))
+def read_angle(spark: SparkSession, path: str, turbines: DataFrame | None = None) -> DataFrame:
+    """Direction offset of each turbine."""
+    return checked(_dimension(spark, path, ANGLE_SCHEMA), ("diff_angle",), turbines)
+
+
+def _dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header, whose columns may stand in any order; values that don't fit their type end the read."""
+    kinds = dict(part.split() for part in schema.split(", "))
+    raw = spark.read.csv(path, header=True)
+    here = {c.lower(): c for c in raw.columns}
+    return _snake(raw.select(*[(F.col(f"`{here[c.lower()]}`") if c.lower() in here else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]))
+
+
+def checked(rows: DataFrame, needed: Sequence[str], turbines: DataFrame | None = None, key: str = "turb_id") -> DataFrame:
+    """``rows``, if each has a key of its own and all of ``needed``, and every one of ``turbines`` has a row; else a ValueError.
+
+    A dimension with a double key would multiply the rows it joins, one with gaps would lose or blank some. One aggregate
+    and one anti-join tell; only counts reach the driver.
+    """
+    gaps = F.count_if(F.col(key).isNull() | F.greatest(*[F.col(c).isNull() for c in needed], F.lit(False)))
+    n, keys, holes = rows.agg(F.count(F.lit(1)), F.count_distinct(key), gaps).first()
+    if holes:
+        raise ValueError(f"{holes} rows lack {key} or one of {', '.join(needed)}")
+    if keys < n:
+        raise ValueError(f"{n - keys} rows repeat a {key}")
+    if turbines is not None:
+        absent = turbines.select(key).distinct().join(rows.select(key), key, "left_anti").count()
+        if absent:
+            raise ValueError(f"{absent} turbines have no row")
+    return rows
 
 
 def write_features(df: DataFrame, path: str) -> None:

@@ -201,6 +201,34 @@ def test_blend_without_the_other_leg(spark):
         assert {(r["turb_id"], r["step"]): r["yhat"] for r in blend.blend_legs(short, other, 4).collect()} == want
 
 
+def test_blend_keeps_steps_of_one_leg(spark):
+    short = spark.createDataFrame([(1, 0, 1.0), (1, 6, 2.0)], "turb_id bigint, step bigint, yhat double").withColumn("model_id", F.lit(3))
+    long = spark.createDataFrame([(1, 1, 9.0), (1, 6, 4.0), (1, 7, 5.0)], "turb_id bigint, step bigint, yhat double").withColumn("model_id", F.lit(3))
+    got = blend.blend_legs(short, long.unionByName(long.withColumn("model_id", F.lit(4))), 4, ("model_id",))
+    assert {(r["model_id"], r["step"]): r["yhat"] for r in got.collect()} == {(3, 0): 1.0, (3, 1): 9.0, (3, 6): 3.0, (3, 7): 5.0, (4, 1): 9.0, (4, 6): 4.0, (4, 7): 5.0}
+
+
+def test_jitter_of_flat_models_alone(spark):
+    rows = [(m, t, s, 5.0 if m == 1 else float(10 * t + s)) for m in (1, 2) for t in (1, 2) for s in range(4)]
+    df = spark.createDataFrame(rows, "model_id bigint, turb_id bigint, step bigint, yhat double")
+    out = blend.add_jitter(df, only_if_flat=0.01, by=("model_id",))
+    assert out.columns == df.columns
+    moved = {(r["model_id"], r["turb_id"], r["step"]) for r in out.exceptAll(df).collect()}
+    assert moved == {(1, t, s) for t in (1, 2) for s in range(4)}
+
+
+def test_conjugate_gradients_equal_a_dense_solve():
+    rng = np.random.default_rng(2)
+    on = rng.random((40, 90)) < 0.2
+    on[0], on[1] = True, on[2]
+    group, turbine = np.nonzero(on)
+    right = rng.normal(size=(7, 40)) * 100
+    right[3], right[4, 5] = 0, np.nan
+    got = hierarchy.conjugate_gradients(group, turbine, 90, right)
+    want = np.linalg.solve(on.astype(float) @ on.T + np.eye(40), right.T).T
+    assert np.isnan(got[4]).all() and np.allclose(np.delete(got, 4, 0), np.delete(want, 4, 0), rtol=1e-9, atol=1e-9)
+
+
 def test_short_leg(data):
     rows = fc.short_leg_rows(data.panel, data.curve, data.angle, SETTINGS)
     assert rows.count() == 5 * 720

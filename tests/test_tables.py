@@ -159,6 +159,25 @@ def test_read_panel_csv(spark, tmp_path):
     assert src.read_angle(spark, str(angle)).collect()[0].asDict() == {"diff_angle": -35.0, "turb_id": 1}
 
 
+def test_dimensions_are_checked_before_they_are_joined(spark, tmp_path):
+    def curve(*lines):
+        path = tmp_path / f"curve-{len(list(tmp_path.iterdir()))}.csv"
+        path.write_text("beta,TurbID,a,b,mx\n" + "\n".join(lines))
+        return str(path)
+
+    turbines = spark.createDataFrame([(1,), (2,), (2,)], "turb_id bigint")
+    whole = curve("1.9,1,19.0,0.001,1550", "1.8,2,20.0,0.001,1560")
+    assert sorted(r["beta"] for r in src.read_curve(spark, whole, turbines).collect()) == [1.8, 1.9]
+    for lines, said in (
+        (["1.9,1,19.0,0.001,1550", "1.8,1,20.0,0.001,1560"], "1 rows repeat a turb_id"),
+        (["1.9,1,19.0,0.001,1550"], "1 turbines have no row"),
+        (["1.9,1,19.0,0.001,", "1.8,2,20.0,0.001,1560"], "1 rows lack"),
+        (["1.9,,19.0,0.001,1"], "1 rows lack"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            src.read_curve(spark, curve(*lines), turbines)
+
+
 def test_day_filter_reaches_the_scan_and_splits_are_pruned(spark, tmp_path):
     spark.createDataFrame([(1, 1, 2.0), (1, 20, 3.0)], "TurbID bigint, Day bigint, Patv double").write.parquet(str(tmp_path / "p"))
     plan = src.read_panel(spark, str(tmp_path / "p"), "parquet", 14).select("turb_id", "patv")
