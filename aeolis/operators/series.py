@@ -33,6 +33,7 @@ AUTOCORR_LAGS = tuple(range(1, 10))
 ENTROPY_BINS = (3, 5)
 CROSSING_LEVELS = (0, 1)
 AR_ORDER = 10
+AR_CUT = 1e-10
 MASS_SHARE = 0.4
 FLAT = 1e-8
 TIE = 1e-12
@@ -179,20 +180,38 @@ def longest_above_mean(w: np.ndarray) -> dict[str, np.ndarray]:
     return {"longest_strike_above_mean": (at - last_below).max(axis=1).astype(float)}
 
 
-def ar_coefficient(w: np.ndarray) -> dict[str, np.ndarray]:
-    """Lag-1 weight of the least-squares regression on a constant and ten lags."""
+def ar_fit(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the least-squares regression of each window on a constant and its ten lags, the farthest lag first, and how
+    far the normal equations are from being met.
+
+    The window is centred and scaled to a deviation of one first. Directions whose eigenvalue lies below ``AR_CUT`` of the largest don't
+    count: of all solutions of such a window, that of the smallest weights. Every window is solved by itself, whatever its batch.
+    """
     centred = w - w.mean(axis=1, keepdims=True)
-    lagged = np.lib.stride_tricks.sliding_window_view(centred, AR_ORDER + 1, axis=1)
-    design = np.concatenate([np.ones((*lagged.shape[:2], 1)), lagged], axis=2)
-    gram = design.transpose(0, 2, 1) @ design
-    weight = np.full(len(w), np.nan)
     moving = centred.var(axis=1) > FLAT
-    left, right = gram[moving, :-1, :-1], gram[moving, :-1, -1:]
-    try:
-        weight[moving] = np.linalg.solve(left, right)[:, -1, 0]
-    except np.linalg.LinAlgError:
-        weight[moving] = (np.linalg.pinv(left, hermitian=True) @ right)[:, -1, 0]
-    return {f"ar_coefficient__coeff_1__k_{AR_ORDER}": weight}
+    weight, off = np.full((len(w), AR_ORDER + 1), np.nan), np.full(len(w), np.nan)
+    unit = centred[moving] / np.sqrt(centred[moving].var(axis=1, keepdims=True))
+    lagged = np.lib.stride_tricks.sliding_window_view(unit, AR_ORDER + 1, axis=1)
+    n = lagged.shape[1]
+    # Products of the constant and the lags, without the design itself: sums of products of shifted views.
+    gram, right = np.empty((len(unit), AR_ORDER + 1, AR_ORDER + 1)), np.empty((len(unit), AR_ORDER + 1))
+    gram[:, 0, 0], right[:, 0] = n, lagged[:, :, AR_ORDER].sum(axis=1)
+    for i in range(AR_ORDER):
+        gram[:, 0, i + 1] = gram[:, i + 1, 0] = lagged[:, :, i].sum(axis=1)
+        right[:, i + 1] = np.einsum("ij,ij->i", lagged[:, :, i], lagged[:, :, AR_ORDER])
+        for j in range(i, AR_ORDER):
+            gram[:, i + 1, j + 1] = gram[:, j + 1, i + 1] = np.einsum("ij,ij->i", lagged[:, :, i], lagged[:, :, j])
+    size, axes = np.linalg.eigh(gram)
+    back = np.where(size > AR_CUT * size[:, -1:], 1 / np.where(size > 0, size, 1), 0.0)
+    solved = np.einsum("nij,nj,nkj,nk->ni", axes, back, axes, right, optimize=True)
+    weight[moving] = solved
+    off[moving] = np.abs(np.einsum("nij,nj->ni", gram, solved) - right).max(axis=1, initial=0) / n
+    return weight, off
+
+
+def ar_coefficient(w: np.ndarray) -> dict[str, np.ndarray]:
+    """Lag-1 weight of the regression on a constant and ten lags (:func:`ar_fit`)."""
+    return {f"ar_coefficient__coeff_1__k_{AR_ORDER}": ar_fit(w)[0][:, -1]}
 
 
 def index_mass_quantile(w: np.ndarray) -> dict[str, np.ndarray]:

@@ -24,6 +24,8 @@ from aeolis.sources.panel import MEASURES
 STEPS_PER_DAY = 24
 H = 24
 W = 96
+#: Window of the series features, as the stored models have it.
+SERIES = 432
 LOOKBACK = 10
 FADE = 8
 VALID_DAYS = 5
@@ -105,9 +107,9 @@ WHERE step < output_len GROUP BY model_id""",
   ELSE 144 END AS BIGINT) AS seg_start, output_len AS seg_end FROM lengths""",
     "pool": f"""SELECT {BUCKET} AS ws_bucket,
   row_number() OVER (PARTITION BY {BUCKET} ORDER BY turb_id, slot) - 1 AS rn, patv FROM masked WHERE mask = 1""",
-    "series": f"""SELECT e.turb_id, e.slot AS time, s.slot - e.slot + {W - 1} AS i, coalesce(s.patv, 0) AS x
-FROM full_panel e JOIN full_panel s ON s.turb_id = e.turb_id AND s.slot BETWEEN e.slot - {W - 1} AND e.slot
-WHERE e.slot >= {W - 1}""",
+    "series": f"""SELECT e.turb_id, e.slot AS time, s.slot - e.slot + {SERIES - 1} AS i, coalesce(s.patv, 0) AS x
+FROM full_panel e JOIN full_panel s ON s.turb_id = e.turb_id AND s.slot BETWEEN e.slot - {SERIES - 1} AND e.slot
+WHERE e.slot >= {SERIES - 1}""",
 }
 
 

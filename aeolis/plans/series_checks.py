@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from aeolis.operators import series as se
-from aeolis.plans.fixture import W
+from aeolis.plans.fixture import SERIES as W
 from aeolis.plans.registry import ENTRIES, query
 
 KEY = ("turb_id", "time")
@@ -85,9 +85,10 @@ FFT_SQL = "SELECT turb_id, time, " + ", ".join(
     f"AS patv__fft_coefficient__attr_abs__coeff_{c}"
     for c in COEFFS
 ) + " FROM series GROUP BY turb_id, time"
-SPECTRUM = f"""SELECT turb_id, time, k, sqrt(pow(sum(x * cos({2 * math.pi / W!r} * k * i)), 2)
-+ pow(sum(x * sin({2 * math.pi / W!r} * k * i)), 2)) AS s FROM series, (SELECT unnest(range(0, {W // 2 + 1})) AS k) f
-GROUP BY turb_id, time, k"""
+# The angles are looked up: there are only as many as steps in a window.
+TURN = f"""SELECT m, cos({2 * math.pi / W!r} * m) AS co, sin({2 * math.pi / W!r} * m) AS si FROM (SELECT unnest(range(0, {W})) AS m) t"""
+SPECTRUM = f"""SELECT turb_id, time, k, sqrt(pow(sum(x * co), 2) + pow(sum(x * si), 2)) AS s FROM series,
+(SELECT unnest(range(0, {W // 2 + 1})) AS k) f, ({TURN}) a WHERE a.m = (f.k * i) % {W} GROUP BY turb_id, time, k"""
 
 
 @query("ts_fft_abs", FFT_SQL, _names(FFT_SQL), 5)
@@ -110,15 +111,25 @@ def _(d):
     return out.select(*KEY, *[c for c in out.columns if "aggregated" in c])
 
 
+SEGMENT = min(W, 256)
+STARTS = list(range(0, W - SEGMENT + 1, SEGMENT - SEGMENT // 2))
+
+
 def _entropy_sql() -> str:
-    tapered = f"(x - mu) * (0.5 - 0.5 * cos({2 * math.pi / W!r} * i))"
-    tap = f"SELECT turb_id, time, i, {tapered} AS v FROM (SELECT *, avg(x) OVER (PARTITION BY turb_id, time) AS mu FROM series) s"
-    power = f"""SELECT turb_id, time, k, (CASE WHEN k = 0 OR k = {W // 2} THEN 1 ELSE 2 END) *
-(pow(sum(v * cos({2 * math.pi / W!r} * k * i)), 2) + pow(sum(v * sin({2 * math.pi / W!r} * k * i)), 2)) AS s
-FROM ({tap}) t, (SELECT unnest(range(0, {W // 2 + 1})) AS k) f GROUP BY turb_id, time, k"""
+    """Half-overlapping segments, each with its own mean removed and tapered; their powers are added up."""
+    cut = f"""SELECT turb_id, time, b AS part, i - b AS i, x FROM series, (SELECT unnest({STARTS}) AS b) s WHERE i >= b AND i < b + {SEGMENT}"""
+    tapered = f"(x - mu) * (0.5 - 0.5 * cos({2 * math.pi / SEGMENT!r} * i))"
+    tap = f"SELECT turb_id, time, part, i, {tapered} AS v FROM (SELECT *, avg(x) OVER (PARTITION BY turb_id, time, part) AS mu FROM ({cut}) c) s"
+    half = SEGMENT // 2
+    # The angles are looked up: there are only as many as steps in a segment.
+    turn = f"SELECT unnest(range(0, {SEGMENT})) AS m"
+    table = f"SELECT m, cos({2 * math.pi / SEGMENT!r} * m) AS co, sin({2 * math.pi / SEGMENT!r} * m) AS si FROM ({turn}) m"
+    one = f"""SELECT turb_id, time, part, k, pow(sum(v * co), 2) + pow(sum(v * si), 2) AS s FROM ({tap}) t,
+(SELECT unnest(range(0, {half + 1})) AS k) f, ({table}) a WHERE a.m = (f.k * t.i) % {SEGMENT} GROUP BY turb_id, time, part, k"""
+    power = f"SELECT turb_id, time, k, (CASE WHEN k = 0 OR k = {half} THEN 1 ELSE 2 END) * sum(s) AS s FROM ({one}) o GROUP BY turb_id, time, k"
     rel = f"""SELECT turb_id, time, s / max(s) OVER w AS r, min(s) OVER w / max(s) OVER w AS lo FROM ({power}) p
 WINDOW w AS (PARTITION BY turb_id, time)"""
-    counts = f"""SELECT turb_id, time, nb, least(floor((r - lo) / (1 - lo) * nb), nb - 1) AS bin, count(*) / {W // 2 + 1}e0 AS p
+    counts = f"""SELECT turb_id, time, nb, least(floor((r - lo) / (1 - lo) * nb), nb - 1) AS bin, count(*) / {half + 1}e0 AS p
 FROM ({rel}) r, (SELECT unnest([3, 5]) AS nb) b GROUP BY turb_id, time, nb, bin"""
     return f"""SELECT turb_id, time, -sum(p * ln(p)) FILTER (WHERE nb = 3) AS patv__fourier_entropy__bins_3,
 -sum(p * ln(p)) FILTER (WHERE nb = 5) AS patv__fourier_entropy__bins_5 FROM ({counts}) c GROUP BY turb_id, time"""
@@ -171,6 +182,10 @@ GROUP BY turb_id, time, grp) b GROUP BY turb_id, time""",
     "patv__longest_strike_above_mean",
 )(_windowed(se.longest_above_mean))
 query("ts_ar_coefficient")(_windowed(se.ar_coefficient))
+# How far the normal equations of each window's regression are from being met.
+query("ts_ar_normal", "SELECT DISTINCT turb_id, time, 0e0 AS patv__off FROM series", "patv__off", 5)(
+    _windowed(lambda w: {"off": se.ar_fit(w)[1]})
+)
 
 DOF = W - 2
 P_SUM = f"""(SELECT sum(CASE WHEN k = 0 THEN 1 ELSE exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(c2, k) END)
@@ -195,15 +210,14 @@ FROM (SELECT turb_id, time, i, sum(abs(x)) OVER (PARTITION BY turb_id, time ORDE
 PARTS = (
     "ts_change_quantiles", "ts_fft_abs", "ts_fft_moments", "ts_fourier_entropy", "ts_autocorrelation", "ts_partial_autocorr",
     "ts_number_crossing", "ts_last_max_location", "ts_cid_ce", "ts_longest_above_mean", "ts_index_mass_quantile",
+    "ts_trend_pvalue",
 )
-ALL_SQL = "SELECT * FROM " + " JOIN ".join(
+ALL_SQL = "SELECT * EXCLUDE (patv__linear_trend__statistic) FROM " + " JOIN ".join(
     f"({ENTRIES[part].sql}) p{i}" + (" USING (turb_id, time)" if i else "") for i, part in enumerate(PARTS)
 )
 
 
-@query("series_features", ALL_SQL, " ".join(c for part in PARTS for c in ENTRIES[part].num), 4)
+@query("series_features", ALL_SQL, " ".join(c for part in PARTS for c in ENTRIES[part].num if "statistic" not in c), 4)
 def _(d):
-    # the two features with statements of their own (or none) are left out here
-    return se.series_features(_rows(d), W).drop(
-        "patv__ar_coefficient__coeff_1__k_10", "patv__linear_trend__attr_pvalue"
-    )
+    # the regression on ten lags has no statement; its normal equations have (ts_ar_normal)
+    return se.series_features(_rows(d), W).drop("patv__ar_coefficient__coeff_1__k_10")

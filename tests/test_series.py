@@ -123,3 +123,21 @@ def test_student_tail(dof):
         grid = np.linspace(-abs(t), abs(t), 400_001)
         want = 1 - np.trapezoid(c * (1 + grid**2 / dof) ** (-(dof + 1) / 2), grid)
         assert se.two_sided_p(np.array([t]), dof)[0] == pytest.approx(want, abs=1e-8)
+
+
+def test_regression_on_lags_of_any_window():
+    """Full rank: ordinary least squares. Too little rank: the smallest weights, whatever other windows are in the batch."""
+    rng = np.random.default_rng(4)
+    w = rng.normal(500, 200, (6, 96))
+    w[1], w[2], w[4] = np.tile([1.0, 2.0], 48), 7.0, np.tile([0.0, 3.0, 5.0, 1.0], 24)
+    weight, off = se.ar_fit(w)
+    for i in (0, 3, 5):
+        lags = np.lib.stride_tricks.sliding_window_view(w[i] - w[i].mean(), 11)
+        design = np.column_stack([np.ones(len(lags)), lags[:, :10]])
+        want = np.linalg.lstsq(design, lags[:, 10], rcond=None)[0]
+        np.testing.assert_allclose(weight[i, 1:], want[1:], rtol=1e-8, atol=1e-10)
+    # 1, 2, 1, 2: every other lag has the same weight of a fifth, of either sign by parity, a tenth each.
+    np.testing.assert_allclose(weight[1, 1:], [0.1, -0.1] * 5, atol=1e-9)
+    assert np.isnan(weight[2]).all() and np.nanmax(off) < 1e-9
+    for i in range(6):
+        np.testing.assert_array_equal(se.ar_fit(w[i : i + 1])[0][0], weight[i])
