@@ -235,6 +235,21 @@ def linear_trend(w: np.ndarray) -> dict[str, np.ndarray]:
     return {"linear_trend__statistic": t, "linear_trend__attr_pvalue": two_sided_p(t, n - 2)}
 
 
+def stepwise(w: np.ndarray) -> dict[str, np.ndarray]:
+    """Crossings, place of the last maximum and complexity, as :func:`summed_features` has them."""
+    n = w.shape[1]
+    out = {}
+    for m in CROSSING_LEVELS:
+        above = w > m
+        out[f"number_crossing_m__m_{m}"] = (above[:, 1:] != above[:, :-1]).sum(axis=1).astype(float)
+    out["last_location_of_maximum"] = (n - w[:, ::-1].argmax(axis=1)) / n
+    step = np.diff(w, axis=1)
+    size, var = np.sqrt(np.einsum("ij,ij->i", step, step)), w.var(axis=1)
+    out["cid_ce__normalize_false"] = size
+    out["cid_ce__normalize_true"] = np.where(var > FLAT, size / np.sqrt(np.where(var > FLAT, var, 1.0)), 0.0)
+    return out
+
+
 WINDOW_FEATURES = (
     linear_trend,
     autocorrelation,
@@ -288,12 +303,9 @@ def window_features(
 def series_features(
     df: DataFrame, width: int, col: str = "patv", entity: Sequence[str] = ENTITY, pos: str = "time", size: int = 2048
 ) -> DataFrame:
-    """All series features per (entity, pos); rows before the first full window are left out."""
-    summed = summed_features(df.select(*entity, pos, col), width, col, entity, pos).drop(col)
-    windowed = window_features(df, width, col=col, entity=entity, pos=pos, size=size).drop(
-        f"{col}__linear_trend__statistic"
-    )
-    return windowed.join(summed, [*entity, pos])
+    """All series features per (entity, pos), in one exchange; rows before the first full window are left out."""
+    windowed = window_features(df, width, (*WINDOW_FEATURES, stepwise), col, entity, pos, size)
+    return windowed.drop(f"{col}__linear_trend__statistic")
 
 
 def series_windows(

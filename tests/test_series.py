@@ -141,3 +141,10 @@ def test_regression_on_lags_of_any_window():
     assert np.isnan(weight[2]).all() and np.nanmax(off) < 1e-9
     for i in range(6):
         np.testing.assert_array_equal(se.ar_fit(w[i : i + 1])[0][0], weight[i])
+
+
+def test_all_features_take_one_exchange(spark):
+    df = spark.createDataFrame([(1, i, float(i % 50)) for i in range(600)], "turb_id bigint, time bigint, patv double")
+    out = se.series_features(df, 96)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and len(out.columns) == 2 + 47
