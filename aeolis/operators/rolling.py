@@ -129,6 +129,11 @@ def trailing(
     return out.withColumns(results).drop(*heads)
 
 
+def roll_block(block: pd.DataFrame, specs: Mapping[str, tuple[str, str, int]]) -> dict[str, pd.Series]:
+    """Trailing statistics of a sorted block that holds its halo."""
+    return {o: getattr(block[c].astype("float64").rolling(n), stat)() for o, (stat, c, n) in specs.items()}
+
+
 def trailing_arrow(
     df: DataFrame,
     specs: Mapping[str, tuple[str, str, int]],
@@ -148,16 +153,20 @@ def trailing_arrow(
     fields = [f for f in haloed.schema.fields if f.name not in ("_blk", "_own")]
     schema = T.StructType([*fields, *[T.StructField(o, T.DoubleType()) for o in specs]])
     kept = [f.name for f in fields]
-    wanted = list(specs.items())
 
     def roll(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(pos, kind="stable")
-        new = {o: getattr(block[c].astype("float64").rolling(n), stat)() for o, (stat, c, n) in wanted}
-        return block[kept].assign(**new)[block["_own"].to_numpy()]
+        return block[kept].assign(**roll_block(block, specs))[block["_own"].to_numpy()]
 
     return spread(haloed, *entity, "_blk").groupBy(*entity, "_blk").applyInPandas(roll, schema)
 
 
+def bundle_specs(features: Sequence[str], widths: Sequence[int]) -> dict[str, tuple[str, str, int]]:
+    """Feature x window x statistic product: mean, max, min, variance and median."""
+    labels = {"mean": "mean", "amax": "max", "amin": "min", "var": "var", "median": "median"}
+    return {f"win{n}_{label}_{f}": (stat, f, n) for n in widths for f in features for label, stat in labels.items()}
+
+
 def roll_bundle(
     df: DataFrame,
     features: Sequence[str],
@@ -166,12 +175,8 @@ def roll_bundle(
     pos: str = "time",
     size: int = BLOCK,
 ) -> DataFrame:
-    """Feature x window x statistic product: mean, max, min, variance and median."""
-    labels = {"mean": "mean", "amax": "max", "amin": "min", "var": "var", "median": "median"}
-    specs = {
-        f"win{n}_{label}_{f}": (stat, f, n) for n in widths for f in features for label, stat in labels.items()
-    }
-    return trailing_arrow(df, specs, entity, pos, size)
+    """:func:`bundle_specs` for every row, in one pass."""
+    return trailing_arrow(df, bundle_specs(features, widths), entity, pos, size)
 
 
 def seasonal_residual(

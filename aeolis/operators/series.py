@@ -10,12 +10,10 @@ Missing power counts as zero. Two paths, both on bounded (turbine, block) groups
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +21,6 @@ from pyspark.sql import types as T
 from aeolis.operators.blocks import BLOCK, ENTITY, spread, with_halo
 from aeolis.operators.rolling import trailing
 
-# Executors get these helpers inside the task, whether or not the package is installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Feature parameters of the stored models (fixed lists).
 LOW_QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8)
 FFT_COEFFICIENTS = (1, 7, 11, 16, 22, 33, 45, 58, 61, 63, 79, 85, 89, 90, 93, 94, 96, 97, 98)
@@ -262,10 +257,34 @@ WINDOW_FEATURES = (
 )
 
 
+SERIES_FEATURES = (*WINDOW_FEATURES, stepwise)
+Features = Sequence[Callable[[np.ndarray], dict[str, np.ndarray]]]
+
+
+def feature_names(features: Features, width: int) -> list[str]:
+    probe = np.arange(2.0 * width).reshape(2, width)
+    return [n for f in features for n in f(probe)]
+
+
+def strided_features(power: pd.Series, width: int, starts: np.ndarray, features: Features) -> dict[str, np.ndarray]:
+    """Features of the windows that begin at ``starts`` of a sorted block, a bounded number of windows at a time."""
+    parts: dict[str, list[np.ndarray]] = {n: [] for n in feature_names(features, width)}
+    if not len(starts):
+        return {n: np.empty(0) for n in parts}
+    views = np.lib.stride_tricks.sliding_window_view(power.fillna(0.0).to_numpy(dtype=float), width)
+    batch = max(1, 2**17 // width)
+    for at in range(0, len(starts), batch):
+        w = views[starts[at : at + batch]]
+        for f in features:
+            for name, v in f(w).items():
+                parts[name].append(v)
+    return {n: np.concatenate(v) for n, v in parts.items()}
+
+
 def window_features(
     df: DataFrame,
     width: int,
-    features: Sequence[Callable[[np.ndarray], dict[str, np.ndarray]]] = WINDOW_FEATURES,
+    features: Features = WINDOW_FEATURES,
     col: str = "patv",
     entity: Sequence[str] = ENTITY,
     pos: str = "time",
@@ -273,13 +292,11 @@ def window_features(
     stride: int = 1,
 ) -> DataFrame:
     """(entity, pos, features) for every ``stride``-th end time with a full window."""
-    probe = np.arange(2.0 * width).reshape(2, width)
-    names = [n for f in features for n in f(probe)]
+    names = feature_names(features, width)
     narrow = with_halo(df.select(*entity, pos, F.col(col).cast("double").alias(col)), pos, size, back=width - 1)
     keys = [f for f in narrow.schema.fields if f.name in (*entity, pos)]
     schema = T.StructType([*keys, *[T.StructField(f"{col}__{n}", T.DoubleType()) for n in names]])
     kept = [f.name for f in keys]
-    batch = max(1, 2**17 // width)
 
     def compute(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(pos, kind="stable")
@@ -287,15 +304,8 @@ def window_features(
         chosen = np.flatnonzero(ends["_own"].to_numpy() & ((ends[pos].to_numpy() - (width - 1)) % stride == 0))
         if not len(chosen):
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        values = block[col].fillna(0.0).to_numpy(dtype=float)
-        views = np.lib.stride_tricks.sliding_window_view(values, width)
-        parts: dict[str, list[np.ndarray]] = {n: [] for n in names}
-        for at in range(0, len(chosen), batch):
-            w = views[chosen[at : at + batch]]
-            for f in features:
-                for name, v in f(w).items():
-                    parts[name].append(v)
-        return ends.iloc[chosen][kept].assign(**{f"{col}__{n}": np.concatenate(v) for n, v in parts.items()})
+        new = strided_features(block[col], width, chosen, features)
+        return ends.iloc[chosen][kept].assign(**{f"{col}__{n}": v for n, v in new.items()})
 
     return spread(narrow, *entity, "_blk").groupBy(*entity, "_blk").applyInPandas(compute, schema)
 
@@ -304,7 +314,7 @@ def series_features(
     df: DataFrame, width: int, col: str = "patv", entity: Sequence[str] = ENTITY, pos: str = "time", size: int = 2048
 ) -> DataFrame:
     """All series features per (entity, pos), in one exchange; rows before the first full window are left out."""
-    windowed = window_features(df, width, (*WINDOW_FEATURES, stepwise), col, entity, pos, size)
+    windowed = window_features(df, width, SERIES_FEATURES, col, entity, pos, size)
     return windowed.drop(f"{col}__linear_trend__statistic")
 
 

@@ -17,8 +17,7 @@ from aeolis.operators import blend, farm, gaps, hierarchy, metrics, models, repa
 from aeolis.operators import segments as segments_
 from aeolis.operators.blocks import from_end, neighbours, step_index
 from aeolis.operators.boosting import Booster
-from aeolis.operators.rolling import roll_bundle
-from aeolis.operators.series import series_features
+from aeolis.operators.feature_blocks import long_leg_blocks
 from aeolis.session import stage
 from aeolis.settings import ROLL_FEATURES, SEGMENTS, PanelSettings
 from aeolis.sources.panel import MEASURES
@@ -103,14 +102,8 @@ def long_leg_features(
     """All features, target and split of the long-horizon leg, not yet scaled."""
     base = repaired_panel(panel, boosting, settings.steps_per_day, repair_model, repair_nodes)
     base = stage(sc.with_wind_angle(sc.with_residual(sc.with_curve(base, curve)), angle), "basis")
-    rolled = roll_bundle(base, ROLL_FEATURES, [settings.roll])
-    rolled = rolled.withColumn("seasonal_patv", F.col("patv") - F.col(f"win{settings.roll}_mean_patv"))
-    series = series_features(base, settings.series)
-    # the inner join drops the warm-up rows, which have no full series window
-    joined = rolled.join(series, KEYS)
-    labels = split_scale.with_label(base.select(*KEYS, "patv", "abnormal"), settings.horizon).drop("patv")
-    labelled = joined.drop("abnormal").join(labels, KEYS)
-    kept = split_scale.drop_warmup(labelled, settings.series - 1)
+    # rows without a full series window are the warm-up
+    kept = long_leg_blocks(base, ROLL_FEATURES, settings.roll, settings.series, settings.horizon)
     return split_scale.split_by_day(stage(kept, "features"), settings.valid_days, settings.test_days, online)
 
 

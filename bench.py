@@ -33,7 +33,7 @@ def build(spark, sf_dir):
     grid = stage(d.full_panel, "bench-grid").withColumn("time", F.col("slot"))
     basis = stage(d.basis, "bench-basis")
     evaluated = stage(d.evaluated, "bench-evaluated")
-    settings = PanelSettings(steps_per_day=24, horizon=24, roll=24, series=96, valid_days=5, test_days=5)
+    settings = PanelSettings(steps_per_day=24, horizon=HORIZON, roll=ROLL, series=SERIES, valid_days=5, test_days=5)
     boosting = fc.Boosting(rounds=5, rate=0.3, leaves=8)
     power = grid.select("turb_id", "time", "patv")
     return {
