@@ -170,10 +170,11 @@ def _wave(blocks: DataFrame, trees: list[Tree], tree: Tree, leaves: list[int], u
     """The best split of each leaf and, with the root, the errors of the ensemble so far."""
     spark = blocks.sparkSession
     cols, width = len(sizes), max(sizes)
-    state = spark.sparkContext.broadcast((trees, tree))
+    # plain lists and arrays: unlike the tasks' functions, broadcast values can't bring their classes along
+    state = spark.sparkContext.broadcast([t.nodes for t in (*trees, tree)])
 
     def add(batches):
-        done, current = state.value
+        *done, current = [Tree(nodes) for nodes in state.value]
         g = np.zeros((len(leaves), cols, width), np.int64)
         n = np.zeros_like(g)
         errors = np.zeros((2, 2))
@@ -317,14 +318,15 @@ def fit(
 
 
 def _advance(blocks: DataFrame, trees: list[Tree], cols: int) -> DataFrame:
-    state = blocks.sparkSession.sparkContext.broadcast(trees)
+    state = blocks.sparkSession.sparkContext.broadcast([t.nodes for t in trees])
 
     def add(batches):
+        done = [Tree(nodes) for nodes in state.value]
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
                 codes, _, _, _, score = _unpack(row, cols)
-                row["score"] = (score + sum(t.value(codes) for t in state.value)).tobytes()
+                row["score"] = (score + sum(t.value(codes) for t in done)).tobytes()
             yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
     return stage(blocks.mapInArrow(add, BLOCK_SCHEMA), "boost-rows")

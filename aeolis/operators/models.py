@@ -209,14 +209,16 @@ def score_tree_table(df: DataFrame, nodes: DataFrame, keys: Sequence[str], most:
 def _scored(df: DataFrame, table: NodeTable, keys: Sequence[str]) -> DataFrame:
     inputs = [f"_x{i}" for i in range(len(table.names))]
     rows = df.select(*keys, *[F.col(c).cast("double").alias(x) for c, x in zip(table.names, inputs)])
-    held = df.sparkSession.sparkContext.broadcast(table)
+    # plain arrays: unlike the tasks' functions, broadcast values can't bring their classes along
+    held = df.sparkSession.sparkContext.broadcast(vars(table))
 
     def run(batches):
+        stored = NodeTable(**held.value)
         for b in batches:
             x = np.full((b.num_rows, max(1, len(inputs))), np.nan)
             for i, c in enumerate(inputs):
                 x[:, i] = b[c].to_numpy(zero_copy_only=False)
-            ids, scores = held.value.score(x)
+            ids, scores = stored.score(x)
             again = pa.array(np.repeat(np.arange(b.num_rows), len(ids)))
             cols = [b[k].take(again) for k in keys]
             yield pa.record_batch(
@@ -229,11 +231,11 @@ def _scored(df: DataFrame, table: NodeTable, keys: Sequence[str]) -> DataFrame:
 
 
 def _with_mean(df: DataFrame, table: NodeTable, out: str) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(table)
+    held = df.sparkSession.sparkContext.broadcast(vars(table))
 
     @F.pandas_udf("double")
     def mean(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(held.value.score(x.to_numpy(dtype=float, na_value=np.nan))[1].mean(axis=1))
+        return pd.Series(NodeTable(**held.value).score(x.to_numpy(dtype=float, na_value=np.nan))[1].mean(axis=1))
 
     inputs = [F.col(c).cast("double").alias(c) for c in table.names] or [F.lit(0.0).alias("none")]
     return df.withColumn(out, mean(F.struct(*inputs)))
