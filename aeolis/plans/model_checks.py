@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aeolis.functions import scalar as sc
-from aeolis.operators import blend, farm, hierarchy, metrics, models, repair, segments, split_scale
+from aeolis.operators import blend, farm, hierarchy, metrics, models, repair, sample_scale, segments, split_scale
 from aeolis.plans.fixture import ABNORMAL, CURVE_F, FADE, LOOKBACK, STEPS, TEST_DAYS, VALID_DAYS, H
 from aeolis.plans.registry import query
 from aeolis.session import shared_dir, stage
@@ -84,17 +84,65 @@ def _(d):
     return split_scale.standardize(series, split_scale.scaler_fit(series, chosen, (), population=True), chosen, ())
 
 
-@query("adaptive_norm", f"""WITH t AS (SELECT slot, count(patv) AS n, sum(patv) AS s, sum(patv * patv) AS q FROM masked GROUP BY slot),
+ADAPTIVE_SQL = f"""WITH t AS (SELECT slot, count(patv) AS n, sum(patv) AS s, sum(patv * patv) AS q FROM masked GROUP BY slot),
 b AS (SELECT slot, sum(s) OVER w / sum(n) OVER w AS m, sqrt(sum(q) OVER w / sum(n) OVER w - pow(sum(s) OVER w / sum(n) OVER w, 2)) AS sd,
   count(*) OVER w AS k, sum(n) OVER w AS n FROM t WINDOW w AS (ORDER BY slot ROWS {IN - 1} PRECEDING)),
 g AS (SELECT group_id, slot, coalesce(sum(patv), 0) AS y FROM masked JOIN hier USING (turb_id) GROUP BY group_id, slot),
 u AS (SELECT group_id, slot, stddev_pop(y) OVER (PARTITION BY group_id ORDER BY slot ROWS {IN - 1} PRECEDING) AS sd FROM g)
 SELECT slot, 'base' AS node, m AS mean, sd AS std FROM b WHERE k = {IN} AND n > 0
 UNION ALL SELECT b.slot, u.group_id, c.k * b.m, u.sd FROM b JOIN u ON u.slot = b.slot
-JOIN (SELECT group_id, count(*) AS k FROM hier GROUP BY group_id) c ON c.group_id = u.group_id WHERE b.k = {IN} AND b.n > 0""", "mean std", 4)
+JOIN (SELECT group_id, count(*) AS k FROM hier GROUP BY group_id) c ON c.group_id = u.group_id WHERE b.k = {IN} AND b.n > 0"""
+
+
+def _farmed_power(d):
+    return d.masked.withColumn("farm_id", F.lit(1)).select("farm_id", *KEY, "patv")
+
+
+@query("adaptive_norm", ADAPTIVE_SQL, "mean std", 4)
+def _(d):
+    return split_scale.adaptive_norm(_farmed_power(d), d.hier, IN).drop("farm_id")
+
+
+def _scaled_sql(key, series, norm):
+    """Sums of the scaled samples' inputs and outputs, and sums weighted by the distance from the anchor."""
+    z = "(v.x - n.mean) / nullif(n.std, 0)"
+    return f"""SELECT {", ".join("v." + k for k in key)}, n.slot AS anchor, v.slot > n.slot AS future, sum({z}) AS total,
+sum({z} * (v.slot - n.slot)) AS moment, count({z}) AS known FROM ({series}) v JOIN ({norm}) n
+ON v.norm_key = n.node AND v.slot BETWEEN n.slot - {IN - 1} AND n.slot + {OUT}
+WHERE n.slot + {OUT} <= (SELECT max(slot) FROM panel) GROUP BY ALL"""
+
+
+def _sample_sums(scaled, key):
+    return scaled.groupBy(*key, "anchor", (F.col("offset") > 0).alias("future")).agg(
+        F.sum("value").alias("total"), F.sum(F.col("value") * F.col("offset")).alias("moment"), F.count("value").alias("known")
+    )
+
+
+@query("scaled_samples", _scaled_sql(["node"], """SELECT 't' || CAST(turb_id AS VARCHAR) AS node, 'base' AS norm_key, slot, patv AS x FROM masked
+UNION ALL SELECT group_id, group_id, slot, coalesce(sum(patv), 0) FROM masked JOIN hier USING (turb_id) GROUP BY group_id, slot""", ADAPTIVE_SQL), "total moment", 4)
+def _(d):
+    """Power of turbines and groups, each sample by its own normaliser."""
+    power = _farmed_power(d)
+    base = power.select(hierarchy.node_of_turbine().alias("node"), "slot", F.col("patv").alias("value"))
+    # as in the normaliser, a step at which no turbine of a group is known counts as zero
+    groups = hierarchy.rollup(power.fillna(0.0, ["patv"]), d.hier).withColumnRenamed("patv", "value")
+    series = base.unionByName(groups.join(d.hier.select(F.col("group_id").alias("node")).distinct(), "node", "left_semi"))
+    norm = sample_scale.node_norm(power, d.hier, IN)
+    return _sample_sums(sample_scale.scale_samples(series, norm, IN, OUT, ["node"]), ["node"])
+
+
+LONG_SQL = " UNION ALL ".join(f"SELECT turb_id, '{c}' AS feature, slot, {c} AS x FROM masked" for c in ("wspd", "etmp"))
+
+
+@query("scaled_columns", _scaled_sql(["turb_id", "feature"], f"SELECT *, feature || CAST(turb_id AS VARCHAR) AS norm_key FROM ({LONG_SQL}) l",
+f"""SELECT slot, node, mean, std FROM (SELECT slot, feature || CAST(turb_id AS VARCHAR) AS node, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS std, count(*) OVER w AS k
+FROM ({LONG_SQL}) l WINDOW w AS (PARTITION BY turb_id, feature ORDER BY slot ROWS {IN - 1} PRECEDING)) s WHERE k = {IN}"""), "total moment", 4)
 def _(d):
-    values = d.masked.withColumn("farm_id", F.lit(1)).select("farm_id", *KEY, "patv")
-    return split_scale.adaptive_norm(values, d.hier, IN).drop("farm_id")
+    """Columns beside power, each sample by the statistics of its own inputs."""
+    cols, key = split_scale.scalable(["wspd", "etmp", "w_angle_sin"]), ["turb_id", "feature"]
+    rows = d.masked.select(*KEY, *cols)
+    series = rows.unpivot(list(KEY), cols, "feature", "value")
+    return _sample_sums(sample_scale.scale_samples(series, sample_scale.column_norm(rows, cols, IN), IN, OUT, key), key)
 
 
 SAMPLE_SUMS = f"""sum(patv) OVER p AS enc_sum, count(patv) OVER p AS enc_known, sum(patv) OVER n AS dec_sum,
