@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +50,36 @@ def coherence_residual(nodes: DataFrame, edges: DataFrame, col: str = "yhat", st
     return joined.groupBy(F.col("row").alias("group_id"), step).agg(F.sum(F.col("value") * F.col(col)).alias("residual"))
 
 
-#: Edges of a hierarchy that are broadcast; the relative residual at which the solver stops.
-EDGES, CLOSE = 50_000_000, 1e-13
+#: Edges of a hierarchy that are broadcast; the relative residual at which the solver stops; steps times nodes solved for at once.
+EDGES, CLOSE, CELLS = 50_000_000, 1e-13, 4_000_000
 
 
-def _sparse(edges: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-    """Groups, and each edge's group and turbine as numbers. The hierarchy is the model's definition: as large as its edges."""
+def _sparse(edges: DataFrame) -> tuple[list[str], list, np.ndarray, np.ndarray]:
+    """Groups, turbines, and each edge's group and turbine as numbers. The hierarchy is the model's definition: as large as its edges."""
     if edges.count() > EDGES:
         raise ValueError(f"a hierarchy of more than {EDGES} edges")
     t = edges.select("group_id", "turb_id").distinct().toArrow()
     groups, turbines = t["group_id"].combine_chunks().dictionary_encode(), t["turb_id"].combine_chunks().dictionary_encode()
-    return groups.dictionary.to_pylist(), groups.indices.to_numpy(), turbines.indices.to_numpy(), len(turbines.dictionary)
+    return groups.dictionary.to_pylist(), turbines.dictionary.to_pylist(), groups.indices.to_numpy(), turbines.indices.to_numpy()
 
 
-def conjugate_gradients(group: np.ndarray, turbine: np.ndarray, turbines: int, right: np.ndarray) -> np.ndarray:
-    """Solutions v of (Su Su' + I) v = r for every row r, by products with the edges alone; rows with a NaN have none."""
+def conjugate_gradients(group: np.ndarray, turbine: np.ndarray, right: np.ndarray, here: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Solutions v of (Su Su' + I) v = r for every row r, by products with the edges alone; rows with a NaN have none.
+
+    ``here`` and ``bound`` tell for every row which turbines and groups take part; Su has no others, and v is 0 for other groups.
+    """
     order = np.argsort(turbine, kind="stable")
     up = np.argsort(group[order], kind="stable")
 
     def times(v):
-        below = np.zeros((len(v), turbines))
+        below = np.zeros(here.shape)
         np.add.at(below.T, turbine[order], v.T[group[order]])
+        below *= here
         back = v.copy()
         np.add.at(back.T, group[order][up], below.T[turbine[order][up]])
-        return back
+        return back * bound
 
+    right = np.where(bound, right, 0.0)
     whole = ~np.isnan(right).any(axis=1)
     x, r = np.zeros_like(right), np.where(whole[:, None], right, 0.0)
     p, size = r.copy(), (r * r).sum(axis=1)
@@ -90,12 +96,17 @@ def conjugate_gradients(group: np.ndarray, turbine: np.ndarray, turbines: int, r
 
 
 def reconcile(
-    nodes: DataFrame, edges: DataFrame, col: str = "yhat", step: str = "step", u: str | None = None, std: str | None = None
+    nodes: DataFrame, edges: DataFrame, col: str = "yhat", step: str = "step", u: str | None = None, std: str | None = None, absent_as_zero: bool = False
 ) -> DataFrame:
     """Orthogonal projection onto coherent forecasts: y' = y - A'(A A')^-1 A y.
 
     With the columns ``u`` and ``std`` the forecasts are scaled, and (M(std * y + u) - u) / std is returned. A is sparse; the
-    residuals of a step meet in one array of the groups' length, and blocks of steps are solved for by conjugate gradients.
+    residuals of a step meet in one array of the groups' length, the turbines with a forecast in one of theirs, and blocks of steps
+    are solved for by conjugate gradients.
+
+    At each step A has the nodes with a forecast there, so that what is returned adds up; a group without a forecast, or without
+    one of any of its turbines, constrains nothing. With ``absent_as_zero`` A has all nodes at every step and absent ones count as 0;
+    their share of the correction is in no returned row, so that such steps don't add up.
     """
     raw = F.col(col)
     if std is not None:
@@ -103,20 +114,42 @@ def reconcile(
     if u is not None:
         raw = raw + F.col(u)
     level = nodes.withColumn("_level", raw)
-    names, group, turbine, turbines = _sparse(edges)
+    if not absent_as_zero:
+        level = level.where("_level IS NOT NULL")
+    names, turbines, group, turbine = _sparse(edges)
     held = nodes.sparkSession.sparkContext.broadcast((group, turbine))
     order = {g: i for i, g in enumerate(names)}
     residuals = coherence_residual(level, edges, "_level", step)
     gathered = residuals.groupBy(step).agg(F.collect_list(F.struct("group_id", "residual")).alias("r"))
+    if not absent_as_zero:
+        present = level.groupBy(step).agg(F.collect_set("node").alias("here"))
+        gathered = gathered.join(present, step)
     kind = dict(gathered.dtypes)[step]
 
+    def among(lists, values):
+        """Which of the values each list holds."""
+        out = np.zeros((len(lists), len(values)), bool)
+        at = pc.index_in(lists.flatten(), pa.array(values, pa.string()))
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        out[row[known], at.drop_null().to_numpy()] = True
+        return out
+
     def solve(batches):
-        for b in batches:
+        group, turbine = held.value
+        most = max(1, CELLS // max(len(turbines), len(names), 1))
+        for b in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
             right = np.zeros((b.num_rows, len(names)))
             for i, pairs in enumerate(b["r"].to_pylist()):
                 for p in pairs:
                     right[i, order[p["group_id"]]] = np.nan if p["residual"] is None else p["residual"]
-            found = conjugate_gradients(*held.value, turbines, right) if len(names) else right
+            here, bound = np.ones((b.num_rows, len(turbines)), bool), np.ones(right.shape, bool)
+            if not absent_as_zero:
+                here = among(b["here"], [f"t{t}" for t in turbines])
+                members = np.zeros(right.shape, np.int64)
+                np.add.at(members.T, group, here.T[turbine])
+                bound = among(b["here"], names) & (members > 0)
+            found = conjugate_gradients(group, turbine, right, here, bound) if len(names) else right
             again = pa.array(np.repeat(np.arange(b.num_rows), len(names)))
             rows = pa.array(names * b.num_rows, pa.string())
             yield pa.record_batch([rows, b[step].take(again), pa.array(found.ravel(), from_pandas=True)], ["row", step, "_v"])
@@ -124,7 +157,7 @@ def reconcile(
     v = gathered.mapInArrow(solve, f"row string, `{step}` {kind}, _v double")
     # each node meets its few matrix entries first, then the correction of that group and step: a group of all
     # turbines is never one join key for all steps
-    entries = nodes.select("node", step).join(constraint_matrix(edges).withColumnRenamed("col", "node"), "node")
+    entries = level.select("node", step).join(constraint_matrix(edges).withColumnRenamed("col", "node"), "node")
     shift = (
         entries.join(v, ["row", step])
         .groupBy("node", step)

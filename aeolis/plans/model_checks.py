@@ -230,7 +230,8 @@ SELECT 't' || CAST(turb_id AS VARCHAR) AS node, slot, patv + share AS yhat FROM
 UNION ALL SELECT 'total', slot, sum(patv) + 10 * (slot % 7) - any_value(share) FROM panel JOIN e USING (slot) GROUP BY slot""", "yhat", 4)
 def _(d):
     total = d.hier.filter("group_id = 'total'")
-    return hierarchy.reconcile(_incoherent(d, total), total, step="slot")
+    # The statement divides by all turbines, also at slots where some have no reading.
+    return hierarchy.reconcile(_incoherent(d, total), total, step="slot", absent_as_zero=True)
 
 
 @query("reconcile_residual", "SELECT DISTINCT group_id, slot, 0e0 AS residual FROM panel JOIN hier USING (turb_id)", "residual", 4)

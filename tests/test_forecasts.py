@@ -45,6 +45,25 @@ def test_reconcile_is_the_orthogonal_projection(edges, nodes):
     np.testing.assert_allclose(twice, after)
 
 
+def test_reconcile_adds_up_where_forecasts_are_missing(spark, edges, nodes):
+    """Step 0 lacks a turbine (as a row, and as NULL at step 1); step 2 lacks a group and all turbines of another."""
+    gone = {(0, "t2"), (2, "b"), (2, "t1"), (2, "t2")}
+    rows = [tuple(r) for r in nodes.collect() if (r["step"], r["node"]) not in gone]
+    rows = [(n, s, None if (s, n) == (1, "t3") else y) for n, s, y in rows]
+    frame = spark.createDataFrame(rows, "node string, step bigint, yhat double")
+    out = {(r["step"], r["node"]): r["yhat"] for r in hierarchy.reconcile(frame, edges).collect()}
+    before = {(s, n): y for n, s, y in rows}
+    assert out.keys() == before.keys() and out[1, "t3"] is None
+    assert out[2, "a"] == before[2, "a"]
+    for s in range(3):
+        there = [n for n in ["t1", "t2", "t3", "t4", "a", "b", "all"] if before.get((s, n)) is not None]
+        of = {g: [f"t{t}" for h, t in EDGES if h == g and f"t{t}" in there] for g in ("a", "b", "all") if g in there}
+        a = np.array([[(n == g) - float(n in of[g]) for n in there] for g in of if of[g]])
+        m = np.eye(len(there)) - a.T @ np.linalg.inv(a @ a.T) @ a
+        np.testing.assert_allclose([out[s, n] for n in there], m @ np.array([before[s, n] for n in there]))
+        assert all(abs(out[s, g] - sum(out[s, n] for n in of[g])) < 1e-9 for g in of if of[g])
+
+
 def test_rollup_and_mask(spark, edges):
     rows = spark.createDataFrame([(t, 0, float(t), int(t != 3)) for t in range(1, 5)], "turb_id bigint, slot bigint, patv double, mask int")
     power = {r["node"]: r["patv"] for r in hierarchy.rollup(rows, edges).collect()}
