@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from aeolis.llm.common import bound_batches, mix64, stage, text_slices
 from aeolis.session import shared_dir
 
-#: Distinct pieces of text whose ids a worker keeps; beyond, it forgets them and begins anew.
+#: Distinct pieces of text whose ids a worker keeps; beyond, it forgets all but those that it meets often.
 KEPT = 600_000
+#: A control character that stands between pieces.
+MARK = "\x01"
 #: Bytes of text that are cut at once.
 SLICE = 16 << 20
-#: White space other than single spaces and line feeds, runs of it, or white space at either end; and NUL, which marks the cuts.
-_WHOLE = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+#: White space other than single spaces and line feeds, runs of it, or white space at either end; and the characters that mark cuts and pieces.
+_WHOLE = "[\\x00\\x01\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
 #: Marks that don't follow a letter or digit, and underscores.
 _MARKS = "(?:\\A|[^\\pL\\pN])[.,]|_"
 
@@ -44,12 +46,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
-
-    def forget(self) -> None:
-        #: The pieces met; the ids of each lie in ``pool`` between two of ``ends``.
+        mark = self.tokenizer.encode(f" {MARK} ", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        #: The pieces met; the ids of each lie in ``pool`` between two of ``ends``. How often each was met.
         self.known = pa.array([], pa.string())
         self.ends, self.pool = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.met = np.empty(0, np.int64)
+
+    def _ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces, one piece behind the other, and where each begins (and the last one ends)."""
+        lists = pa.LargeListArray.from_arrays(self.ends, self.pool).take(pa.array(number))
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+    def forget(self) -> None:
+        """Keep at most half of ``KEPT``, the pieces met most often, and no piece that was met once; older meetings count half."""
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > KEPT // 2:
+            often = np.sort(often[np.argsort(-self.met[often], kind="stable")[: KEPT // 2]])
+        self.pool, self.ends = self._ids(often)
+        self.known, self.met = self.known.take(pa.array(often)), self.met[often] // 2
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_library`, for short pieces: many in a text, where a mark between white space is one id of its own."""
+        if self.mark is None:
+            return self._library(pieces)
+        between, parts = f" {MARK} ", [np.empty(0, np.uint32)]
+        for at in range(0, len(pieces), 20_000):
+            some, ids = pieces[at : at + 20_000], []
+            for e in self.tokenizer.encode_batch_fast([between.join(some[i : i + 128]) for i in range(0, len(some), 128)], add_special_tokens=False):
+                ids += e.ids
+                ids.append(self.mark)
+            parts.append(np.array(ids, np.uint32))
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(pieces):  # other characters have the mark's id
+            return self._library(pieces)
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one behind the other, and how many each has."""
@@ -63,21 +95,24 @@ class Encoder:
             parts.append(np.array(ids, np.uint32))
         return np.concatenate(parts), np.array(n, np.int64)
 
-    def _numbers(self, pieces: pa.Array) -> np.ndarray:
-        """The places of distinct pieces among the known ones; new ones are encoded."""
+    def _numbers(self, pieces: pa.Array, times: np.ndarray) -> np.ndarray:
+        """The places of distinct pieces, each met so many times, among the known ones; new ones are encoded."""
         at = pc.index_in(pieces, self.known)
         if len(self.known) + at.null_count > KEPT and len(self.known):
             self.forget()
             at = pc.index_in(pieces, self.known)
         if at.null_count:
             new = pieces.filter(pc.is_null(at))
-            ids, n = self._library(new.to_pylist())
+            ids, n = self._joined(new.to_pylist())
             fresh = pa.array(np.arange(len(self.known), len(self.known) + len(new), dtype=np.int32))
             at = pc.replace_with_mask(at, pc.is_null(at), fresh)
             self.known = pa.concat_arrays([self.known, new])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
             self.pool = np.concatenate([self.pool, ids])
-        return at.to_numpy()
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        number = at.to_numpy()
+        self.met[number] += times
+        return number
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text behind the other, and the place where each text begins (and the last one ends)."""
@@ -100,11 +135,10 @@ class Encoder:
         split = pc.replace_substring(pc.replace_substring(cut, ",\x00", "\x00,\x00"), ".\x00", "\x00.\x00")
         lists = pc.split_pattern(pc.if_else(marks, cut, split), "\x00")
         coded = lists.flatten().dictionary_encode()
-        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
-        first, size = self.ends[number], self.ends[number + 1] - self.ends[number]
-        last = np.concatenate([[0], np.cumsum(size)])
+        code = coded.indices.to_numpy()
+        number = self._numbers(coded.dictionary, np.bincount(code, minlength=len(coded.dictionary)))
+        ids, last = self._ids(number[code])
         ends = lists.offsets.to_numpy()
-        ids = self.pool[np.repeat(first - last[:-1], size) + np.arange(last[-1])]
         return ids, np.diff(last[ends - ends[0]])
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:

@@ -42,6 +42,31 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert np.frombuffer(tool.encode([text])[0], "<u4").tolist() == encode(text)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_joined_pieces_keep_their_ids(name, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 400)
+    rng = random.Random(4)
+    alphabet = ["a", "B", "é", "\u0301", "\u030c", "J", "\x01", " ", "\n", ".", "%", "'ll", "7", "Σ", "İ", "\u200d", "Ā", "</w>", "你"]
+    texts = ["".join(rng.choices(alphabet, weights=[6, 6, 3, 1, 1, 2, 0.2, 12, 2] + [1] * 10, k=rng.randint(0, 40))) for _ in range(2000)]
+    encode, tool = direct(name), tokens.Encoder(tokenizer(name))
+    for at in range(0, len(texts), 100):
+        for t, b in zip(texts[at : at + 100], tool.encode(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(b, "<u4").tolist() == encode(t), repr(t)
+
+
+def test_pieces_met_often_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 60)
+    tool, encode, seen = tokens.Encoder(tokenizer(FILES[0])), direct(FILES[0]), []
+    joined = tool._joined
+    monkeypatch.setattr(tool, "_joined", lambda pieces: seen.extend(pieces) or joined(pieces))
+    often = " ".join(f"often{chr(97 + i)}" for i in range(10))
+    for i in range(20):
+        text = f"{often} " + " ".join(f"rare{chr(97 + i)}{chr(97 + j)}" for j in range(20)) + f" {often}"
+        assert np.frombuffer(tool.encode([text])[0], "<u4").tolist() == encode(text)
+    assert all(seen.count(f" often{chr(97 + i)}") == 1 for i in range(1, 10))
+    assert len(tool.known) <= 60
+
+
 @pytest.mark.parametrize("shard_ids, index_keys", [(tokens.SHARD_IDS, tokens.INDEX_KEYS), (100, 3)])
 def test_round_trip(spark, edge, empty, edge_rows, shard_ids, index_keys):
     encode = direct(FILES[0])
