@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from aeolis.llm import suffix_tree as st
+from aeolis.session import STAGED
 
 START, END = "<s>", "</s>"
 
@@ -114,6 +115,43 @@ def test_scores_equal_a_plain_tree(spark, block, depth):
     assert depth == 1 or sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("hot, kinds", [(st.HOT, {st.PAIRS}), (40, {st.PAIRS, st.GAINS, st.CONTEXTS})])
+def test_only_contexts_of_many_parts_are_tested_apart(spark, hot, kinds):
+    """Other contexts are judged by the part that counts their pairs: neither their list nor their gains travel."""
+    rows, before = language(150), len(STAGED)
+    same(st.score(spark.createDataFrame(rows, "doc_id long, text string"), 2, 20, 0.02, 700, hot).collect(), brute(rows, 2, 20, 0.02)[0])
+    for level in (1, 2):
+        [path] = [p for p in STAGED[before:] if f"suffix-tree-counts-{level}-" in p]
+        assert {r["kind"] for r in spark.read.parquet(path).select("kind").distinct().collect()} == kinds
+
+
+def test_numbers_of_words_tell_their_counts():
+    rng = np.random.default_rng(3)
+    part = np.repeat(np.arange(4), 50)
+    n = rng.integers(0, 9, 200) ** 3
+    keys, size = np.unique(np.stack([part, n]), axis=1, return_counts=True)
+    words = st.Vocabulary(*st.vocabulary(keys[0], keys[1], size, int(n.sum()), int((n > 0).sum())))
+    serial = np.array([np.sum((part[:i] == part[i]) & (n[:i] == n[i])) for i in range(200)])
+    ids = words.number(part, n, serial)
+    assert sorted(ids) == list(range(200))
+    assert (np.diff(n[np.argsort(ids)]) <= 0).all()
+    root = np.log((n + 1.0) / (n.sum() + (n > 0).sum() + 1.0))
+    assert (words.root(ids) == st.thousandths(root)).all()
+
+
+def test_first_contexts_send_no_probabilities(spark, monkeypatch):
+    """What the root gives a word follows from its number, so that the column is empty of information."""
+    texts = pa.array([t for _, t in language(40)])
+    words, token, before = st.words_of(texts)
+    held = {"words": words, "token": token, "before": before, "doc_id": np.arange(40), "known": np.ones(40, np.uint8), "train": np.ones(40, np.uint8)}
+    monkeypatch.setattr(st.Block, "read", lambda self, name: st.squeeze(**held))
+    b = st.Block("", 0, 3, 5)
+    n = np.bincount(b.seq, minlength=len(b.words))
+    b.begin((len(b.seq), len(b.words), 40), {"n": n, "id": np.argsort(np.argsort(-n, kind="stable"))})
+    asked = [st.spread(r[4]) for r in b.ask()]
+    assert sum(len(a["q"]) for a in asked) == len(b.first) and not any(a["q"].any() for a in asked)
+
+
 @pytest.mark.parametrize("block", [1 << 24, 300])
 def test_odd_rows(spark, edge, edge_rows, empty, block):
     got = st.score(edge, 2, 5, 0.02, block)
