@@ -230,7 +230,8 @@ class Fixture:
     def scored(self) -> DataFrame:
         mask = F.when(sc.unknown_patv(), 0).otherwise(1)
         truth = self.stepped.select("turb_id", F.col("time").alias("step"), F.col("patv").alias("y"), mask.alias("mask"))
-        return self.preds.join(truth, ["turb_id", "step"])
+        # Spark takes the unrolled forecasts to be as small as the one row a turbine they come from, and would broadcast them
+        return self.preds.hint("merge").join(truth, ["turb_id", "step"])
 
     @cached_property
     def history(self) -> DataFrame:
