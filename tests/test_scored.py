@@ -24,6 +24,7 @@ def events(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "loss_masked_mean",
     "metric_bundle",
+    "masked_loss",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
