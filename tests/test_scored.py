@@ -25,6 +25,7 @@ def events(tmp_path_factory):
     "loss_masked_mean",
     "metric_bundle",
     "masked_loss",
+    "metric_corr",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
