@@ -26,6 +26,7 @@ def events(tmp_path_factory):
     "metric_bundle",
     "masked_loss",
     "metric_corr",
+    "metric_mae",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
