@@ -27,6 +27,7 @@ def events(tmp_path_factory):
     "masked_loss",
     "metric_corr",
     "metric_mae",
+    "metric_mape",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
