@@ -28,6 +28,7 @@ def events(tmp_path_factory):
     "metric_corr",
     "metric_mae",
     "metric_mape",
+    "metric_mse",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
