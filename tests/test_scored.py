@@ -29,6 +29,7 @@ def events(tmp_path_factory):
     "metric_mae",
     "metric_mape",
     "metric_mse",
+    "metric_mspe",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
