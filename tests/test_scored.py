@@ -30,6 +30,7 @@ def events(tmp_path_factory):
     "metric_mape",
     "metric_mse",
     "metric_mspe",
+    "metric_rmse",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
