@@ -31,6 +31,7 @@ def events(tmp_path_factory):
     "metric_mse",
     "metric_mspe",
     "metric_rmse",
+    "metric_rse",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
