@@ -32,6 +32,7 @@ def events(tmp_path_factory):
     "metric_mspe",
     "metric_rmse",
     "metric_rse",
+    "score_fixed_len",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
