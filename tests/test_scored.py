@@ -33,6 +33,7 @@ def events(tmp_path_factory):
     "metric_rmse",
     "metric_rse",
     "score_fixed_len",
+    "score_masked_len",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
