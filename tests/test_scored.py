@@ -34,6 +34,7 @@ def events(tmp_path_factory):
     "metric_rse",
     "score_fixed_len",
     "score_masked_len",
+    "total_power_error",
 ])
 def test_forecasts_are_not_broadcast(spark, events, name):
     folder, con = events
