@@ -63,11 +63,16 @@ def _sparse(edges: DataFrame) -> tuple[list[str], list, np.ndarray, np.ndarray]:
     return groups.dictionary.to_pylist(), turbines.dictionary.to_pylist(), groups.indices.to_numpy(), turbines.indices.to_numpy()
 
 
-def conjugate_gradients(group: np.ndarray, turbine: np.ndarray, right: np.ndarray, here: np.ndarray, bound: np.ndarray) -> np.ndarray:
+def conjugate_gradients(
+    group: np.ndarray, turbine: np.ndarray, turbines: int, right: np.ndarray, here: np.ndarray | None = None, bound: np.ndarray | None = None
+) -> np.ndarray:
     """Solutions v of (Su Su' + I) v = r for every row r, by products with the edges alone; rows with a NaN have none.
 
-    ``here`` and ``bound`` tell for every row which turbines and groups take part; Su has no others, and v is 0 for other groups.
+    ``here`` and ``bound`` tell for every row which of the ``turbines`` and groups take part (None: all); Su has no others, and
+    v is 0 for other groups.
     """
+    here = np.ones((len(right), turbines), bool) if here is None else here
+    bound = np.ones(right.shape, bool) if bound is None else bound
     order = np.argsort(turbine, kind="stable")
     up = np.argsort(group[order], kind="stable")
 
@@ -143,13 +148,13 @@ def reconcile(
             for i, pairs in enumerate(b["r"].to_pylist()):
                 for p in pairs:
                     right[i, order[p["group_id"]]] = np.nan if p["residual"] is None else p["residual"]
-            here, bound = np.ones((b.num_rows, len(turbines)), bool), np.ones(right.shape, bool)
+            here = bound = None
             if not absent_as_zero:
                 here = among(b["here"], [f"t{t}" for t in turbines])
                 members = np.zeros(right.shape, np.int64)
                 np.add.at(members.T, group, here.T[turbine])
                 bound = among(b["here"], names) & (members > 0)
-            found = conjugate_gradients(group, turbine, right, here, bound) if len(names) else right
+            found = conjugate_gradients(group, turbine, len(turbines), right, here, bound) if len(names) else right
             again = pa.array(np.repeat(np.arange(b.num_rows), len(names)))
             rows = pa.array(names * b.num_rows, pa.string())
             yield pa.record_batch([rows, b[step].take(again), pa.array(found.ravel(), from_pandas=True)], ["row", step, "_v"])
